@@ -1,0 +1,22 @@
+"""Bindings: the operators run on the given tables, next to their SQL twins."""
+
+from __future__ import annotations
+
+import importlib
+
+_SECTIONS = ("q_keys",)
+
+
+def _load():
+    importlib.import_module("ledgerline.bindings.derived")
+    for name in _SECTIONS:
+        importlib.import_module(f"ledgerline.bindings.{name}")
+    return importlib.import_module("ledgerline.bindings.registry")
+
+
+def queries():
+    return dict(_load().QUERIES)
+
+
+def oracle_sql():
+    return dict(_load().ORACLES)

@@ -258,7 +258,7 @@ def _stem_parts(stem: Column) -> Column:
     dashed = F.split(stem, "-")
     raw = F.when(F.contains(stem, F.lit(" - ")), spaced).when(F.contains(stem, F.lit("-")), dashed) \
         .otherwise(F.array().cast("array<string>"))
-    return non_empty(F.transform(raw, F.trim))
+    return non_empty(F.transform(raw, lambda p: F.trim(p)))
 
 
 def key_titles_from_name(c) -> Column:
@@ -312,7 +312,7 @@ def key_credit_sets(c) -> Column:
 
 def key_variant_markers(c) -> Column:
     found = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"(?U)\b" + _any(fixed.VARIANT_WORDS).replace("(?:", "(", 1) + r"\b"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.trim(m))))
 
 
 def _plain_words(c) -> Column:
@@ -338,7 +338,7 @@ def key_search_variants(title, artist) -> Column:
         (who == "") | F.contains(F.lower(s), F.lower(who)), s).otherwise(F.concat_ws(" ", who, s)))
     usable = F.filter(terms, lambda t: (F.lower(t) != F.lower(who)) & F.contains(t, F.lit(" ")))
     # keep the first spelling of terms that differ only by case
-    lows = F.transform(usable, F.lower)
+    lows = F.transform(usable, lambda t: F.lower(t))
     firsts = F.filter(usable, lambda t, i: F.array_position(lows, F.lower(t)) == i + 1)
     return F.when(base == "", F.array().cast("array<string>")).otherwise(firsts)
 
