@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_SECTIONS = ("q_keys",)
+_SECTIONS = ("q_keys", "q_filters", "q_joins")
 
 
 def _load():

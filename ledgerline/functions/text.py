@@ -33,6 +33,11 @@ def text_or_empty(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def epoch_s(c) -> Column:
+    """Whole seconds since 1970 of a zone-less timestamp, whatever the session zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(c).cast("timestamp_ntz"))
+
+
 def _strip(s: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFKD", s)
                    if not unicodedata.combining(ch))
