@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed
 from ledgerline.functions.text import (
-    ascii_key, casefold, col, decompose, demojibake, fold, non_empty, rx, squeeze,
+    ascii_key, casefold, col, decompose, demojibake, fold, let, non_empty, rx, squeeze,
     text_or_empty, transliterate, words_only,
 )
 
@@ -89,14 +89,19 @@ def key_album_title(c) -> Column:
 
 def key_script_artist(c) -> Column:
     """Cross-script artist key; a script it cannot spell becomes code points."""
-    s = F.replace(casefold(transliterate(demojibake(c))), F.lit("&"), F.lit(" and "))
-    s = rx(decompose(s), r"^\s*the\s+", "")
-    s = rx(s, r"^\s*" + _any(fixed.HONORIFICS) + r"\.?\s+(\S)", "$1")
-    key = ascii_key(s)
-    bare = rx(s, r"\s+", "")
-    points = F.array_join(
-        F.transform(non_empty(F.split(bare, "")), lambda ch: F.lower(F.hex(F.ascii(ch)))), "")
-    return F.when((key == "") & (bare != ""), F.concat(F.lit("u"), points)).otherwise(key)
+
+    def strip_titles(v: Column) -> Column:
+        s = rx(decompose(v), r"^\s*the\s+", "")
+        return rx(s, r"^\s*" + _any(fixed.HONORIFICS) + r"\.?\s+(\S)", "$1")
+
+    def spell(s: Column) -> Column:
+        points = F.array_join(
+            F.transform(non_empty(F.split(rx(s, r"\s+", ""), "")), lambda ch: F.lower(F.hex(F.ascii(ch)))), "")
+        return F.when(ascii_key(s) != "", ascii_key(s)).when(points != "", F.concat(F.lit("u"), points)).otherwise("")
+
+    repaired = let(text_or_empty(c), demojibake)
+    latin = let(transliterate(repaired), casefold)
+    return let(let(F.replace(latin, F.lit("&"), F.lit(" and ")), strip_titles), spell)
 
 
 def key_transliterate(c) -> Column:
@@ -112,7 +117,7 @@ def key_stage_prefix(c) -> Column:
 
 
 def key_alias_name(c) -> Column:
-    return ascii_key(decompose(casefold(c)))
+    return ascii_key(let(casefold(c), decompose))
 
 
 def key_release_title(c) -> Column:
@@ -174,24 +179,26 @@ def file_stem(c) -> Column:
 def album_folder_parts(folders: Column) -> Column:
     """Drop disc, art and bonus folders off the end, always keeping one."""
     last_real = F.array_max(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))),
-        lambda i: F.when(~F.coalesce(F.try_element_at(folders, i.cast("int")), F.lit("")).rlike("(?U)" + LEAF_FOLDER), i)))
+        folders, lambda p, i: F.when(~p.rlike("(?U)" + LEAF_FOLDER), i + 1)))
     return F.when(F.size(folders) == 0, folders).otherwise(
         F.slice(folders, F.lit(1), F.greatest(F.coalesce(last_real, F.lit(1)), F.lit(1))))
 
 
 def key_path_album_dir(path, fallback) -> Column:
-    parts = path_parts(path)
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.when(F.size(parts) < 2, col(fallback)).otherwise(
-        F.array_join(album_folder_parts(folders), "/"))
+    def climb(parts: Column) -> Column:
+        folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+        return let(folders, lambda f: F.array_join(album_folder_parts(f), "/"))
+
+    folder = let(path_parts(path), climb)
+    return F.when(folder == "", col(fallback)).otherwise(folder)
 
 
 def key_path_tail2(path) -> Column:
-    parts = path_parts(path)
-    n = F.least(F.size(parts), F.lit(2))
-    return F.lower(F.array_join(F.when(n == 0, parts).otherwise(
-        F.slice(parts, -F.greatest(n, F.lit(1)), F.greatest(n, F.lit(1)))), "/"))
+    def tail(parts: Column) -> Column:
+        n = F.greatest(F.least(F.size(parts), F.lit(2)), F.lit(1))
+        return F.when(F.size(parts) == 0, parts).otherwise(F.slice(parts, -n, n))
+
+    return F.lower(F.array_join(let(path_parts(path), tail), "/"))
 
 
 def key_path_remap(path, source_root: str, target_root: str) -> Column:
@@ -263,26 +270,33 @@ def _stem_parts(stem: Column) -> Column:
 
 def key_titles_from_name(c) -> Column:
     """Candidate titles of a file name, best guess first."""
-    stem = _clean_stem(c)
-    bare = rx(stem, r"^\s*\d{1,3}\s+", "")
-    parts = _stem_parts(stem)
-    last, first = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(1))
-    last_bare = rx(last, r"^\s*\d{1,3}\s+", "")
-    split_up = F.size(parts) >= 2
-    picks = F.array(stem, F.when(bare != stem, bare), F.when(split_up, last), F.when(split_up, first),
-                    F.when(split_up & (last_bare != last), last_bare))
-    return F.filter(picks, lambda x: x.isNotNull() & (x != ""))
+    unnumbered = lambda x: rx(x, r"^\s*\d{1,3}\s+", "")
+
+    def guess(stem: Column) -> Column:
+        bare = unnumbered(stem)
+        whole = F.array(stem, F.when(bare != stem, bare))
+
+        def split_up(parts: Column) -> Column:
+            last, first = F.element_at(parts, -1), F.element_at(parts, 1)
+            return F.when(F.size(parts) >= 2, F.array(
+                last, first, F.when(unnumbered(last) != last, unnumbered(last)))).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(whole, let(_stem_parts(stem), split_up))
+
+    return F.filter(let(_clean_stem(c), guess), lambda x: x.isNotNull() & (x != ""))
 
 
 def key_artists_from_name(c) -> Column:
-    parts = _stem_parts(_clean_stem(c))
-    picks = []
-    for i in (1, -1):
-        part = F.try_element_at(parts, F.lit(i))
-        bare = rx(part, r"^\s*\d{1,3}\s*[-_.]?\s*\d{0,3}\s+", "")
-        picks += [part, F.when(bare != part, bare)]
-    both = F.filter(F.array(*picks), lambda x: x.isNotNull() & (x != ""))
-    return F.when(F.size(parts) >= 2, both).otherwise(F.array().cast("array<string>"))
+    def both_ends(parts: Column) -> Column:
+        picks = []
+        for i in (1, -1):
+            part = F.element_at(parts, i)
+            bare = rx(part, r"^\s*\d{1,3}\s*[-_.]?\s*\d{0,3}\s+", "")
+            picks += [part, F.when(bare != part, bare)]
+        return F.when(F.size(parts) >= 2, F.array(*picks)).otherwise(F.array().cast("array<string>"))
+
+    parts = let(_clean_stem(c), lambda stem: let(_stem_parts(stem), both_ends))
+    return F.filter(parts, lambda x: x.isNotNull() & (x != ""))
 
 
 # --- set-valued keys -------------------------------------------------------------------

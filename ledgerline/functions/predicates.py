@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import file_ext, key_album_title, path_parts
-from ledgerline.functions.text import ascii_words, col, non_empty, rx, text_or_empty
+from ledgerline.functions.text import ascii_words, col, let, non_empty, text_or_empty
 
 DISC_WORD = r"^(?:cd|disc|disk)$"
 DISC_NUMBERED = r"^(?:cd|disc|disk)\d+$"
@@ -115,11 +115,14 @@ def stable_groups(df: DataFrame, group: str, modified: str, now, seconds: int) -
 
 def ancestors(path) -> Column:
     """Every proper ancestor folder of a relative path, nearest last."""
-    parts = path_parts(path)
-    n = F.size(parts)
-    # filter drops the descending 1..0 sequence a one-part path would produce
-    steps = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i < n)
-    return F.transform(steps, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+    def climb(parts: Column) -> Column:
+        n = F.size(parts)
+        # the filter drops the descending 1..0 sequence of a one-part path
+        steps = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i < n)
+        return F.transform(steps, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+    return let(path_parts(path), climb)
 
 
 def self_and_ancestors(path) -> Column:

@@ -29,6 +29,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind a compound expression once, so that ``body`` may use it many times.
+
+    Without it the expression tree grows with every use and the optimizer, not
+    the data, becomes the cost.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
@@ -177,4 +186,4 @@ def transliterate(c) -> Column:
     for ch, rep in several:
         out = F.replace(out, F.lit(ch), F.lit(rep))
     out = F.translate(out, "".join(one_from), "".join(one_to))
-    return F.when(text_or_empty(c).rlike(r"[\x{400}-\x{4ff}]"), out).otherwise(text_or_empty(c))
+    return out

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import col, non_empty, text_or_empty
 
 
 def top_per_group(df: DataFrame, keys: Sequence, order: Sequence[Column], k: int = 1) -> DataFrame:
@@ -21,6 +20,15 @@ def top_per_group(df: DataFrame, keys: Sequence, order: Sequence[Column], k: int
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even partitions ahead of a Python stage.
+
+    The number is given explicitly because pairs are few bytes but much work,
+    and adaptive coalescing, which looks at bytes, would put them in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def best_row(columns: Sequence[str], order: Sequence[Column]) -> Column:
     """Aggregate: struct of ``columns`` of the first row in ``order`` (ascending)."""
     return F.min_by(F.struct(*columns), F.struct(*order))

@@ -20,9 +20,9 @@ from ledgerline.functions.keys import (
 )
 from ledgerline.functions.predicates import ancestors, is_wanted, only_edition_words
 from ledgerline.functions.similarity import sim_substring_artist, udf_sequence_ratio
-from ledgerline.functions.text import ascii_words, col, text_or_empty
+from ledgerline.functions.text import ascii_words, let, text_or_empty
 from ledgerline.operators.common import (
-    best_row, contains_pairs, nearest_within, top_per_group,
+    best_row, contains_pairs, nearest_within, spread, top_per_group,
 )
 
 ANY_ACT = "*"
@@ -203,13 +203,16 @@ def join_word_subset(owned: DataFrame, downloads: DataFrame, *, artist: str = "a
 
 
 # --- artist resolution --------------------------------------------------------------------
+def _numbered(items: Column) -> Column:
+    """A multiset as a set: equal items get occurrence numbers."""
+    return let(F.array_sort(items), lambda s: F.transform(
+        s, lambda g, i: F.concat(g, (i + 2 - F.array_position(s, g)).cast("string"))))
+
+
 def _numbered_pairs(text: Column) -> Column:
-    """Letter pairs, each tagged with its occurrence number (a multiset as a set)."""
     n = F.length(text)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i < n)
-    grams = F.transform(starts, lambda i: F.substr(text, i, F.lit(2)))
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    return _numbered(F.transform(starts, lambda i: F.substr(text, i, F.lit(2))))
 
 
 def _fuzzy_candidates(names: DataFrame, artists: DataFrame, floor: float) -> DataFrame:
@@ -221,9 +224,11 @@ def _fuzzy_candidates(names: DataFrame, artists: DataFrame, floor: float) -> Dat
     above the floor is lost, and none is formed by a product.
     """
     need = lambda n: F.greatest(F.ceil(n * (1 + floor / (2 - floor)) * (1.5 * floor - 1) - 1 - F.lit(1e-9)), F.lit(1))
-    a = names.select(F.col("key").alias("ka")).distinct().withColumn("ga", _numbered_pairs(F.col("ka")))
-    b = artists.select(F.col("key").alias("kb")).distinct().withColumn("gb", _numbered_pairs(F.col("kb")))
-    ta, tb = a.select("ka", "ga", F.explode("ga").alias("g")), b.select("kb", "gb", F.explode("gb").alias("g"))
+    letters = lambda c: _numbered(F.split(F.col(c), ""))
+    a = names.select(F.col("key").alias("ka")).distinct()
+    b = artists.select(F.col("key").alias("kb")).distinct()
+    ta = a.select("ka", F.explode(_numbered_pairs(F.col("ka"))).alias("g"))
+    tb = b.select("kb", F.explode(_numbered_pairs(F.col("kb"))).alias("g"))
     df = tb.groupBy("g").agg(F.count("*").alias("df"))
 
     def prefix(t: DataFrame, key: str) -> DataFrame:
@@ -233,11 +238,12 @@ def _fuzzy_candidates(names: DataFrame, artists: DataFrame, floor: float) -> Dat
                 .filter(F.col("rn") <= (n - 1) - need(n) + 1).drop("df", "rn"))
 
     la, lb = F.length("ka"), F.length("kb")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return (prefix(ta, "ka").join(prefix(tb, "kb"), "g")
-            .filter(F.lit(2.0) * F.least(la, lb) >= F.lit(floor) * (la + lb))
-            .filter(shared >= (la + lb) * (1.5 * floor - 1) - 1 - F.lit(1e-9))
-            .select("ka", "kb").distinct())
+    pairs = (prefix(ta, "ka").join(prefix(tb, "kb"), "g")
+             .filter(F.lit(2.0) * F.least(la, lb) >= F.lit(floor) * (la + lb))
+             .select("ka", "kb").distinct())
+    # letters in common bound the matched text from above
+    bags = (pairs.join(a.withColumn("ga", letters("ka")), "ka").join(b.withColumn("gb", letters("kb")), "kb"))
+    return bags.filter(F.lit(2.0) * F.size(F.array_intersect("ga", "gb")) >= F.lit(floor) * (la + lb)).select("ka", "kb")
 
 
 def join_fuzzy_margin(names: DataFrame, artists: DataFrame, *, minimum: float = fixed.FUZZY_MIN,
@@ -251,7 +257,7 @@ def join_fuzzy_margin(names: DataFrame, artists: DataFrame, *, minimum: float =
     held = artists.filter("key <> ''").groupBy("key").agg(
         F.count("*").alias("n"), F.min_by("artist_id", "ordinal").alias("artist_id"))
     wanted = names.filter(F.length("key") >= min_length)
-    scored = (_fuzzy_candidates(wanted, held, floor)
+    scored = (spread(_fuzzy_candidates(wanted, held, floor), "ka", "kb")
               .withColumn("score", udf_sequence_ratio("ka", "kb")).filter(F.col("score") >= floor)
               .join(held, F.col("kb") == F.col("key")).drop("key"))
     w = Window.partitionBy("ka").orderBy(F.col("score").desc(), "kb")

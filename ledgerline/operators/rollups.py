@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import path_parts
 from ledgerline.functions.predicates import ancestors, is_audio_file
-from ledgerline.functions.similarity import sim_quality_rank, sim_title, sim_title_native
+from ledgerline.functions.similarity import ratio_upper_bound, sim_title, sim_title_native
 from ledgerline.functions.text import col, text_or_empty
-from ledgerline.operators.common import best_row, top_per_group
+from ledgerline.operators.common import best_row, spread, top_per_group
 from ledgerline.operators.joins import join_token_block
 
 
@@ -126,7 +126,10 @@ def best_sources(wants: DataFrame, sources: DataFrame, *, fuzzy: bool = True,
     asks = w.select("title_key", "want_artist", "various").distinct()
     pairs = join_token_block(asks, s.withColumnRenamed("cand", "title_key"))
     if fuzzy:
-        scored = pairs.withColumn("score", sim_title("want", "cand"))
+        # lengths alone rule most pairs out before they reach Python
+        low = minimum - fixed.ARTIST_BONUS
+        scored = spread(pairs.filter(ratio_upper_bound("want", "cand") >= low), "want", "cand") \
+            .withColumn("score", sim_title("want", "cand"))
     else:
         scored = pairs.withColumn("score", sim_title_native("want", "cand"))
     scored = scored.filter(F.col("score") >= minimum - fixed.ARTIST_BONUS)
