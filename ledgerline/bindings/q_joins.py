@@ -138,7 +138,12 @@ def join_resolve_artist(t):
 
 @query("join_resolve_artist_fuzzy")
 def join_resolve_artist_fuzzy(t):
-    return J.join_resolve_artist(t.credits.select(F.col("credit").alias("name")), _artists(t), fuzzy=True)
+    """All stages: titles stand for odd spellings, their base names for artists."""
+    artists = t.titles.groupBy("base").agg(F.min("id").alias("ordinal")).select(
+        "ordinal", F.col("ordinal").alias("artist_id"), F.col("base").alias("artist_name"), F.col("base").alias("mbid"))
+    aliases = artists.select("ordinal", "mbid", F.col("artist_name").alias("name"), F.col("artist_name").alias("sort_name"),
+                             F.array(F.concat(F.lit("夜 "), F.col("artist_name"))).alias("aliases"))
+    return J.join_resolve_artist(t.titles.select(F.col("title").alias("name")), artists, aliases)
 
 
 @query("join_fuzzy_margin")
