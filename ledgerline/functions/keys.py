@@ -311,15 +311,18 @@ def artist_words(c) -> Column:
 
 def key_credit_sets(c) -> Column:
     """Acts credited in an artist string, each as its sorted words in one string."""
-    raw = rx(text_or_empty(c), ROUND_SQUARE, " ")
-    # the first listed cut word decides, and only where it does not open the text
-    cut = raw
-    for word in reversed(fixed.CREDIT_CUTS):
-        at = F.locate(" " + word, F.lower(raw))
-        follow = F.substr(raw, at + len(word) + 1, F.lit(1))
-        cut = F.when((at > 1) & ~follow.rlike(r"^\p{L}"), F.substr(raw, F.lit(1), at - 1)).otherwise(cut)
+
+    def cut_guests(raw: Column) -> Column:
+        # the first listed cut word decides, and only where it does not open the text
+        low, out = F.lower(raw), raw
+        for word in reversed(fixed.CREDIT_CUTS):
+            at = F.locate(" " + word, low)
+            follow = F.substr(raw, at + len(word) + 1, F.lit(1))
+            out = F.when((at > 1) & ~follow.rlike(r"^\p{L}"), F.substr(raw, F.lit(1), at - 1)).otherwise(out)
+        return out
+
     noise = F.array(*[F.lit(w) for w in fixed.CREDIT_NOISE])
-    acts = F.transform(F.split(cut, "[&/,;]| and "),
+    acts = F.transform(F.split(let(rx(text_or_empty(c), ROUND_SQUARE, " "), cut_guests), "[&/,;]| and "),
                        lambda part: _set_text(F.array_except(artist_words(part), noise)))
     return F.array_sort(F.array_distinct(non_empty(acts)))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import shared_folder
+
 
 
 def top_per_group(df: DataFrame, keys: Sequence, order: Sequence[Column], k: int = 1) -> DataFrame:
@@ -29,6 +31,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    For stages that several later branches read: each would otherwise compute
+    the whole lineage again.  Survives the loss of executors.
+    """
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def best_row(columns: Sequence[str], order: Sequence[Column]) -> Column:
     """Aggregate: struct of ``columns`` of the first row in ``order`` (ascending)."""
     return F.min_by(F.struct(*columns), F.struct(*order))

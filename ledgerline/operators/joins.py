@@ -22,7 +22,7 @@ from ledgerline.functions.predicates import ancestors, is_wanted, only_edition_w
 from ledgerline.functions.similarity import sim_substring_artist, udf_sequence_ratio
 from ledgerline.functions.text import ascii_words, let, text_or_empty
 from ledgerline.operators.common import (
-    best_row, contains_pairs, nearest_within, spread, top_per_group,
+    best_row, contains_pairs, cut, nearest_within, spread, top_per_group,
 )
 
 ANY_ACT = "*"
@@ -113,11 +113,6 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
     best = hits.groupBy("ordinal").agg(best_row(
         ["want_ordinal", "delta_ms", "confidence"], [F.col("delta_ms"), F.col("want_ordinal")]).alias("m"))
 
-    judged = src.join(best, "ordinal", "left")
-    matched = judged.filter(F.col("m").isNotNull()).select(
-        "ordinal", F.col("m.want_ordinal").alias("want_ordinal"), F.col("m.delta_ms").alias("delta_ms"),
-        F.col("m.confidence").alias("confidence"), F.lit(None).cast("string").alias("reason"))
-
     # a rejected source failed every candidate, so three per title explain it
     first3 = (top_per_group(want, ["title_key"], [F.col("ordinal")], 3)
               .groupBy("title_key")
@@ -136,14 +131,12 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
                 .when(unknown, F.lit("duration unknown"))
                 .otherwise(F.concat(F.lit("duration off by "), F.round(gap / 1000, 1).cast("string"), F.lit("s"))))
 
-    rejected = (judged.filter(F.col("m").isNull()).join(first3, "title_key", "left")
-                .withColumn("reason", F.when(text_or_empty("title") == "", F.lit("no title tag"))
-                            .when(F.col("firsts").isNull(), F.lit("title not wanted by any album"))
-                            .otherwise(F.array_join(F.transform("firsts", why), "; ")))
-                .select("ordinal", F.lit(None).cast(wanted.schema["ordinal"].dataType).alias("want_ordinal"),
-                        F.lit(None).cast(matched.schema["delta_ms"].dataType).alias("delta_ms"),
-                        F.lit(None).cast("string").alias("confidence"), "reason"))
-    return matched.unionByName(rejected)
+    reason = (F.when(F.col("m").isNotNull(), None).when(text_or_empty("title") == "", F.lit("no title tag"))
+              .when(F.col("firsts").isNull(), F.lit("title not wanted by any album"))
+              .otherwise(F.array_join(F.transform("firsts", why), "; ")))
+    return (src.join(best, "ordinal", "left").join(first3, "title_key", "left")
+            .select("ordinal", F.col("m.want_ordinal").alias("want_ordinal"), F.col("m.delta_ms").alias("delta_ms"),
+                    F.col("m.confidence").alias("confidence"), reason.alias("reason")))
 
 
 # --- blocking -------------------------------------------------------------------------
@@ -323,18 +316,19 @@ def join_resolve_artist(names: DataFrame, artists: DataFrame, aliases: DataFrame
     eq = eq.withColumn("artist_id", F.coalesce("_e", "_k", "_b")).withColumn(
         "stage", F.when(F.col("_e").isNotNull(), "exact").when(F.col("_k").isNotNull(), "script key")
         .when(F.col("_b").isNotNull(), "stage prefix"))
+    eq = cut(eq.select("name", "plain", "key", "artist_id", "stage"))
     done = eq.filter("stage IS NOT NULL").select("name", "artist_id", "stage")
     rest = eq.filter("stage IS NULL").select("name", "plain", "key")
 
     inside = contains_pairs(rest, have, inner_text="plain", outer_text="plain")
     first = (inside.join(have.select(F.col("plain").alias("outer_text"), "ordinal", "artist_id"), "outer_text")
              .groupBy("inner_text").agg(F.min_by("artist_id", "ordinal").alias("artist_id")))
-    rest = rest.join(first, rest["plain"] == first["inner_text"], "left").drop("inner_text")
+    rest = cut(rest.join(first, rest["plain"] == first["inner_text"], "left").drop("inner_text"))
     done = done.unionByName(rest.filter("artist_id IS NOT NULL").select("name", "artist_id", F.lit("substring").alias("stage")))
     rest = rest.filter("artist_id IS NULL").drop("artist_id")
     if fuzzy:
         close = join_fuzzy_margin(rest.filter("key <> ''"), have)
-        rest = rest.join(close.select("key", "artist_id"), "key", "left")
+        rest = cut(rest.join(close.select("key", "artist_id"), "key", "left"))
         done = done.unionByName(rest.filter("artist_id IS NOT NULL").select("name", "artist_id", F.lit("fuzzy").alias("stage")))
         rest = rest.filter("artist_id IS NULL").drop("artist_id")
     if aliases is not None:
