@@ -41,15 +41,15 @@ def win_runner_up(t):
 
 
 DERIVED["sheet_rows"] = """
-SELECT l_orderkey AS sheet_id, l_linenumber * 100000 + l_partkey AS position, CAST(floor(l_extendedprice / 100) AS DOUBLE) + l_linenumber * CASE WHEN l_orderkey % 2 = 0 THEN 2000.0 ELSE 100.0 END AS start_s,
+SELECT l_orderkey AS sheet_id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS position, CAST(floor(l_extendedprice / 100) AS DOUBLE) + l_linenumber * CASE WHEN l_orderkey % 2 = 0 THEN 2000.0 ELSE 100.0 END AS start_s,
  CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 14000.0 END AS duration_s FROM lineitem
 """
 
 
 @query("win_sheet_end_times", """
-SELECT sheet_id, position, start_s, COALESCE(lead(start_s) OVER (PARTITION BY sheet_id ORDER BY position, start_s), duration_s) AS end_s FROM sheet_rows WHERE position % 100000 % 3 <> 0""")
+SELECT sheet_id, position, start_s, COALESCE(lead(start_s) OVER (PARTITION BY sheet_id ORDER BY position, start_s), duration_s) AS end_s FROM sheet_rows WHERE position % 3 <> 0""")
 def win_sheet_end_times(t):
-    return W.win_sheet_end_times(t.sheet_rows.filter("position % 100000 % 3 <> 0")).drop("duration_s")
+    return W.win_sheet_end_times(t.sheet_rows.filter("position % 3 <> 0")).drop("duration_s")
 
 
 @query("win_sheet_validity", """

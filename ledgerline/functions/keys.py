@@ -28,8 +28,8 @@ ANY_BRACKETS = r"[\(\[\{][^\)\]\}]*[\)\]\}]"
 ROUND_SQUARE = r"[\(\[][^)\]]*[\)\]]"
 PAIRED_ROUND_SQUARE = r"\(.*?\)|\[.*?\]"
 PAIRED_ALL = r"\(.*?\)|\[.*?\]|\{.*?\}"
-FEATURE_CLAUSE = r"(?i)\s*" + _any(fixed.FEATURE_WORDS) + r"\s+.*$"
-NOISE_TAIL = r"(?i)\s*[-–—]?\s*" + _any(fixed.NOISE_TAILS) + r"\s*$"
+FEATURE_CLAUSE = r"\s*" + _any(fixed.FEATURE_WORDS) + r"\s+.*$"
+NOISE_TAIL = r"\s*[-–—]?\s*" + _any(fixed.NOISE_TAILS) + r"\s*$"
 LEAD_TRACK = (r"(?i)^\s*(?:cd\s*\d+\s*[-_. ]*)?(?:\d{1,2}\s*[-_.]\s*)?"
               r"(?:[a-d]?\d{1,3})\s*[-_.)\]]+\s*")
 TRAIL_DISC = r"(?i)[\s\-_.]*(?:cd|disc|disk)\s*\d{1,2}\s*$"
@@ -58,7 +58,7 @@ def key_fold(c) -> Column:
 
 
 def key_song_title(c) -> Column:
-    t = rx(fold(c), ANY_BRACKETS, " ")
+    t = F.regexp_replace(fold(c), ANY_BRACKETS, " ")
     t = rx(t, FEATURE_CLAUSE, " ")
     t = rx(rx(t, NOISE_TAIL, ""), NOISE_TAIL, "")
     t = rx(rx(t, LEAD_TRACK, ""), TRAIL_DISC, "")
@@ -84,7 +84,7 @@ def key_compact_artist(c) -> Column:
 
 def key_album_title(c) -> Column:
     t = F.replace(F.lower(text_or_empty(c)), F.lit("&"), F.lit(" and "))
-    return ascii_key(rx(t, ROUND_SQUARE, " "))
+    return ascii_key(F.regexp_replace(t, ROUND_SQUARE, " "))
 
 
 def key_script_artist(c) -> Column:
@@ -322,7 +322,7 @@ def key_credit_sets(c) -> Column:
         return out
 
     noise = F.array(*[F.lit(w) for w in fixed.CREDIT_NOISE])
-    acts = F.transform(F.split(let(rx(text_or_empty(c), ROUND_SQUARE, " "), cut_guests), "[&/,;]| and "),
+    acts = F.transform(F.split(let(F.regexp_replace(text_or_empty(c), ROUND_SQUARE, " "), cut_guests), "[&/,;]| and "),
                        lambda part: _set_text(F.array_except(artist_words(part), noise)))
     return F.array_sort(F.array_distinct(non_empty(acts)))
 

@@ -110,10 +110,16 @@ def _expand(c: Column, pairs) -> Column:
     return F.when(c.rlike(char_class(k for k, _ in pairs)), spelled).otherwise(c)
 
 
+def unless_ascii(c: Column, otherwise: Column) -> Column:
+    """``c`` itself where it is plain ASCII (as many bytes as characters)."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(otherwise)
+
+
 def decompose(c) -> Column:
     """NFKD without combining marks."""
     source, target, several = _fold_tables()
-    return F.translate(_expand(text_or_empty(c), several), source, target)
+    c = text_or_empty(c)
+    return unless_ascii(c, F.translate(_expand(c, several), source, target))
 
 
 def fold(c) -> Column:
@@ -123,7 +129,8 @@ def fold(c) -> Column:
 
 def casefold(c) -> Column:
     source, target, several = _casefold_tables()
-    return F.lower(F.translate(_expand(text_or_empty(c), several), source, target))
+    c = text_or_empty(c)
+    return F.lower(unless_ascii(c, F.translate(_expand(c, several), source, target)))
 
 
 def rx(c, pattern: str, replacement: str = " ") -> Column:
@@ -167,9 +174,9 @@ def demojibake(c) -> Column:
     letters = F.regexp_count(raw, F.lit(r"\p{L}"))
     fixed_text = F.translate(raw, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
     latin1 = ~raw.rlike(r"[^\x{00}-\x{97}\x{99}-\x{ff}]")
-    return F.when(
+    return unless_ascii(raw, F.when(
         (suspects >= 3) & (suspects * 5 >= letters * 2) & latin1, fixed_text
-    ).otherwise(raw)
+    ).otherwise(raw))
 
 
 def transliterate(c) -> Column:
@@ -185,5 +192,4 @@ def transliterate(c) -> Column:
                 several.append((ch, rep))
     for ch, rep in several:
         out = F.replace(out, F.lit(ch), F.lit(rep))
-    out = F.translate(out, "".join(one_from), "".join(one_to))
-    return out
+    return unless_ascii(text_or_empty(c), F.translate(out, "".join(one_from), "".join(one_to)))
