@@ -59,6 +59,8 @@ def with_derived(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({DERIVED[n]})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
