@@ -22,6 +22,11 @@ ORACLES: dict[str, str] = {}
 DERIVED: dict[str, str] = {}
 
 
+# inputs that costly text expressions run over: their base table and a unique key
+SPREAD = {"files": ("lineitem", "file_id"), "songs": ("lineitem", "ordinal"), "tracks": ("lineitem", "track_id"),
+          "documents": ("documents", "doc_id"), "doc_lines": ("documents", "id"), "conversations": ("conversations", "text")}
+
+
 class Inputs:
     """The given tables and the derived ones, by attribute, for one folder."""
 
@@ -29,11 +34,22 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        df = self._plain(name)
+        if name not in SPREAD:
+            return df
+        # a file of one row group is read by one task, whatever the cores; at
+        # scale the scan has more splits than cores and nothing is moved
+        base, key = SPREAD[name]
+        cores = self.spark.sparkContext.defaultParallelism
+        few = self._plain(base).rdd.getNumPartitions() < cores
+        return df.repartition(cores, key) if few else df
+
+    def _plain(self, name: str) -> DataFrame:
         if name in TABLES:
             return table(self.spark, self.folder, name)
         if name in DERIVED:
             sql = DERIVED[name]
-            used = {n: getattr(self, n) for n in _names_in(sql)}
+            used = {n: self._plain(n) for n in _names_in(sql)}
             text = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0],
                           sql.replace("{", "{{").replace("}", "}}"))
             return self.spark.sql(text, **used)

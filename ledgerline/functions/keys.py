@@ -73,9 +73,11 @@ def key_credit_artist(c) -> Column:
 def key_compact_title(c) -> Column:
     t = F.lower(F.regexp_replace(text_or_empty(c), PAIRED_ALL, " "))
     t = rx(F.replace(t, F.lit("&"), F.lit(" and ")), r"^\s*the\s+", "")
+    spelled = t
     for short, full in fixed.TITLE_ABBREVIATIONS:
-        t = rx(t, rf"\b{short}\b\.?", full)
-    return ascii_key(t)
+        spelled = rx(spelled, rf"\b{short}\b\.?", full)
+    has_short = F.contains(t, F.lit("pt")) | F.contains(t, F.lit("vol"))
+    return ascii_key(F.when(has_short, spelled).otherwise(t))
 
 
 def key_compact_artist(c) -> Column:

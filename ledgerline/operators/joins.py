@@ -52,12 +52,13 @@ def join_wanted_title(sources: DataFrame, wanted: DataFrame, *, key: str = "titl
 def join_duration_tolerance(sources: DataFrame, wanted: DataFrame, *, keys: Iterable[str],
                             duration: str = "duration_ms", ordinal: str = "ordinal",
                             tolerance: int = fixed.DURATION_TOLERANCE_MS,
-                            allow_unknown: bool = False) -> DataFrame:
+                            allow_unknown: bool = False, keep_all: bool = False) -> DataFrame:
     """The wanted item of equal key closest in duration, within the tolerance.
 
     Unknown durations never match unless ``allow_unknown``; then they match
     with difference 0 and so win over any inexact known duration.
-    Adds ``want_ordinal``, ``delta_ms`` and ``confidence``.
+    Adds ``want_ordinal``, ``delta_ms`` and ``confidence``; ``keep_all`` keeps
+    sources without a match, with NULLs.
     """
     keys = list(keys)
     known = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
@@ -73,7 +74,9 @@ def join_duration_tolerance(sources: DataFrame, wanted: DataFrame, *, keys: Iter
         pick2 = F.when(blank.isNotNull(), F.struct(F.lit(0).cast(sources.schema[duration].dataType).alias("delta_ms"), blank.alias("want_ordinal"),
                                                    F.lit("duration-unknown").alias("confidence")))
         pick = F.array_min(F.filter(F.array(pick, pick2), lambda x: x.isNotNull()))
-    out = out.withColumn("_pick", pick).filter(F.col("_pick").isNotNull())
+    out = out.withColumn("_pick", pick)
+    if not keep_all:
+        out = out.filter(F.col("_pick").isNotNull())
     return out.select(*sources.columns, "_pick.want_ordinal", "_pick.delta_ms", "_pick.confidence")
 
 
@@ -105,13 +108,18 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
     named = text_or_empty("artist") != ""
     any_act = F.array(F.lit(ANY_ACT))
     src_acts = F.when(named, F.col("acts")).otherwise(any_act) if require_artist else any_act
-    src_keyed = src.filter("title_key <> ''").select("ordinal", "title_key", "variants", "duration_ms", F.explode(src_acts).alias("act"))
+    src_keyed = src.withColumn("act", F.explode_outer(F.when(F.col("title_key") != "", src_acts)))
     want_keyed = want.select(F.col("ordinal"), "title_key", "variants", "duration_ms",
                              F.explode(F.array_append(F.col("acts"), F.lit(ANY_ACT))).alias("act"))
+    # one pass over the sources: unmatched rows stay, then the best hit per source
     hits = join_duration_tolerance(
-        src_keyed, want_keyed, keys=["title_key", "variants", "act"], tolerance=tolerance, allow_unknown=allow_unknown)
-    best = hits.groupBy("ordinal").agg(best_row(
-        ["want_ordinal", "delta_ms", "confidence"], [F.col("delta_ms"), F.col("want_ordinal")]).alias("m"))
+        src_keyed, want_keyed, keys=["title_key", "variants", "act"], tolerance=tolerance, allow_unknown=allow_unknown,
+        keep_all=True)
+    rest = [c for c in src.columns if c != "ordinal"]
+    judged = hits.groupBy("ordinal").agg(
+        F.any_value(F.struct(*rest)).alias("s"),
+        F.min(F.when(F.col("want_ordinal").isNotNull(), F.struct("delta_ms", "want_ordinal", "confidence"))).alias("m")) \
+        .select("ordinal", "s.*", "m")
 
     # a rejected source failed every candidate, so three per title explain it
     first3 = (top_per_group(want, ["title_key"], [F.col("ordinal")], 3)
@@ -134,7 +142,7 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
     reason = (F.when(F.col("m").isNotNull(), None).when(text_or_empty("title") == "", F.lit("no title tag"))
               .when(F.col("firsts").isNull(), F.lit("title not wanted by any album"))
               .otherwise(F.array_join(F.transform("firsts", why), "; ")))
-    return (src.join(best, "ordinal", "left").join(first3, "title_key", "left")
+    return (judged.join(first3, "title_key", "left")
             .select("ordinal", F.col("m.want_ordinal").alias("want_ordinal"), F.col("m.delta_ms").alias("delta_ms"),
                     F.col("m.confidence").alias("confidence"), reason.alias("reason")))
 
