@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +27,15 @@ def sink_snapshot_swap(df: DataFrame, folder: str) -> int:
     return version
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def snapshot_version(spark: SparkSession, folder: str) -> int | None:
-    log = f"{folder}/_pointer_log"
-    if not _exists(spark, log):
-        return None
-    return spark.read.schema("version long").option("recursiveFileLookup", True).json(log).agg(F.max("version")).first()[0]
+    """The version last pointed to, or None before the first write."""
+    try:
+        log = spark.read.schema("version long").json(f"{folder}/_pointer_log")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return log.agg(F.max("version")).first()[0]
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
