@@ -156,14 +156,14 @@ def join_fuzzy_margin(t):
 
 @query("join_edit_margin", f"""
 WITH n AS (SELECT DISTINCT {D.script_key('title')} AS ka FROM titles), a AS (SELECT {D.script_key('base')} AS kb, COUNT(*) AS n, MIN(id) AS artist_id FROM (SELECT base, MIN(id) AS id FROM titles GROUP BY base) GROUP BY kb),
-p AS (SELECT ka, kb, n, artist_id, 1.0 - levenshtein(ka, kb) / greatest(length(ka), length(kb)) AS score FROM n JOIN a ON substr(ka, 1, 3) = substr(kb, 1, 3)),
+p AS (SELECT ka, kb, n, artist_id, 1.0 - levenshtein(ka, kb) / greatest(length(ka), length(kb)) AS score FROM n JOIN a ON length(ka) >= 6),
 r AS (SELECT *, row_number() OVER (PARTITION BY ka ORDER BY score DESC, kb) AS rn, lead(score) OVER (PARTITION BY ka ORDER BY score DESC, kb) AS nxt FROM p)
-SELECT ka AS key, artist_id, round(score, 6) AS score FROM r WHERE rn = 1 AND score >= 0.5 AND score - CASE WHEN n > 1 THEN score ELSE COALESCE(nxt, 0.0) END >= 0.05""")
+SELECT ka AS key, artist_id, round(score, 6) AS score FROM r WHERE rn = 1 AND score >= 0.8 AND score - CASE WHEN n > 1 THEN score ELSE COALESCE(nxt, 0.0) END >= 0.05""")
 def join_edit_margin(t):
     artists = t.titles.groupBy("base").agg(F.min("id").alias("ordinal")).select(
         "ordinal", F.col("ordinal").alias("artist_id"), K.key_script_artist("base").alias("key"))
     names = t.titles.select(K.key_script_artist("title").alias("key"))
-    return J.join_edit_margin(names, artists, minimum=0.5).withColumn("score", F.round("score", 6))
+    return J.join_edit_margin(names, artists).withColumn("score", F.round("score", 6))
 
 
 @query("join_alias", f"""

@@ -216,15 +216,15 @@ def _numbered_pairs(text: Column) -> Column:
     return _numbered(F.transform(starts, lambda i: F.substr(text, i, F.lit(2))))
 
 
-def _fuzzy_candidates(names: DataFrame, artists: DataFrame, floor: float) -> DataFrame:
-    """Key pairs whose ratio can reach ``floor``, by prefix filtering.
-
-    With ratio r the matched text of two keys of total length S has at least
-    S*(1.5*r - 1) - 1 letter pairs in common, so two keys must share one among
-    their rarest pairs once that many others are left out.  No pair of keys
-    above the floor is lost, and none is formed by a product.
+def _fuzzy_candidates(names: DataFrame, artists: DataFrame, need, possible) -> DataFrame:
+    """Key pairs that can still be close, by prefix filtering on letter pairs.
+
+    ``need(n)`` is the least number of letter pairs a key of length n shares
+    with any key close to it.  Two keys that share so many must share one of
+    their rarest pairs, once all but ``need - 1`` are kept; so an equi-join on
+    those loses no close pair and forms no product.  ``possible`` then bounds
+    the score from both lengths and the number of letters in common.
     """
-    need = lambda n: F.greatest(F.ceil(n * (1 + floor / (2 - floor)) * (1.5 * floor - 1) - 1 - F.lit(1e-9)), F.lit(1))
     letters = lambda c: _numbered(F.split(F.col(c), ""))
     a = names.select(F.col("key").alias("ka")).distinct()
     b = artists.select(F.col("key").alias("kb")).distinct()
@@ -234,33 +234,19 @@ def _fuzzy_candidates(names: DataFrame, artists: DataFrame, floor: float) -> Dat
 
     def prefix(t: DataFrame, key: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "g")
-        n = F.length(key)
+        least = F.greatest(F.ceil(need(F.length(key)) - F.lit(1e-9)), F.lit(1))
         return (t.join(df, "g", "left").withColumn("rn", F.row_number().over(w))
-                .filter(F.col("rn") <= (n - 1) - need(n) + 1).drop("df", "rn"))
+                .filter(F.col("rn") <= F.length(key) - least).drop("df", "rn"))
 
     la, lb = F.length("ka"), F.length("kb")
     pairs = (prefix(ta, "ka").join(prefix(tb, "kb"), "g")
-             .filter(F.lit(2.0) * F.least(la, lb) >= F.lit(floor) * (la + lb))
-             .select("ka", "kb").distinct())
-    # letters in common bound the matched text from above
-    bags = (pairs.join(a.withColumn("ga", letters("ka")), "ka").join(b.withColumn("gb", letters("kb")), "kb"))
-    return bags.filter(F.lit(2.0) * F.size(F.array_intersect("ga", "gb")) >= F.lit(floor) * (la + lb)).select("ka", "kb")
-
+             .filter(possible(la, lb, F.least(la, lb))).select("ka", "kb").distinct())
+    bags = pairs.join(a.withColumn("ga", letters("ka")), "ka").join(b.withColumn("gb", letters("kb")), "kb")
+    return bags.filter(possible(la, lb, F.size(F.array_intersect("ga", "gb")))).select("ka", "kb")
 
-def join_fuzzy_margin(names: DataFrame, artists: DataFrame, *, minimum: float = fixed.FUZZY_MIN,
-                      margin: float = fixed.FUZZY_MARGIN, min_length: int = fixed.FUZZY_MIN_LENGTH) -> DataFrame:
-    """Best fuzzy artist for a key, only when clearly ahead of the runner-up.
 
-    Names need ``key``; artists need ``key, artist_id, ordinal``.  Only rivals
-    within ``margin`` of an acceptable best can matter, hence the lower floor.
-    """
-    floor = minimum - margin
-    held = artists.filter("key <> ''").groupBy("key").agg(
-        F.count("*").alias("n"), F.min_by("artist_id", "ordinal").alias("artist_id"))
-    wanted = names.filter(F.length("key") >= min_length)
-    scored = (spread(_fuzzy_candidates(wanted, held, floor), "ka", "kb")
-              .withColumn("score", udf_sequence_ratio("ka", "kb")).filter(F.col("score") >= floor)
-              .join(held, F.col("kb") == F.col("key")).drop("key"))
+def _clear_winner(scored: DataFrame, *, minimum: float, margin: float) -> DataFrame:
+    """Best artist per key where no rival, twins included, comes within the margin."""
     w = Window.partitionBy("ka").orderBy(F.col("score").desc(), "kb")
     ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("rn = 1")
     runner_up = F.when(F.col("n") > 1, F.col("score")).otherwise(F.coalesce("next", F.lit(0.0)))
@@ -268,24 +254,45 @@ def join_fuzzy_margin(names: DataFrame, artists: DataFrame, *, minimum: float =
             .select(F.col("ka").alias("key"), "artist_id", "score"))
 
 
-def join_edit_margin(names: DataFrame, artists: DataFrame, *, minimum: float = 0.80, margin: float = 0.05) -> DataFrame:
-    """Native twin of :func:`join_fuzzy_margin` on edit distance within equal lead letters.
+def _per_key(artists: DataFrame) -> DataFrame:
+    return artists.filter("key <> ''").groupBy("key").agg(
+        F.count("*").alias("n"), F.min_by("artist_id", "ordinal").alias("artist_id"))
+
+
+def join_fuzzy_margin(names: DataFrame, artists: DataFrame, *, minimum: float = fixed.FUZZY_MIN,
+                      margin: float = fixed.FUZZY_MARGIN, min_length: int = fixed.FUZZY_MIN_LENGTH) -> DataFrame:
+    """Best fuzzy artist for a key, only when clearly ahead of the runner-up.
 
-    Blocked on the first three letters of the key; used where an exact SQL
-    check of the top-two margin rule is wanted.
+    Names need ``key``; artists need ``key, artist_id, ordinal``.  Only rivals
+    within ``margin`` of an acceptable best can matter, hence the lower floor.
     """
-    a = names.select("key").distinct()
-    b = artists.groupBy("key").agg(F.count("*").alias("n"), F.min_by("artist_id", "ordinal").alias("artist_id"))
-    lead3 = lambda c: F.substring(c, 1, 3)
-    pairs = (a.select(F.col("key").alias("ka"), lead3("key").alias("_k"))
-             .join(b.select(F.col("key").alias("kb"), "n", "artist_id", lead3("key").alias("_k")), "_k"))
-    longest = F.greatest(F.length("ka"), F.length("kb"))
-    scored = pairs.withColumn("score", F.lit(1.0) - F.levenshtein("ka", "kb") / longest)
-    w = Window.partitionBy("ka").orderBy(F.col("score").desc(), "kb")
-    ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).filter("rn = 1")
-    runner_up = F.when(F.col("n") > 1, F.col("score")).otherwise(F.coalesce("next", F.lit(0.0)))
-    return ranked.filter((F.col("score") >= minimum) & (F.col("score") - runner_up >= margin)) \
-        .select(F.col("ka").alias("key"), "artist_id", "score")
+    floor = minimum - margin
+    # matched text of total length S leaves at least S*(1.5*floor - 1) - 1 pairs
+    # in common, and S is at least n*(1 + floor/(2 - floor))
+    need = lambda n: n * (1 + floor / (2 - floor)) * (1.5 * floor - 1) - 1
+    possible = lambda la, lb, common: F.lit(2.0) * common >= F.lit(floor) * (la + lb)
+    held = _per_key(artists)
+    close = _fuzzy_candidates(names.filter(F.length("key") >= min_length), held, need, possible)
+    scored = (spread(close, "ka", "kb").withColumn("score", udf_sequence_ratio("ka", "kb"))
+              .filter(F.col("score") >= floor).join(held, F.col("kb") == F.col("key")).drop("key"))
+    return _clear_winner(scored, minimum=minimum, margin=margin)
+
+
+def join_edit_margin(names: DataFrame, artists: DataFrame, *, minimum: float = 0.80, margin: float = 0.05,
+                     min_length: int = fixed.FUZZY_MIN_LENGTH) -> DataFrame:
+    """Native twin of :func:`join_fuzzy_margin` on edit distance.
+
+    Stays in the JVM, for tuning and for an exact SQL check of the margin rule.
+    One edit destroys at most two letter pairs, which gives the prefix bound.
+    """
+    floor = minimum - margin
+    need = lambda n: n * (2 * floor - 1) - 1
+    possible = lambda la, lb, common: common >= F.lit(floor) * F.greatest(la, lb) - F.lit(1e-9)
+    held = _per_key(artists)
+    close = _fuzzy_candidates(names.filter(F.length("key") >= min_length), held, need, possible)
+    score = F.lit(1.0) - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
+    scored = close.withColumn("score", score).filter(F.col("score") >= floor - 1e-9).join(held, F.col("kb") == F.col("key")).drop("key")
+    return _clear_winner(scored, minimum=minimum, margin=margin)
 
 
 def join_alias(names: DataFrame, aliases: DataFrame, artists: DataFrame) -> DataFrame:
@@ -477,16 +484,30 @@ def join_album_by_songs(folder_songs: DataFrame, album_songs: DataFrame, *, acce
     """
     f = folder_songs.select("folder_id", "song", "variants").distinct()
     a = album_songs.select("album_id", "song", "variants").distinct()
-    nf = f.groupBy("folder_id").agg(F.count("*").alias("n_folder"))
-    na = a.groupBy("album_id").agg(F.count("*").alias("n_album"))
-    shared = f.join(a, ["song", "variants"]).groupBy("folder_id", "album_id").agg(F.count("*").alias("n_shared"))
+    on = ["song", "variants"]
+    nf, na = f.groupBy("folder_id").agg(F.count("*").alias("n_folder")), a.groupBy("album_id").agg(F.count("*").alias("n_album"))
+
+    def rarest(own: DataFrame, owner: str, other: DataFrame, share: float, size: DataFrame, n: str) -> DataFrame:
+        """The rarest songs of each owner, one of which any close partner holds."""
+        held = other.groupBy(*on).agg(F.count("*").alias("_df"))
+        w = Window.partitionBy(owner).orderBy("_df", *on)
+        ranked = own.join(held, on, "left").join(size, owner).withColumn("_df", F.coalesce("_df", F.lit(0)))
+        spare = F.col(n) - F.ceil(F.col(n) * F.lit(share) - F.lit(1e-9)) + 1
+        return ranked.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= spare) & (F.col("_df") > 0)).select(owner, *on)
+
+    # a song that everything holds is never among the rarest, so it forms no pairs
+    by_album = rarest(a, "album_id", f, max(accept - margin, 0.01), na, "n_album").join(f, on).select("folder_id", "album_id")
+    by_folder = rarest(f, "folder_id", a, max(belong - margin, 0.01), nf, "n_folder").join(a, on).select("folder_id", "album_id")
+    pairs = by_album.unionByName(by_folder).distinct()
+    shared = pairs.join(a, "album_id").join(f, ["folder_id", *on], "left_semi").groupBy("folder_id", "album_id").agg(F.count("*").alias("n_shared"))
     facts = shared.join(nf, "folder_id").join(na, "album_id") \
         .withColumn("coverage", F.col("n_shared") / F.col("n_album")).withColumn("belonging", F.col("n_shared") / F.col("n_folder"))
-    score = F.greatest("coverage", "belonging")
+    enough = (F.col("coverage") >= accept) | (F.col("belonging") >= belong)
     w = Window.partitionBy("folder_id").orderBy(F.col("score").desc(), F.col("n_shared").desc(), "album_id")
-    ranked = facts.withColumn("score", score).withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
-    ok = ((F.col("coverage") >= accept) | (F.col("belonging") >= belong)) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)
-    return ranked.filter((F.col("rn") == 1) & ok).select("folder_id", "album_id", "n_shared", "coverage", "belonging")
+    ranked = facts.withColumn("score", F.greatest("coverage", "belonging")) \
+        .withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
+    clear = F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin
+    return ranked.filter((F.col("rn") == 1) & enough & clear).select("folder_id", "album_id", "n_shared", "coverage", "belonging")
 
 
 def join_grab_target(downloads: DataFrame, recorded: DataFrame, queued: DataFrame, named: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import key_entry_id
 from ledgerline.functions.text import text_or_empty
+from ledgerline.operators.common import with_neighbours
+
+BUCKET_S = 86_400
 
 
 def st_change_gate(current: DataFrame, ledger: DataFrame, *, key: str = "key", signature: str = "signature") -> DataFrame:
@@ -40,8 +43,8 @@ def st_ledger_prune(ledger: DataFrame, *, now: int, keep_s: int = 30 * 86400) ->
 
 def st_recheck_gap(events: DataFrame, *, key: str, ts: str, gap_s: int) -> DataFrame:
     """Events at least ``gap_s`` after the previous one of their key."""
-    prev = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    return events.withColumn("_p", prev).filter(F.col("_p").isNull() | (F.col(ts) - F.col("_p") >= gap_s)).drop("_p")
+    near = with_neighbours(events, key=key, ts=ts, bucket=BUCKET_S)
+    return near.filter(F.col("prev").isNull() | (F.col(ts) - F.col("prev") >= gap_s)).drop("prev", "next")
 
 
 def st_recheck_throttle(sightings: DataFrame, *, key: str, ts: str, signature: str, done: str, recheck_s: int) -> DataFrame:
@@ -130,8 +133,8 @@ def st_complete_once(events: DataFrame, *, key: str, ts: str, complete: str) ->
 
 def st_idle_timer(events: DataFrame, *, key: str, ts: str, now: int, grace_s: int) -> DataFrame:
     """Every silence of at least ``grace_s`` after an event, the open one included."""
-    nxt = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
-    return events.select(key, F.col(ts).alias("idle_from"), F.coalesce(nxt, F.lit(now)).alias("idle_to")).filter(
+    near = with_neighbours(events.select(key, ts), key=key, ts=ts, bucket=BUCKET_S)
+    return near.select(key, F.col(ts).alias("idle_from"), F.coalesce("next", F.lit(now)).alias("idle_to")).filter(
         F.col("idle_to") - F.col("idle_from") >= grace_s)
 
 
