@@ -28,7 +28,7 @@ SELECT ordinal, want_ordinal, delta_ms, CASE WHEN row_number() OVER (PARTITION B
 FROM judged WHERE want_ordinal IS NOT NULL""")
 def win_one_per_track(t):
     """Flagship: songs matched with wanted tracks, one source per track."""
-    judged = J.join_four_gates(t.songs, t.wants).filter("want_ordinal IS NOT NULL")
+    judged = J.join_four_gates(t.songs, t.wants, reasons=False)
     return W.win_one_per_track(judged).select("ordinal", "want_ordinal", "delta_ms", "outcome")
 
 

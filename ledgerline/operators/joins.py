@@ -81,7 +81,7 @@ def join_duration_tolerance(sources: DataFrame, wanted: DataFrame, *, keys: Iter
 
 
 def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = fixed.DURATION_TOLERANCE_MS,
-                    require_artist: bool = True, allow_unknown: bool = False) -> DataFrame:
+                    require_artist: bool = True, allow_unknown: bool = False, reasons: bool = True) -> DataFrame:
     """Match each source with the wanted track that clears every gate.
 
     Gates: same title key; an act in common (skipped for a source without an
@@ -92,6 +92,7 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
 
     Every source comes out once: with ``want_ordinal`` and ``delta_ms``, or
     with a ``reason`` built from the first three wanted tracks of its title.
+    With ``reasons`` off only the matched sources come out.
     """
     src = sources.select(
         "ordinal", "title", "artist", "duration_ms",
@@ -121,6 +122,10 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
         F.min(F.when(F.col("want_ordinal").isNotNull(), F.struct("delta_ms", "want_ordinal", "confidence"))).alias("m")) \
         .select("ordinal", "s.*", "m")
 
+    if not reasons:
+        return judged.filter("m IS NOT NULL").select(
+            "ordinal", "m.want_ordinal", "m.delta_ms", "m.confidence", F.lit(None).cast("string").alias("reason"))
+
     # a rejected source failed every candidate, so three per title explain it
     first3 = (top_per_group(want, ["title_key"], [F.col("ordinal")], 3)
               .groupBy("title_key")
