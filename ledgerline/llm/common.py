@@ -20,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Name of a folder, not yet there, below the cluster's shared one."""
+    return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the cluster's shared folder and go on from the files.
 
@@ -27,7 +32,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,8 @@ other digests, none of them frequent, are shuffled in the ordinary way.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,14 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """
     sketches = (digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_part"))
                 .agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("_sketch")))
-    proposed = (sketches.agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"))
+    # grouped, for a global aggregate fails on tasks without rows
+    proposed = (sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"))
                 .select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {tracked})")).alias("_found"))
                 .select(F.col("_found.item").alias("digest")).filter("digest IS NOT NULL"))
-    rows = digests.agg(F.count("*").alias("_rows"))
-    counted = (digests.join(F.broadcast(proposed), "digest")
-               .groupBy("digest").agg(F.count("*").alias("group_size"), F.min("key").alias("keep")))
-    return (counted.join(F.broadcast(rows), F.col("group_size") * F.lit(0.75 * tracked) >= F.col("_rows"))
-            .filter("group_size > 1").select("digest", "group_size", "keep"))
+    least = max(2, math.ceil(digests.count() / (0.75 * tracked)))
+    return (digests.join(F.broadcast(proposed), "digest")
+            .groupBy("digest").agg(F.count("*").alias("group_size"), F.min("key").alias("keep"))
+            .filter(F.col("group_size") >= least))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tracked: int = TRACKED) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, mixing
-from ledgerline.llm.common import documents
+from ledgerline.llm import exact_dedup, mixing, quality_rules, secret_scan
+from ledgerline.llm.common import documents, new_folder
+from ledgerline.session import table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +17,29 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the one version of a path, over a new ledger."""
+    rules = secret_scan.RULES
+    found = secret_scan.scan(documents(spark, sf_dir), new_folder(spark, "ledger"), "doc_id")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+    base = F.filter("findings", lambda s: s["rule"].isin([r.name for r in rules if r.base]))
+    count = lambda name: F.size(F.filter("findings", lambda s: s["rule"] == name)).cast("long").alias(f"n_{name}")
+    return found.select(F.col("path").alias("doc_id"), *(count(r.name) for r in rules if r.base),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mixing.mix(documents(spark, sf_dir))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_exact_dedup, op4_quality_rules, op7_secret_scan, op10_mix_sources)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
