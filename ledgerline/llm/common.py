@@ -37,6 +37,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def n_tasks(spark: SparkSession) -> int:
+    """Tasks for work that its bytes do not show: an explicit number is not coalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import staged, whole_text, words
+from ledgerline.llm.common import n_tasks, staged, whole_text, words
 
 #: words in a block
 BLOCK = 64
@@ -114,7 +114,7 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
     """
     runs = (sources.filter("n_slots > 0")
             .withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {RUN}"))))
-            .repartition("rank", "_run"))
+            .repartition(n_tasks(sources.sparkSession), "rank", "_run"))
     each = runs.withColumn("slot", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("n_slots"), (F.col("_run") + 1) * RUN) - 1)))
     turn = F.expr("slot div n_blocks")
     return each.select("rank", "slot", turn.cast("int").alias("pass"),
@@ -147,7 +147,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cut = (ranked.filter("size > 0").select("key", "size", "start", "rank", F.explode(F.sequence(first, last)).alias("block"))
            .withColumn("at", F.greatest(F.col("block") * block - F.col("start"), F.lit(0)))
            .withColumn("n", F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")) - F.col("at")))
-    pieces = cut.join(slots(sources, seed), ["rank", "block"]).select("key", "size", "start", "at", "n", "pass", "shard", "slot", "rank")
+    # both sides grow with the input, though Spark cannot tell from the few sources that the slots come from
+    pieces = cut.join(slots(sources, seed).hint("merge"), ["rank", "block"]).select("key", "size", "start", "at", "n", "pass", "shard", "slot", "rank")
     taken = pieces.groupBy("rank", "start").agg(F.sum("n").alias("taken"))
     with_words = ranked.filter("size > 0").join(taken, ["rank", "start"], "left")
     out = ["key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
