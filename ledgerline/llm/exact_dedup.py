@@ -36,7 +36,7 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     sketches = (digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_part"))
                 .agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("_sketch")))
     # grouped, for a global aggregate fails on tasks without rows
-    proposed = (sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"))
+    proposed = (sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"))
                 .select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {tracked})")).alias("_found"))
                 .select(F.col("_found.item").alias("digest")).filter("digest IS NOT NULL"))
     least = max(2, math.ceil(digests.count() / (0.75 * tracked)))
