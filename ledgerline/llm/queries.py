@@ -8,16 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, secret_scan
-from ledgerline.llm.common import documents, new_folder
+from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan, toxicity
+from ledgerline.llm.common import documents, held_out, new_folder
 from ledgerline.session import table
 
 
+def _predicted(scores: DataFrame, least: float) -> DataFrame:
+    """Scores under the contract's names, with the verdict at a threshold."""
+    return scores.withColumnRenamed("key", "doc_id").withColumns({
+        "held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= least).cast("int")})
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(documents(spark, sf_dir))
     return found.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return _predicted(found, 0.3).withColumn("neighbours", F.to_json(found["neighbours"]))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return judged.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -52,13 +63,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(quality_model.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels")), 0.7)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mixing.mix(documents(spark, sf_dir))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_exact_dedup, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op10_mix_sources)}
+    op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op10_mix_sources)}
 
 ORACLES: dict[str, str] = {
     "op6_near_dedup": r"""
