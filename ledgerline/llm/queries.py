@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan, toxicity
+from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, toxicity
 from ledgerline.llm.common import documents, held_out, new_folder
 from ledgerline.session import table
 
@@ -19,6 +19,14 @@ def _predicted(scores: DataFrame, least: float) -> DataFrame:
         "held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= least).cast("int")})
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.detected(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return spans.select(F.col("key").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(documents(spark, sf_dir))
     return found.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -73,7 +81,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op10_mix_sources)}
+    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op10_mix_sources)}
 
 ORACLES: dict[str, str] = {
     "op6_near_dedup": r"""
