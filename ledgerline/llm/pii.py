@@ -99,15 +99,18 @@ def _compatible() -> dict[str, str]:
 #: look-alike of an ASCII character, or nothing for what is not seen
 LOOKS = _compatible() | _LOOKS | dict.fromkeys(_UNSEEN, "")
 _LOOK = re.compile("[" + re.escape("".join(LOOKS)) + "]")
+#: where look-alikes can be: not ASCII and not the letters of Latin-1
+_BEYOND = re.compile("[\u0080-\u00bf\u0100-\U0010ffff]")
 
 _NUMBER = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:(plus)[\s-]*)?((?:{_NUMBER}|[0-9])(?:[\s-]*(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])){{2,}})(?![A-Za-z])")
+_SPELLED = re.compile(rf"(?i)(?<![a-z])(?:(plus)[\s-]*)?((?:{_NUMBER}|[0-9])(?:(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])){{2,}})(?![a-z])")
 _ONE = re.compile(rf"(?i){_NUMBER}|[0-9]")
-_MAYBE_SPELLED = re.compile(r"(?i)(?:zero|one|two|three|four|five|six|seven|eight|nine)[\s-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b")
+_MAYBE_SPELLED = re.compile(rf"(?:{_NUMBER})[\s-]+(?:dot\s+)?(?:{_NUMBER})\b")
 _BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
 _MAYBE_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
-# a spelled "at" counts only with a spelled "dot" after the next name
-_AT = re.compile(r"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:\x20+dot\x20+[a-z0-9-]+)+)")
+# fixed values: last parts of names; a spelled "at" counts only before a name with spelled dots that ends in one
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|de|fr|es|it|nl|uk|us|eu|ch|at|be|pl|pt|se|no|ru|cn|jp|in|br|ca|au|mx|test|example"
+_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)*?\x20+dot\x20+(?:{_ENDS})(?![a-z0-9-]))")
 _DOT = re.compile(r"(?i)(?<=[a-z0-9-])\x20+dot\x20+(?=[a-z0-9])")
 
 
@@ -151,17 +154,26 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
         return []
     out = [(m.start(1), found[0].start(), "+")] if m[1] else []
     for i, x in enumerate(found):
-        out.append((x.start(), found[i + 1].start() if i + 1 < len(found) else x.end(), _DIGITS.get(x[0].lower(), x[0])))
+        digit = _DIGITS.get(x[0].lower(), x[0])
+        if i + 1 == len(found):
+            out.append((*x.span(), digit))
+        elif "dot" in m.string[x.end():found[i + 1].start()].lower():
+            out += [(*x.span(), digit), (x.end(), found[i + 1].start(), ".")]
+        else:
+            out.append((x.start(), found[i + 1].start(), digit))
     return out
 
 
 def normalised(text: str) -> Mapped | None:
     """The text with disguises undone, or None where there is no sign of one."""
-    looks = not text.isascii() and _LOOK.search(text)
+    # cheap tests first: nearly all texts end here
+    looks = not text.isascii() and _BEYOND.search(text) and not LOOKS.keys().isdisjoint(set(text))
     now = Mapped.of(text).rewritten(_LOOK, lambda m: [(*m.span(), LOOKS[m[0]])]) if looks else None
     seen = now.text if now else text
     low = seen.lower()
-    if not (looks or " dot " in low or _MAYBE_BRACKETED.search(seen) or _MAYBE_SPELLED.search(seen)):
+    bracketed = any(c in low for c in "[({<") and _MAYBE_BRACKETED.search(low)
+    spelled = any(w in low for w in _DIGITS) and _MAYBE_SPELLED.search(low)
+    if not (looks or bracketed or spelled or " dot " in low):
         return None
     now = now or Mapped.of(text)
     for pattern, new in ((_BRACKETED, lambda m: [(*m.span(), "@" if m[1].lower() == "at" else ".")]), (_AT, lambda m: [(*m.span(), "@")]),
@@ -173,7 +185,7 @@ def normalised(text: str) -> Mapped | None:
 def found(text: str) -> list[tuple[str, int, int, bool]]:
     """``kind, start, end, base``: plain identifiers and those that a disguise hid, by kind, start and end.
 
-    A disguised one counts if it holds a changed character and does not lie
+    A disguised one counts if something in it was changed and it does not lie
     within a plain one of its kind.
     """
     base = plain(text)
@@ -183,7 +195,8 @@ def found(text: str) -> list[tuple[str, int, int, bool]]:
         within: dict[str, list[Span]] = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
         for kind, a, b in plain(hidden.text):
             start, end = int(hidden.start[a]), int(hidden.end[b - 1])
-            if hidden.changed[a:b].any() and not any(x <= start and end <= y for x, y in within[kind]):
+            changed = hidden.changed[a:b].any() or end - start != b - a
+            if changed and not any(x <= start and end <= y for x, y in within[kind]):
                 out.setdefault((kind, start, end), False)
     return sorted(((k, a, b, is_base) for (k, a, b), is_base in out.items()), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
