@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -196,7 +197,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
     """Slices of the batches with about ``CHUNK`` characters or values in ``column`` at most, or one row."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
-        size = pa.compute.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pa.compute.list_value_length(values)
+        size = pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length(values)
         total = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(values):
@@ -244,7 +245,7 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded")
         vocabulary = _vocabulary(shared.value)
         for batch, values in _chunks(batches, ids):
             data, each = vocabulary.decode(values.flatten().to_numpy(zero_copy_only=False))
-            counts = pa.compute.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+            counts = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
             yield _with(batch, out, pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]))
 
