@@ -9,9 +9,9 @@ on the full shingle sets.
 
 First every document is paired with the least of each of its buckets only.
 What these links join need not be paired again: the second step pairs just
-documents of one bucket that are still in different components.  Before that,
-documents fall out that cannot have a partner, since too few of their shingles
-occur in any other document that is left.
+documents of one bucket that are still in different components.  What a
+document has in common with all others that are left bounds what it has in
+common with any, so documents and pairs fall out that cannot be similar enough.
 """
 
 from __future__ import annotations
@@ -36,6 +36,12 @@ DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
 #: words in a shingle, and least similarity in percent
 WORDS, PERCENT = 5, 80
 
+#: bits of a set's outline
+OUTLINE = 1_024
+
+#: members of a bucket that are compared in one group; larger buckets are dealt into stripes of about as many
+STRIPE = 512
+
 #: shingles handled at once by a task
 BATCH = 400_000
 
@@ -85,8 +91,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.bitwise_or.reduce(symbols << shifts, axis=2).view(np.int64)
 
 
+def outline(s: np.ndarray) -> list[int]:
+    """A bit for each shingle, by its hash.  Sets differ in at least as many shingles as outlines in bits."""
+    bits = np.zeros(OUTLINE, bool)
+    bits[(s & np.uint64(OUTLINE - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """``key, size, digest, sig`` of ``key, text``: set size, hash of the whole set, signature (null for no words)."""
+    """``key, size, digest, sig, bits`` of ``key, text``: set size, hash of the whole set, signature and outline (null for no words)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
 
@@ -96,7 +109,8 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([
                 pa.array(keys), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([next(sigs) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["key", "size", "digest", "sig"])
+                pa.array([next(sigs) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([outline(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["key", "size", "digest", "sig", "bits"])
 
         for batch in batches:
             keys, sets, total = [], [], 0
@@ -111,7 +125,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                 yield out(batch.column(0).take(pa.array(keys)), sets)
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(work, f"key {kind}, size long, digest binary, sig array<bigint>")
+    return docs.mapInArrow(work, f"key {kind}, size long, digest binary, sig array<bigint>, bits array<bigint>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -165,11 +179,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_partners(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """Of ``ids``, those of whose shingles enough occur in another set of ``ids``."""
+    """``id, n, shared`` of those ``ids`` of whose shingles enough, ``shared`` of ``n``, occur in another set of ``ids``."""
     each = sets.join(ids.withColumnRenamed("id", "key"), "key", "left_semi").select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
     kept = each.join(shared, "s", "left_semi").groupBy("key", "n").agg(F.count("*").alias("c"))
-    return kept.filter(100 * F.col("c") >= percent * F.col("n")).select(F.col("key").alias("id"))
+    return kept.filter(100 * F.col("c") >= percent * F.col("n")).select(F.col("key").alias("id"), "n", F.col("c").alias("shared"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Buckets that hold more than one component; ``members`` counts theirs."""
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+    return placed.join(mixed.select("bucket", "members"), "bucket")
+
+
+def _crossing(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one bucket in different components that may be similar enough.
+
+    Compared in blocks: a large bucket is dealt into stripes, and each two
+    stripes meet in a group of their own, so no task sees a whole bucket.  A
+    pair comes out only if signatures are close and if neither what its sets
+    have in common with others nor their outlines rule it out; it can come out
+    of several buckets.
+    """
+    stripes = F.ceil(F.col("members") / F.lit(STRIPE)).cast("int")
+    own = F.pmod(F.xxhash64("id"), stripes).cast("int")
+    dealt = (placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), stripes - 1)))
+             .select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "n", "shared", "sig", "bits"))
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def pairs(ids: list, own: np.ndarray, component: list, n: np.ndarray, shared: np.ndarray, sig: np.ndarray, bits: np.ndarray, across: bool) -> list[tuple]:
+        out = []
+        names = {c: i for i, c in enumerate(dict.fromkeys(component))}
+        group = np.array([names[c] for c in component])
+        for i in range(len(ids) - 1):
+            js = np.arange(i + 1, len(ids))
+            most = np.minimum(shared[i], shared[js])
+            js = js[(group[js] != group[i]) & ((own[js] != own[i]) if across else True) & (100 * most >= percent * (n[i] + n[js] - most))]
+            js = js[((100 + percent) * np.bitwise_count((bits[js] ^ bits[i]).view(np.uint64)).sum(1, dtype=np.int64) <= (100 - percent) * (n[i] + n[js]))]
+            js = js[(sig[js].view(np.uint16) != sig[i].view(np.uint16)).sum(1) <= DISTANCE]
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist() if ids[i] != ids[j]]
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            col = lambda c: t.column(c).to_numpy()
+            flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+            bucket, lo, hi = col("bucket"), col("lo"), col("hi")
+            ids, component, own, n, shared, sig, bits = t.column("id").to_pylist(), t.column("component").to_pylist(), col("own"), col("n"), col("shared"), flat("sig"), flat("bits")
+            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            out = []
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
+                out += pairs(ids[a:b], own[a:b], component[a:b], n[a:b], shared[a:b], sig[a:b], bits[a:b], bool(lo[a] != hi[a]))
+            if out:
+                found = set(out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.schema.field("id").type) for x in zip(*found)], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            # groups are runs of rows; the last one of a batch may go on in the next
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if batch.num_rows > 1 else np.empty(0, int)
+            if held and last != tuple(k[0] for k in keys):
+                yield from flush()
+                held = []
+            if len(change):
+                held.append(batch.slice(0, int(change[-1])))
+                yield from flush()
+                held = [batch.slice(int(change[-1]))]
+            else:
+                held.append(batch)
+            last = tuple(k[-1] for k in keys)
+        if held:
+            yield from flush()
+
+    n = n_tasks(placed.sparkSession)
+    return dealt.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -189,7 +276,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     sketches = staged(sketched(rows, words), "sketches")
-    reps = staged(sketches.filter("digest IS NOT NULL AND key IS NOT NULL").groupBy("digest").agg(F.min("key").alias("id"), F.first("sig").alias("sig")), "reps")
+    reps = staged(sketches.filter("digest IS NOT NULL AND key IS NOT NULL").groupBy("digest").agg(F.min("key").alias("id"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "reps")
     met = staged(buckets(reps), "buckets")
     few = met.select("id").distinct()
     sets = staged(full_sets(rows.join(few.withColumnRenamed("id", "key"), "key", "left_semi").repartition(n_tasks(spark)), words), "sets")
@@ -200,14 +287,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     # what is still apart in its bucket
     placed = met.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = lambda df: df.join(df.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket"), "bucket", "left_semi")
-    apart = staged(open_(placed.select("bucket", "id", "component")), "apart")
+    apart = staged(_open(placed.select("bucket", "id", "component")), "apart")
     able = staged(_with_partners(sets, apart.select("id").distinct(), percent), "able")
-    left = staged(open_(apart.join(able, "id", "left_semi")).join(reps.select("id", "sig"), "id"), "left")
-    a, b = (left.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sig"))) for x in "ab")
-    crossed = (a.join(b, (a["bucket"] == b["bucket"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-                      & (distance(F.col("sig_a"), F.col("sig_b")) <= DISTANCE))
-               .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    able = staged(_with_partners(sets, able.select("id"), percent), "able")
+    crossed = _crossing(_open(apart.select("bucket", "id", "component").join(able, "id")).join(reps.select("id", "sig", "bits"), "id"), percent).distinct()
     more = staged(_confirmed(crossed, sets, percent), "links")
 
     final = components(links.unionByName(more))
