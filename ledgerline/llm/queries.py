@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, toxicity
+from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity
 from ledgerline.llm.common import documents, held_out, new_folder
 from ledgerline.session import table
 
@@ -75,13 +75,18 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_model.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels")), 0.7)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.without_repeats(documents(spark, sf_dir))
+    return left.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mixing.mix(documents(spark, sf_dir))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op10_mix_sources)}
+    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources)}
 
 ORACLES: dict[str, str] = {
     "op6_near_dedup": r"""
