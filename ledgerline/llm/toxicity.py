@@ -30,6 +30,9 @@ EXAMPLES = 2_000
 #: terms of the vector space: those that tell the classes apart best, of at least LEAST_DF examples
 TERMS, LEAST_DF = 1_024, 5
 
+#: least chi-square of a term: chance gives more to one in a thousand
+LEAST_CHI = 10.83
+
 #: neighbours that vote, examples in a block, queries at once
 NEIGHBOURS, BLOCK, QUERIES = 15, 64, 512
 
@@ -65,8 +68,8 @@ def chosen_terms(examples: DataFrame, most: int = TERMS) -> list[str]:
     total = float(n[0] + n[1])
     a, df, n1 = F.col("a"), F.col("df"), F.lit(float(n[1]))
     rest = total - df
-    chi = F.try_divide(total * F.pow(a * total - df * n1, F.lit(2.0)) / total ** 2 * total, df * rest * n1 * (total - n1))
-    return [r["term"] for r in counts.withColumn("chi", F.coalesce(chi, F.lit(0.0))).orderBy(F.desc("chi"), "term").limit(most).collect()]
+    chi = F.try_divide(total * F.pow(a * total - df * n1, F.lit(2.0)), df * rest * n1 * (total - n1))
+    return [r["term"] for r in counts.withColumn("chi", F.coalesce(chi, F.lit(0.0))).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most).collect()]
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -86,6 +89,18 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.mapInArrow(work, f"key {docs.schema['key'].dataType.simpleString()}, ids array<int>, counts array<int>")
 
 
+def _frequencies(found: DataFrame, terms: int) -> DataFrame:
+    """``i, n``: in how many rows a term occurs, a row for each term and task."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["i", "n"])
+
+    return found.select("ids").mapInArrow(work, "i int, n long")
+
+
 def dense(ids: list, counts: list, idf: np.ndarray) -> np.ndarray:
     """Rows of unit length: (1 + log tf) * idf."""
     out = np.zeros((len(ids), len(idf)), np.float32)
@@ -193,8 +208,8 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     found = staged(vectors(rows, terms), "vectors")
     n = found.count()
     df = np.zeros(len(terms))
-    for r in found.select(F.explode("ids").alias("i")).groupBy("i").count().collect():
-        df[r["i"]] = r["count"]
+    for r in _frequencies(found, len(terms)).groupBy("i").agg(F.sum("n").alias("n")).collect():
+        df[r["i"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1
 
     known = found.join(F.broadcast(picked), "key").orderBy("h", "key", "label").dropDuplicates(["key", "label"]).limit(2 * examples).toPandas().sort_values(["h", "key", "label"])
