@@ -78,8 +78,9 @@ def learn(rows: DataFrame, features: Sequence[str], key: str = "key") -> list[Ru
 
     Rows with a null label are left out; null features hold in no condition.
     Without rows of either class the list is empty.  A third of the rows, by a
-    hash of the key, prunes what the others grew.  Ties go to the first feature
-    and the highest threshold, which lies in the gap between the classes, so equal rows give equal lists.
+    hash of the key, prunes what the others grew.  Ties go to the first feature,
+    and within it to the middle threshold, which lies in the gap between the
+    classes; so equal rows give equal lists.
     """
     rows = rows.filter(F.col("label").isin(0, 1))
     cuts = thresholds(rows, features)
@@ -130,7 +131,7 @@ def _grow(cells: DataFrame, cuts: dict[str, list[float]], features: Sequence[str
         if not bad or not good and rule:
             break
         base = math.log2(bad / (bad + good))
-        best: tuple[float, Condition] | None = None
+        best: tuple[float, list[Condition]] | None = None
         for f in features:
             p = n = 0
             all_p, all_n = (sum(x[i] for x in counts[f].values()) for i in (0, 1))
@@ -138,12 +139,13 @@ def _grow(cells: DataFrame, cuts: dict[str, list[float]], features: Sequence[str
                 low = counts[f].get(i, (0, 0))
                 p, n = p + low[0], n + low[1]
                 for c, gain in ((Condition(f, False, t), _gain(p, n, base)), (Condition(f, True, t), _gain(all_p - p, all_n - n, base))):
-                    tied = best is not None and abs(gain - best[0]) <= 1e-9 and (f, c.above) == (best[1].feature, best[1].above)
-                    if best is None or gain > best[0] + 1e-9 or tied:
-                        best = (gain, c)
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, [c])
+                    elif gain > best[0] - 1e-9 and (f, c.above) == (best[1][0].feature, best[1][0].above):
+                        best[1].append(c)
         if best is None or best[0] <= 1e-6:
             break
-        rule.append(best[1])
+        rule.append(best[1][len(best[1]) // 2])
     return tuple(rule)
 
 
