@@ -190,8 +190,9 @@ def test_toxicity(spark, docs, empty):
     rows = [(i, data.prose(rng, 60) + (" vileword badword" if i % 4 == 0 else ""), "s") for i in range(300)]
     labels = data.labels(spark, [(i, 1, int(i % 4 == 0)) for i in range(300)])
     got = {r["key"]: r for r in toxicity.scored(data.table(spark, rows), labels).collect()}
-    assert all((got[i]["score"] >= 0.3) == (i % 4 == 0) and 0 <= got[i]["score"] <= 1 for i in range(300))
-    assert all(n["label"] == 1 for n in got[0]["neighbours"][:1])
+    assert all(0 <= got[i]["score"] <= 1 for i in range(300))
+    assert _auc([got[i]["score"] for i in range(300)], [int(i % 4 == 0) for i in range(300)]) > 0.97
+    assert got[0]["neighbours"][0]["label"] == 1
     for other in (labels, data.labels(spark, []), data.labels(spark, [(50, 1, 1), (None, 1, 0), (51, None, None)])):
         assert toxicity.scored(docs, other).count() == len(ODD)
     assert toxicity.scored(empty, labels).count() == 0
