@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.bindings import duck as D
-from ledgerline.bindings.q_keys import LINE, URL_PATH, first_line, url_path
+from ledgerline.bindings.q_keys import URL_PATH, url_path
 from ledgerline.bindings.registry import DERIVED, query
 from ledgerline.functions import fixed, keys as K, predicates as P, similarity as S
 from ledgerline.functions.text import ascii_words, epoch_s
@@ -141,7 +141,7 @@ def flt_facets(t):
 
 def _answers(t):
     c, b = t.conversations, t.benchmark
-    j = c.join(b.select("item_id", F.col("text").alias("btext")), c["conv_id"] % 40 == b["item_id"])
+    j = c.join(b.select("item_id", F.col("text").alias("btext")), c["conv_id"] % b.count() == b["item_id"])
     turn = F.col("turn") % 4
     return j.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.col("text"), F.lit(" "), F.when(F.col("conv_id") % 2 == 0, F.col("btext")).otherwise("")).alias("question"),
@@ -156,7 +156,7 @@ _LONG = lambda x: f"list_filter({D.words(x)}, lambda w: length(w) >= 4)"
 @query("flt_answer_guard", f"""
 WITH a AS (SELECT c.conv_id * 1000 + c.turn AS id, c.text || ' ' || CASE WHEN c.conv_id % 2 = 0 THEN b.text ELSE '' END AS question,
  CASE c.turn % 4 WHEN 0 THEN lower(b.text) WHEN 1 THEN '`' || b.text || ' (extra)`' WHEN 2 THEN 'NONE' ELSE c.text END AS answer, b.text AS c1, c.role AS c2
- FROM conversations c JOIN benchmark b ON c.conv_id % 40 = b.item_id),
+ FROM conversations c JOIN benchmark b ON c.conv_id % (SELECT COUNT(*) FROM benchmark) = b.item_id),
 s AS (SELECT *, {_A} AS said FROM a),
 p AS (SELECT *, CASE WHEN said = '' OR upper(said) = 'NONE' THEN NULL WHEN lower(trim(c1)) = lower(said) THEN c1 WHEN lower(trim(c2)) = lower(said) THEN c2
  WHEN {D.album_title('c1')} = {D.album_title('said')} THEN c1 WHEN {D.album_title('c2')} = {D.album_title('said')} THEN c2 END AS picked FROM s)
@@ -208,13 +208,8 @@ def sim_title(t):
     return pairs.select("id", F.round(S.sim_title("a", "b"), 6).alias("score"))
 
 
-@query("udf_sequence_ratio")
-def udf_sequence_ratio(t):
-    return t.title_pairs.filter(S.needs_ratio("a", "b")).select("id", "a", "b", F.round(S.udf_sequence_ratio("a", "b"), 6).alias("score"))
-
-
 DERIVED["doc_pairs"] = """
-SELECT d.doc_id AS id, d.source AS source, d.text AS found, b.text AS wanted FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
+SELECT d.doc_id AS id, d.source AS source, d.text AS found, b.text AS wanted FROM (SELECT doc_id, source, text, doc_id % (SELECT COUNT(*) FROM benchmark) AS k FROM documents) d JOIN benchmark b ON d.k = b.item_id
 """
 
 

@@ -102,14 +102,14 @@ _EDITION = D.in_list(fixed.EDITION_WORDS).replace("remaster's", "remaster''s")
 
 
 @query("join_word_subset", f"""
-WITH o AS (SELECT artist, min(ordinal) AS ordinal, {D.sorted_words('title')} AS w FROM titled_albums WHERE ordinal % 3 = 0 GROUP BY artist, {D.sorted_words('title')}),
+WITH o AS (SELECT artist, min(ordinal) AS ordinal, {D.sorted_words('title')} AS w FROM titled_albums GROUP BY artist, {D.sorted_words('title')}),
 d AS (SELECT DISTINCT brand AS artist, title AS dl_title, {D.words('title')} AS w FROM titles),
 p AS (SELECT d.artist, d.dl_title, o.ordinal, len(o.w) AS n_words, row_number() OVER (PARTITION BY d.artist, d.dl_title ORDER BY len(o.w) DESC, o.ordinal) AS rn
  FROM d JOIN o ON d.artist = o.artist AND len(list_filter(o.w, lambda x: NOT list_contains(d.w, x))) = 0
  WHERE len(list_filter(list_filter(d.w, lambda x: NOT list_contains(o.w, x)), lambda x: NOT (x IN {_EDITION} OR regexp_full_match(x, '(19|20)[0-9][0-9]')))) = 0)
 SELECT artist, dl_title, ordinal AS owned_ordinal, CAST(n_words AS INTEGER) AS n_words FROM p WHERE rn = 1""")
 def join_word_subset(t):
-    owned = t.titled_albums.filter("ordinal % 3 = 0")
+    owned = t.titled_albums
     downloads = t.titles.select(F.col("brand").alias("artist"), "title")
     return J.join_word_subset(owned, downloads).drop("owned_title")
 

@@ -11,17 +11,12 @@ from ledgerline.functions import keys as K
 from ledgerline.functions.text import text_or_empty
 
 
-def first_line(c="text"):
-    return F.split_part(F.col(c), F.lit("\n"), F.lit(1))
-
-
-LINE = "split_part(text, chr(10), 1)"
-
-
 def _doc_key(name, key, sql):
-    @query(name, f"SELECT doc_id, {sql(LINE)} AS key FROM documents")
+    @query(name, f"""SELECT doc_id, CAST(pos AS INTEGER) AS line, {sql('said')} AS key FROM (
+        SELECT doc_id, unnest(range(len(said))) AS pos, unnest(said) AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS said FROM documents))""")
     def _(t):
-        return t.documents.select("doc_id", key(first_line()).alias("key"))
+        lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+        return lines.select("doc_id", "line", key("said").alias("key"))
 
 
 def _title_key(name, key, sql):
@@ -36,7 +31,7 @@ def _credit_key(name, key, sql):
         return t.credits.select("id", "credit", key("credit").alias("key"))
 
 
-# every profile reads whole first lines of all documents or all titles and credits
+# every profile reads all lines of all documents, or all titles and credits
 _doc_key("key_fold", K.key_fold, D.fold)
 _title_key("key_song_title", K.key_song_title, D.song_title)
 _doc_key("key_song_title_lines", K.key_song_title, D.song_title)

@@ -47,9 +47,9 @@ SELECT l_orderkey AS sheet_id, (l_linenumber * 100000 + l_partkey) * 10000 + l_s
 
 
 @query("win_sheet_end_times", """
-SELECT sheet_id, position, start_s, COALESCE(lead(start_s) OVER (PARTITION BY sheet_id ORDER BY position, start_s), duration_s) AS end_s FROM sheet_rows WHERE position % 3 <> 0""")
+SELECT sheet_id, position, start_s, COALESCE(lead(start_s) OVER (PARTITION BY sheet_id ORDER BY position, start_s), duration_s) AS end_s FROM sheet_rows""")
 def win_sheet_end_times(t):
-    return W.win_sheet_end_times(t.sheet_rows.filter("position % 3 <> 0")).drop("duration_s")
+    return W.win_sheet_end_times(t.sheet_rows).drop("duration_s")
 
 
 @query("win_sheet_validity", """
@@ -100,10 +100,10 @@ def win_rotation(t):
     return W.win_rotation(items, last="last", ordinal="c_custkey", now=1706700000, cooldown=43200, per_pass=15)
 
 
-@query("win_newest_first", "SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS arrived FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500")
+@query("win_newest_first", "SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS arrived FROM orders")
 def win_newest_first(t):
     o = t.orders.select("o_orderkey", F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("arrived"))
-    return W.win_newest_first(o, arrived="arrived", ordinal="o_orderkey").limit(500)
+    return W.win_newest_first(o, arrived="arrived", ordinal="o_orderkey")
 
 
 DERIVED["medians"] = """
@@ -130,10 +130,10 @@ def win_best_edition(t):
 
 
 @query("win_sorted_plans", """
-SELECT album_id, artist, pct FROM (SELECT album_id, CAST(artist_id AS STRING) AS artist, round(100.0 * have / total, 1) AS pct FROM albums WHERE total > 0) ORDER BY pct DESC, artist, album_id LIMIT 1000""")
+SELECT album_id, artist, pct FROM (SELECT album_id, CAST(artist_id AS STRING) AS artist, round(100.0 * have / total, 1) AS pct FROM albums WHERE total > 0)""")
 def win_sorted_plans(t):
     p = t.albums.filter("total > 0").select("album_id", F.col("artist_id").cast("string").alias("artist"), F.round(F.lit(100.0) * F.col("have") / F.col("total"), 1).alias("pct"))
-    return W.win_sorted_plans(p).limit(1000)
+    return W.win_sorted_plans(p)
 
 
 # --- sets ---------------------------------------------------------------------------------

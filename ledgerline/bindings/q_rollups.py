@@ -46,7 +46,7 @@ DERIVED["plan_tracks"] = f"""
 SELECT album_id, track_id, {D.song_title('title')} AS title_key, CASE WHEN album_id % 9 = 0 THEN '' ELSE {D.credit_artist('artist')} END AS want_artist, album_id % 8 = 0 AS various, has_file FROM tracks
 """
 DERIVED["plan_sources"] = f"""
-SELECT id AS ordinal, 'src/' || id AS path, {D.song_title('base')} AS cand, CASE id % 3 WHEN 0 THEN '' ELSE {D.credit_artist('brand')} END AS strong FROM titles WHERE id % 4 = 0
+SELECT id AS ordinal, 'src/' || id AS path, {D.song_title('base')} AS cand, CASE id % 3 WHEN 0 THEN '' ELSE {D.credit_artist('brand')} END AS strong FROM titles
 """
 DERIVED["plan_scored"] = """
 SELECT t.album_id, t.track_id, t.title_key, t.has_file, b.ordinal, b.path, b.total FROM plan_tracks t LEFT JOIN (
@@ -69,7 +69,7 @@ def _plan_inputs(t):
         F.when(F.col("album_id") % 9 == 0, "").otherwise(K.key_credit_artist("artist")).alias("want_artist"),
         (F.col("album_id") % 8 == 0).alias("various"), "has_file")
     strong = F.when(F.col("id") % 3 != 0, F.array(K.key_credit_artist("brand"))).otherwise(F.array().cast("array<string>"))
-    sources = t.titles.filter("id % 4 = 0").select(
+    sources = t.titles.select(
         F.col("id").alias("ordinal"), F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"),
         F.array(K.key_song_title("base")).alias("titles"), strong.alias("strong"), F.array().cast("array<string>").alias("weak"))
     return tracks, sources
@@ -227,7 +227,7 @@ def agg_badges(t):
 
 @query("agg_audio_majority", f"""
 SELECT hash, COUNT(*) FILTER (WHERE {D.ext('path')} IN {AUDIO}) AS n_audio, COUNT(*) AS n_files FROM files WHERE CAST(substr(hash, 2) AS INTEGER) % 4 <> 0 GROUP BY hash
-HAVING COUNT(*) FILTER (WHERE {D.ext('path')} IN {AUDIO}) > 0 AND 2 * COUNT(*) FILTER (WHERE {D.ext('path')} IN {AUDIO}) >= COUNT(*) ORDER BY hash LIMIT 50""")
+HAVING COUNT(*) FILTER (WHERE {D.ext('path')} IN {AUDIO}) > 0 AND 2 * COUNT(*) FILTER (WHERE {D.ext('path')} IN {AUDIO}) >= COUNT(*)""")
 def agg_audio_majority(t):
     f = t.files.select("hash", "path", F.when(F.substring("hash", 2, 9).cast("int") % 4 == 0, "music").otherwise(" ").alias("category"))
     return R.agg_audio_majority(f)

@@ -26,11 +26,6 @@ def _scratch(t, name: str) -> str:
 
 
 # --- sources --------------------------------------------------------------------------------
-@query("src_scan_files")
-def src_scan_files(t):
-    return readers.src_scan_files(t.spark, t.folder, ["parquet"]).select(K.file_name("path").alias("name"), "size")
-
-
 @query("src_scan_listing", f"""
 SELECT page_id, {D.ext(URL_PATH)} AS ext FROM pages WHERE {D.ext(URL_PATH)} IN ('html', 'htm')""")
 def src_scan_listing(t):

@@ -47,28 +47,6 @@ def best_row(columns: Sequence[str], order: Sequence[Column]) -> Column:
     return F.min_by(F.struct(*columns), F.struct(*order))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                rows_per_task: int = 2_000_000) -> DataFrame:
-    """Equi-join that splits the hot keys of ``big`` over several tasks.
-
-    The number of slices of a key follows from its measured row count, so cold
-    keys stay whole and rows of ``small`` are copied only for the hot ones.
-    Supports the join types that keep rows of ``big`` at most once per match
-    (inner, left, left_semi, left_anti).
-    """
-    slices = (big.groupBy(*keys).count()
-              .filter(F.col("count") > rows_per_task)
-              .select(*keys, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_slices")))
-    left = (big.join(slices, list(keys), "left")
-            .withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(
-                F.pmod(F.xxhash64(*big.columns), F.col("_slices")).cast("int")))
-            .drop("_slices"))
-    right = (small.join(slices, list(keys), "left")
-             .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices") - 1, F.lit(0)))))
-             .drop("_slices"))
-    return left.join(right, [*keys, "_slice"], how).drop("_slice")
-
-
 def nearest_within(left: DataFrame, right: DataFrame, *, keys: Sequence[str], value: str,
                    tolerance: int, ordinal: str, found: str = "ordinal_found") -> DataFrame:
     """Nearest ``right`` value within ``tolerance`` for every distinct left value.

@@ -325,12 +325,11 @@ def agg_badges(plans: DataFrame) -> DataFrame:
     return plans.agg(F.count("*").alias("n"), F.count_if(F.col("pct") >= 100).alias("complete"), F.count_if(F.col("hunting")).alias("hunting"))
 
 
-def agg_audio_majority(files: DataFrame, limit: int | None = 50) -> DataFrame:
+def agg_audio_majority(files: DataFrame) -> DataFrame:
     """Bundles without a category that are mostly audio."""
-    agg = (files.filter(F.trim(text_or_empty("category")) == "").groupBy("hash")
-           .agg(F.count_if(is_audio_file("path")).alias("n_audio"), F.count("*").alias("n_files"))
-           .filter((F.col("n_audio") > 0) & (F.col("n_audio") * 2 >= F.col("n_files"))))
-    return agg if limit is None else agg.orderBy("hash").limit(limit)
+    return (files.filter(F.trim(text_or_empty("category")) == "").groupBy("hash")
+            .agg(F.count_if(is_audio_file("path")).alias("n_audio"), F.count("*").alias("n_files"))
+            .filter((F.col("n_audio") > 0) & (F.col("n_audio") * 2 >= F.col("n_files"))))
 
 
 def agg_title_coverage(release_titles: DataFrame, album_titles: DataFrame) -> DataFrame:

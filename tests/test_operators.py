@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import similarity as S
 from ledgerline.operators import decisions as X, joins as J, ranking as W, rollups as R, sets as Z, sheets as H, state as T
-from ledgerline.operators.common import contains_pairs, nearest_within, prefix_sum, salted_join
+from ledgerline.operators.common import contains_pairs, nearest_within, prefix_sum
 
 SRC = "ordinal long, title string, artist string, duration_ms long"
 WANT = "ordinal long, title string, artist string, album string, duration_ms long"
@@ -149,14 +149,6 @@ def test_prefix_sum_levels(spark):
     assert got == want
 
 
-def test_salted_join_equals_plain_join(spark):
-    big = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a, b = salted_join(big, small, ["k"], how, rows_per_task=100), big.join(small, "k", how)
-        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
-
-
 def test_sheet(spark):
     text = ('REM DATE 1999\nPERFORMER "Some Artist"\nTITLE "Some Album"\nFILE "image.flac" WAVE\n  TRACK 01 AUDIO\n    TITLE "One"\n'
             '    INDEX 01 00:00:00\n  TRACK 02 AUDIO\n    TITLE "Two"\n    PERFORMER "Guest"\n    INDEX 00 03:28:00\n    INDEX 01 03:30:37\n')
