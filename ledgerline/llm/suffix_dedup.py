@@ -192,10 +192,10 @@ def _cut(texts: DataFrame) -> DataFrame:
                 rows = [(d, *s) for d, t in zip(part.column(0).to_pylist(), part.column(1)) for s in segments(t.as_py().encode("utf-8", "surrogatepass"))]
                 if rows:
                     cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
                                                       pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], ["doc", "start", "windows", "anchor", "digest"])
 
-    return texts.mapInArrow(work, "doc string, start int, windows int, anchor long, digest binary")
+    return texts.mapInArrow(work, "doc binary, start int, windows int, anchor long, digest binary")
 
 
 def _contents(texts: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     through.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).withColumn("doc", F.md5(F.col("text").cast("binary")))
+    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
     long_ = rows.filter(F.octet_length("text") >= LEAST).select("doc", "text")
     cut = staged(_cut(long_), "segments")
 
