@@ -250,6 +250,22 @@ def _fuzzy_candidates(names: DataFrame, artists: DataFrame, need, possible) -> D
     return bags.filter(possible(la, lb, F.size(F.array_intersect("ga", "gb")))).select("ka", "kb")
 
 
+def join_title_close(wants: DataFrame, sources: DataFrame, *, title: str = "title_key", floor: float) -> DataFrame:
+    """Distinct title pairs that can score ``floor`` or more, none left out.
+
+    A wanted title that occurs among the sources gets only that one pair.  The
+    others meet by prefix filtering on letter pairs: both the matched text of a
+    ratio and a contained title leave so many pairs in common.
+    """
+    w = wants.select(F.col(title).alias("key")).filter("key <> ''").distinct()
+    s = sources.select(F.col(title).alias("key")).filter("key <> ''").distinct()
+    exact = w.join(s, "key", "left_semi").select(F.col("key").alias("want"), F.col("key").alias("cand"), F.lit("exact").alias("kind"))
+    need = lambda n: n * (1 + floor / (2 - floor)) * (1.5 * floor - 1) - 1
+    possible = lambda la, lb, common: F.lit(2.0) * common >= F.lit(floor - 1e-9) * (la + lb)
+    close = _fuzzy_candidates(w.join(s, "key", "left_anti"), s, need, possible)
+    return exact.unionByName(close.select(F.col("ka").alias("want"), F.col("kb").alias("cand"), F.lit("close").alias("kind")))
+
+
 def _clear_winner(scored: DataFrame, *, minimum: float, margin: float) -> DataFrame:
     """Best artist per key where no rival, twins included, comes within the margin."""
     w = Window.partitionBy("ka").orderBy(F.col("score").desc(), "kb")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import path_parts
 from ledgerline.functions.predicates import ancestors, is_audio_file
-from ledgerline.functions.similarity import ratio_upper_bound, sim_title, sim_title_native
+from ledgerline.functions.similarity import sim_title, sim_title_native
 from ledgerline.functions.text import col, text_or_empty
 from ledgerline.operators.common import best_row, spread, top_per_group
-from ledgerline.operators.joins import join_token_block
+from ledgerline.operators.joins import join_title_close
 
 
 def tag_plan(tracks: DataFrame, *, album_id: str = "album_id") -> DataFrame:
@@ -124,15 +124,13 @@ def best_sources(wants: DataFrame, sources: DataFrame, *, fuzzy: bool = True,
          .filter("cand <> ''").groupBy("cand", "strong", "weak").agg(best_row(["ordinal", "path"], [F.col("ordinal")]).alias("s")))
     w = wants.filter("title_key <> ''")
     asks = w.select("title_key", "want_artist", "various").distinct()
-    pairs = join_token_block(asks, s.withColumnRenamed("cand", "title_key"))
+    low = minimum - fixed.ARTIST_BONUS
+    pairs = join_title_close(asks, s.withColumnRenamed("cand", "title_key"), floor=low)
     if fuzzy:
-        # lengths alone rule most pairs out before they reach Python
-        low = minimum - fixed.ARTIST_BONUS
-        scored = spread(pairs.filter(ratio_upper_bound("want", "cand") >= low), "want", "cand") \
-            .withColumn("score", sim_title("want", "cand"))
+        scored = spread(pairs, "want", "cand").withColumn("score", sim_title("want", "cand"))
     else:
         scored = pairs.withColumn("score", sim_title_native("want", "cand"))
-    scored = scored.filter(F.col("score") >= minimum - fixed.ARTIST_BONUS)
+    scored = scored.filter(F.col("score") >= low)
     judged = artist_evidence(
         asks.join(scored.select(F.col("want").alias("title_key"), "cand", "score"), "title_key").join(s, "cand"), fuzzy=fuzzy)
     total = F.col("score") + F.col("bonus")

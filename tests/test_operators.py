@@ -243,3 +243,27 @@ def test_upsert_merge_equals_one_fold(spark):
     fold = lambda data: T.st_upsert_held(spark.createDataFrame(data, ddl), fields=("artist", "reason")).drop("id")
     merged = T.st_merge_held(fold(rows_[:2]), fold(rows_[2:]), fields=("artist", "reason"))
     assert rows(merged, *merged.columns) == rows(fold(rows_), *merged.columns)
+
+
+def test_plan_finds_a_close_title_among_many_that_share_its_words(spark):
+    """What a title shares with many others does not hide the one that is close."""
+    tracks = spark.createDataFrame([(1, 1, "hello world again", "someone", False, False)],
+                                   "album_id long, track_id long, title_key string, want_artist string, various boolean, has_file boolean")
+    titles = ["helo world again", *(f"hello number {i} of a row" for i in range(450))]
+    sources = spark.createDataFrame([(i, f"p/{i}", [t], ["someone"], []) for i, t in enumerate(titles)],
+                                    "ordinal long, path string, titles array<string>, strong array<string>, weak array<string>")
+    best = R.best_sources(tracks, sources).collect()
+    assert [(r["source_ordinal"], round(r["total"], 2)) for r in best] == [(0, 1.02)]
+
+
+def test_close_titles_lose_none(spark):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    rng = Random(3)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))).strip() for _ in range(250)} - {""})
+    wants, sources = names[::2], names[1::2] + names[::10]
+    df = lambda x: spark.createDataFrame([(n,) for n in x], "title_key string")
+    got = {(r["want"], r["cand"]) for r in J.join_title_close(df(wants), df(sources), floor=0.82).collect()}
+    must = {(a, b) for a in wants for b in sources if a == b or a not in sources and SequenceMatcher(None, a, b).ratio() >= 0.82}
+    assert must <= got
