@@ -100,6 +100,21 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op7_secret_scan": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        k AS (SELECT * FROM (VALUES
+          (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', 'AKIA[A-Z0-9]{16,}'), (2, 'hex', '[0-9a-f]{24,}'),
+          (3, 'jwt', 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}'), (4, 'pem', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----')) AS v(o, kind, p)),
+        h AS (SELECT doc_id, 0 AS o, regexp_extract_all(t, (SELECT p FROM k WHERE o = 0)) AS hits, regexp_extract_all(t, (SELECT p FROM k WHERE o = 0), 2) AS tested, string_split_regex(t, (SELECT p FROM k WHERE o = 0)) AS gaps FROM d
+          UNION ALL SELECT doc_id, o, regexp_extract_all(t, p), regexp_extract_all(t, p), string_split_regex(t, p) FROM d, k WHERE o > 0),
+        e AS (SELECT doc_id, o, hits, tested, gaps, unnest(range(1, len(hits) + 1)) AS i FROM h),
+        s AS (SELECT doc_id, o, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS n
+          FROM e WHERE o > 0 OR length(tested[i]) >= 6),
+        f AS (SELECT doc_id, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2,
+          string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, o) AS spans
+          FROM s JOIN k USING (o) GROUP BY 1)
+        SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN f USING (doc_id)""",
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
