@@ -230,8 +230,8 @@ def tag_plan(t):
 
 
 @query("key_collision_audit", f"""
-SELECT key, COUNT(DISTINCT title) AS n_names, MIN(title) AS first_name, MAX(title) AS last_name
-FROM (SELECT title, {D.song_title('title')} AS key FROM titles) GROUP BY key HAVING COUNT(DISTINCT title) > 1 OR key = ''""")
+WITH p AS (SELECT DISTINCT {D.song_title('title')} AS key, title AS name FROM titles), c AS (SELECT *, COUNT(*) OVER (PARTITION BY key) AS n_names FROM p)
+SELECT * FROM c WHERE n_names > 1 OR key = ''""")
 def key_collision_audit(t):
     from ledgerline.operators.rollups import key_collision_audit as audit
 

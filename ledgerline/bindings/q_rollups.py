@@ -105,7 +105,8 @@ def agg_plan_refresh(t):
 
 
 @query("agg_needed_files", """
-SELECT CAST(l_partkey AS STRING) AS source, COUNT(DISTINCT l_orderkey) AS n_albums, MIN(l_orderkey) AS first_album, MAX(l_orderkey) AS last_album FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""")
+WITH p AS (SELECT DISTINCT CAST(l_partkey AS STRING) AS source, l_orderkey AS album_id FROM lineitem WHERE l_linestatus = 'O')
+SELECT source, album_id, COUNT(*) OVER (PARTITION BY source) AS n_albums FROM p""")
 def agg_needed_files(t):
     return R.agg_needed_files(t.lineitem.filter("l_linestatus = 'O'").select(F.col("l_partkey").cast("string").alias("source"), F.col("l_orderkey").alias("album_id")))
 
@@ -134,6 +135,11 @@ def agg_match_summary(t):
     return R.agg_match_summary(_judged(t))
 
 
+@query("agg_match_rejects", "SELECT ordinal, reason FROM judged WHERE want_ordinal IS NULL AND reason <> 'title not wanted by any album'")
+def agg_match_rejects(t):
+    return R.agg_match_rejects(J.join_four_gates(t.songs, t.wants))
+
+
 @query("agg_match_report", """
 SELECT album, ordinal, want_ordinal, delta_ms, n_matched FROM (SELECT *, COUNT(*) OVER (PARTITION BY album) AS n_matched, row_number() OVER (PARTITION BY album ORDER BY delta_ms, ordinal) AS rn FROM judged WHERE want_ordinal IS NOT NULL) WHERE rn <= 6""")
 def agg_match_report(t):

@@ -36,10 +36,10 @@ def tag_plan(tracks: DataFrame, *, album_id: str = "album_id") -> DataFrame:
 
 
 def key_collision_audit(df: DataFrame, *, name: str, key: Column) -> DataFrame:
-    """Keys shared by several names, and the empty key."""
-    pairs = df.select(F.col(name).alias("_n"), key.alias("key")).distinct()
-    agg = pairs.groupBy("key").agg(F.count("*").alias("n_names"), F.min("_n").alias("first_name"), F.max("_n").alias("last_name"))
-    return agg.filter((F.col("n_names") > 1) | (F.col("key") == ""))
+    """Every name of a key that several names share or that is empty, a row each, with their number."""
+    pairs = df.select(key.alias("key"), F.col(name).alias("name")).distinct()
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n_names")).filter((F.col("n_names") > 1) | (F.col("key") == ""))
+    return pairs.join(shared, "key")
 
 
 def is_complete(have, total) -> Column:
@@ -177,9 +177,9 @@ def agg_plan_refresh(rows: DataFrame, live: DataFrame) -> tuple[DataFrame, DataF
 
 
 def agg_needed_files(matched: DataFrame) -> DataFrame:
-    """Source file -> number of distinct albums it feeds, first and last of them."""
+    """Every album a source file feeds, a row each, with their number."""
     pairs = matched.filter(F.col("source").isNotNull()).select("source", "album_id").distinct()
-    return pairs.groupBy("source").agg(F.count("*").alias("n_albums"), F.min("album_id").alias("first_album"), F.max("album_id").alias("last_album"))
+    return pairs.join(pairs.groupBy("source").agg(F.count("*").alias("n_albums")), "source")
 
 
 def agg_bundle_plan(files: DataFrame) -> DataFrame:
@@ -200,6 +200,11 @@ def agg_match_summary(judged: DataFrame) -> DataFrame:
         F.count_if(~hit).alias("rejected"), F.count_if(F.col("reason") == "no title tag").alias("untagged"))
 
 
+def agg_match_rejects(judged: DataFrame) -> DataFrame:
+    """Rows without a match and why, but for the common reason that no album wants the title."""
+    return judged.filter(F.col("want_ordinal").isNull() & (F.col("reason") != "title not wanted by any album")).select("ordinal", "reason")
+
+
 def agg_match_report(judged: DataFrame, k: int = 6) -> DataFrame:
     """Up to ``k`` matched rows per album, albums with their match counts."""
     hits = judged.filter(F.col("want_ordinal").isNotNull())
