@@ -170,7 +170,7 @@ def st_ttl_ledger(t):
 @query("st_recheck_gap", """
 SELECT user_id, s, event_id FROM (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS p FROM ev) WHERE p IS NULL OR s - p >= 21600""")
 def st_recheck_gap(t):
-    return S.st_recheck_gap(_ev(t), key="user_id", ts="s", gap_s=21600).select("user_id", "s", "event_id")
+    return S.st_recheck_gap(_ev(t), key="user_id", ts="s", gap_s=21600, ordinal="event_id").select("user_id", "s", "event_id")
 
 
 def _sightings(t):
@@ -179,16 +179,16 @@ def _sightings(t):
 
 
 _THROTTLE = """
-WITH RECURSIVE a AS (SELECT user_id AS key, s AS ts, event_id, CAST(CAST(floor(s / 400000) AS BIGINT) AS STRING) AS signature, value > 150 AS done, row_number() OVER (PARTITION BY user_id ORDER BY s) AS rn FROM ev),
-f AS (SELECT key, rn, ts, signature, done AS fin, CASE WHEN done THEN NULL ELSE ts END AS planned, NOT done AS hit FROM a WHERE rn = 1
- UNION ALL SELECT a.key, a.rn, a.ts, a.signature, f.fin OR a.done, CASE WHEN NOT (f.fin OR a.done) AND (f.planned IS NULL OR a.signature <> f.signature OR a.ts - f.planned >= 43200) THEN a.ts ELSE f.planned END,
+WITH RECURSIVE a AS (SELECT user_id AS key, s AS ts, event_id, CAST(CAST(floor(s / 400000) AS BIGINT) AS STRING) AS signature, value > 150 AS done, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS rn FROM ev),
+f AS (SELECT key, rn, ts, event_id, signature, done AS fin, CASE WHEN done THEN NULL ELSE ts END AS planned, NOT done AS hit FROM a WHERE rn = 1
+ UNION ALL SELECT a.key, a.rn, a.ts, a.event_id, a.signature, f.fin OR a.done, CASE WHEN NOT (f.fin OR a.done) AND (f.planned IS NULL OR a.signature <> f.signature OR a.ts - f.planned >= 43200) THEN a.ts ELSE f.planned END,
   NOT (f.fin OR a.done) AND (f.planned IS NULL OR a.signature <> f.signature OR a.ts - f.planned >= 43200) FROM f JOIN a ON a.key = f.key AND a.rn = f.rn + 1)
-SELECT key, ts, signature FROM f WHERE hit"""
+SELECT key, ts, event_id, signature FROM f WHERE hit"""
 
 
 @query("st_recheck_throttle", _THROTTLE)
 def st_recheck_throttle(t):
-    return S.st_recheck_throttle(_sightings(t), key="key", ts="ts", signature="signature", done="done", recheck_s=43200).select("key", "ts", "signature")
+    return S.st_recheck_throttle(_sightings(t), key="key", ts="ts", signature="signature", done="done", recheck_s=43200, ordinal="event_id").select("key", "ts", "event_id", "signature")
 
 
 @query("st_upsert_held", """
@@ -285,7 +285,7 @@ def st_idle_stream(t):
     return _drain(t, streams.idle_spells(_stream_ev(t), key="user_id", ts="s", grace_s=86400), "idle")
 
 
-@query("st_throttle_stream", _THROTTLE)
+@query("st_throttle_stream", _THROTTLE.replace("ts, event_id, signature FROM f WHERE", "ts, signature FROM f WHERE"))
 def st_throttle_stream(t):
     e = _stream_ev(t).select(F.col("user_id").alias("key"), F.col("s").alias("ts"), F.floor(F.col("s") / 400000).cast("string").alias("signature"), (F.col("value") > 150).alias("done"))
     return _drain(t, streams.recheck_throttle(e, recheck_s=43200), "throttle")

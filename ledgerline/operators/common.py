@@ -135,8 +135,8 @@ def prefix_sum(df: DataFrame, *, order: str, value: str, out: str, block_bits: i
             .drop("_b1", "_b2", "_in", "_off"))
 
 
-def with_neighbours(df: DataFrame, *, key: str, ts: str, bucket: int) -> DataFrame:
-    """Add ``prev`` and ``next``: the neighbouring ``ts`` of the same key.
+def with_neighbours(df: DataFrame, *, key: str, ts: str, bucket: int, ordinal: str | None = None) -> DataFrame:
+    """Add ``prev`` and ``next``: the neighbouring ``ts`` of the same key, ties by ``ordinal``.
 
     Windows run per (key, time bucket); only the first and last time of each
     bucket cross buckets.  One key with a third of all rows is thus sorted by
@@ -147,7 +147,7 @@ def with_neighbours(df: DataFrame, *, key: str, ts: str, bucket: int) -> DataFra
     edges = rows.groupBy(key, "_b").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     wk = Window.partitionBy(key).orderBy("_b")
     edges = edges.select(key, "_b", F.lag("_hi").over(wk).alias("_before"), F.lead("_lo").over(wk).alias("_after"))
-    w = Window.partitionBy(key, "_b").orderBy(ts)
+    w = Window.partitionBy(key, "_b").orderBy(ts, *([ordinal] if ordinal else []))
     return (rows.withColumn("_p", F.lag(ts).over(w)).withColumn("_n", F.lead(ts).over(w))
             .join(edges, [key, "_b"])
             .withColumn("prev", F.coalesce("_p", "_before")).withColumn("next", F.coalesce("_n", "_after"))

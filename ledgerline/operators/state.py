@@ -41,22 +41,23 @@ def st_ledger_prune(ledger: DataFrame, *, now: int, keep_s: int = 30 * 86400) ->
     return ledger.filter(F.lit(now) - F.col("ts") <= keep_s)
 
 
-def st_recheck_gap(events: DataFrame, *, key: str, ts: str, gap_s: int) -> DataFrame:
+def st_recheck_gap(events: DataFrame, *, key: str, ts: str, gap_s: int, ordinal: str | None = None) -> DataFrame:
     """Events at least ``gap_s`` after the previous one of their key."""
-    near = with_neighbours(events, key=key, ts=ts, bucket=BUCKET_S)
+    near = with_neighbours(events, key=key, ts=ts, bucket=BUCKET_S, ordinal=ordinal)
     return near.filter(F.col("prev").isNull() | (F.col(ts) - F.col("prev") >= gap_s)).drop("prev", "next")
 
 
-def st_recheck_throttle(sightings: DataFrame, *, key: str, ts: str, signature: str, done: str, recheck_s: int) -> DataFrame:
+def st_recheck_throttle(sightings: DataFrame, *, key: str, ts: str, signature: str, done: str, recheck_s: int, ordinal: str | None = None) -> DataFrame:
     """Which sightings of a key get planned.
 
     First sight, a changed signature, or ``recheck_s`` since the last *planned*
     sighting; never after completion.  Each decision depends on the previous
-    one, so the sightings of a key are folded in time order.  The fold restarts
+    one, so the sightings of a key are folded in time order, ties by ``ordinal``.  The fold restarts
     at every signature change, so it runs per unchanged stretch.  It streams
     over sorted Arrow batches and holds one number per group, never the group.
     """
-    w = Window.partitionBy(key).orderBy(ts)
+    order = [ts, *([ordinal] if ordinal else [])]
+    w = Window.partitionBy(key).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     finished = F.coalesce(F.max(F.col(done).cast("int")).over(upto), F.lit(0)) == 1
     changed = F.coalesce(F.lag(signature).over(w) != F.col(signature), F.lit(True))
@@ -77,7 +78,7 @@ def st_recheck_throttle(sightings: DataFrame, *, key: str, ts: str, signature: s
                     last = t
             yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 
-    ordered = stretch.repartition(key, "_g").sortWithinPartitions(key, "_g", ts)
+    ordered = stretch.repartition(key, "_g").sortWithinPartitions(key, "_g", *order)
     return ordered.mapInPandas(spaced, ordered.schema).drop("_new", "_g")
 
 

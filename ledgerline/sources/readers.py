@@ -12,14 +12,14 @@ from ledgerline.functions import fixed
 from ledgerline.functions.keys import file_ext
 
 
-def src_scan_files(spark: SparkSession, root: str, extensions: Iterable[str] = (), limit: int = 0) -> DataFrame:
+def src_scan_files(spark: SparkSession, root: str, extensions: Iterable[str] = ()) -> DataFrame:
     """Recursive listing by extension.  Contents are pruned: no file is opened."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
     wanted = tuple(e.lower().lstrip(".") for e in extensions)
     if wanted:
         files = files.filter(file_ext("path").isin(*wanted))
-    return files.orderBy("path").limit(limit) if limit else files
+    return files
 
 
 def src_catalogue_snapshot(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
