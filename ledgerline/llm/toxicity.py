@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index.
 
-Labelled examples are held in blocks of similar ones.  For every term a block
+Vectors have all words of a text.  Labelled examples are held in blocks of
+similar ones, as postings.  For every term a block
 keeps the largest weight of any of its examples, so the query's weights times
 these maxima bound the cosine of everything in the block.  Queries visit blocks
 in order of their bounds and stop when no block left can beat their k-th
@@ -19,23 +20,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import held_out, staged, whole_text
+from ledgerline.llm.common import held_out, n_tasks, staged, whole_text
 
 #: most labelled examples of each class in the index, taken in order of a hash of the key
 EXAMPLES = 2_000
 
-#: terms of the vector space: those that tell the classes apart best, of at least LEAST_DF examples
-TERMS, LEAST_DF = 1_024, 5
-
-#: least chi-square of a term: chance gives more to one in a thousand
-LEAST_CHI = 10.83
-
 #: neighbours that vote, examples in a block, queries at once
 NEIGHBOURS, BLOCK, QUERIES = 15, 64, 512
 
+#: examples that share a term by which blocks are put together
+SHARED = 8
+
+#: parts of 1 in which squares are summed
+FINE = float(2 ** 30)
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -43,11 +44,6 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits; the index and the queries see only chosen ones of them."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
-
 def chosen_examples(labels: DataFrame, key: str, label: str, most: int = EXAMPLES) -> DataFrame:
     """``key, label, h, weight``: at most ``most`` of each class, and how many each stands for."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("key"))).distinct()
@@ -58,35 +54,53 @@ def chosen_examples(labels: DataFrame, key: str, label: str, most: int = EXAMPLE
     return picked.join(F.broadcast(sizes), "label").join(F.broadcast(got), "label").select("key", "label", "h", (F.col("_n") / F.col("_got")).alias("weight"))
 
 
-def chosen_terms(examples: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms with the largest chi-square between the classes, ``examples``: ``label, weight, terms``."""
-    n = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return []
-    counts = (examples.select("label", F.explode("terms").alias("term")).groupBy("term")
-              .agg(F.sum((F.col("label") == 1).cast("double")).alias("a"), F.count("*").cast("double").alias("df")).filter(F.col("df") >= LEAST_DF))
-    total = float(n[0] + n[1])
-    a, df, n1 = F.col("a"), F.col("df"), F.lit(float(n[1]))
-    rest = total - df
-    chi = F.try_divide(total * F.pow(a * total - df * n1, F.lit(2.0)), df * rest * n1 * (total - n1))
-    return [r["term"] for r in counts.withColumn("chi", F.coalesce(chi, F.lit(0.0))).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most).collect()]
+def terms_of(texts: DataFrame) -> list[str]:
+    """Every distinct term of ``text``, in order; for the bounded sample only."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0) for w in _tokens(t.as_py())}), pa.string())], ["term"])
+
+    return sorted(r["term"] for r in texts.select("text").mapInArrow(work, "term string").distinct().collect())
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``key, ids, counts`` of ``key, text``: the chosen terms of each text and how often they occur."""
-    number = {t: i for i, t in enumerate(terms)}
+    """``row, key, ids, counts, rest`` of ``row, key, text``: how often the terms occur, by number, and the other words."""
+    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    names = ["row", "key", "ids", "counts", "rest"]
+    listed = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.value
         for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(1):
-                found = Counter(filter(number.__contains__, _tokens(text.as_py())))
-                by_id = sorted((number[w], n) for w, n in found.items())
-                ids.append([i for i, _ in by_id])
-                counts.append([n for _, n in by_id])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["key", "ids", "counts"])
-
-    return docs.mapInArrow(work, f"key {docs.schema['key'].dataType.simpleString()}, ids array<int>, counts array<int>")
+            ids, counts, n_ids, rest, often, n_rest = [], [], [], [], [], []
+            for text in batch.column(2):
+                found = Counter(_tokens(text.as_py()))
+                by_id = sorted((known[w], n) for w, n in found.items() if w in known)
+                ids += [i for i, _ in by_id]
+                counts += [n for _, n in by_id]
+                n_ids.append(len(by_id))
+                if len(by_id) < len(found):
+                    others = [w for w in found if w not in known]
+                    rest += others
+                    often += [found[w] for w in others]
+                n_rest.append(len(found) - len(by_id))
+            words = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(often, pa.int32())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed(n_ids, pa.array(ids, pa.int32())),
+                                              listed(n_ids, pa.array(counts, pa.int32())), listed(n_rest, words)], names)
+
+    return docs.select("row", "key", "text").mapInArrow(
+        work, f"row long, key {docs.schema['key'].dataType.simpleString()}, ids array<int>, counts array<int>, rest array<struct<word: string, n: int>>")
+
+
+def rest_squares(found: DataFrame, n: int) -> DataFrame:
+    """``row, rest``: what the words that no example has add to a row's squared length.
+
+    Sums are of whole numbers, so they do not depend on the order of rows.
+    """
+    each = found.select("row", F.explode("rest").alias("_w")).select("row", "_w.word", "_w.n")
+    idf = each.groupBy("word").agg((F.log(F.lit(float(n + 1)) / (F.count("*") + 1)) + 1).alias("_idf"))
+    square = F.pow((1 + F.log(F.col("n").cast("double"))) * F.col("_idf"), F.lit(2.0))
+    return each.join(idf, "word").groupBy("row").agg((F.sum(F.round(square * FINE).cast("long")) / FINE).alias("rest"))
 
 
 def _frequencies(found: DataFrame, terms: int) -> DataFrame:
@@ -101,58 +115,143 @@ def _frequencies(found: DataFrame, terms: int) -> DataFrame:
     return found.select("ids").mapInArrow(work, "i int, n long")
 
 
+@dataclass
+class Rows:
+    """Sparse rows: row r has ``ids[ptr[r]:ptr[r + 1]]`` and their weights."""
+
+    ptr: np.ndarray
+    ids: np.ndarray
+    weights: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Rows:
+        at, ids = np.nonzero(matrix)
+        return cls(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(matrix)))]), ids, matrix[at, ids].astype(float))
+
+    def of_row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ptr))
+
+    def part(self, rows: np.ndarray) -> Rows:
+        at, n = _stretches(self.ptr[rows], self.ptr[rows + 1])
+        return Rows(np.concatenate([[0], np.cumsum(n)]), self.ids[at], self.weights[at])
+
+
+def _stretches(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions start .. end-1 of every stretch, one after the other, and how many each has."""
+    n = (end - start).astype(np.int64)
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n), n
+
+
+def unit(ids: list, counts: list, idf: np.ndarray, rest: np.ndarray | None = None) -> Rows:
+    """Rows of (1 + log tf) * idf, of unit length together with words whose squares sum to ``rest``."""
+    ptr = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)]).astype(np.int64)
+    flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
+    rows = Rows(ptr, flat, (1 + np.log(np.concatenate([np.empty(0), *counts]).astype(float))) * idf[flat])
+    of = rows.of_row()
+    square = np.bincount(of, rows.weights * rows.weights, len(rows)) + (0 if rest is None else rest)
+    rows.weights = rows.weights / np.sqrt(square)[of]
+    return rows
+
+
 def dense(ids: list, counts: list, idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length: (1 + log tf) * idf."""
-    out = np.zeros((len(ids), len(idf)), np.float32)
-    for row, i, n in zip(out, ids, counts):
-        if len(i):
-            row[i] = (1 + np.log(n)) * idf[i]
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, norm, out=out, where=norm > 0)
+    """``unit`` as a matrix, for small tables."""
+    rows = unit(ids, counts, idf)
+    out = np.zeros((len(rows), len(idf)), np.float32)
+    out[rows.of_row(), rows.ids] = rows.weights
+    return out
 
 
 @dataclass
 class Index:
-    """Examples in blocks: per block the terms it has and its weights on them, and every term's maximum in it."""
+    """Examples in blocks: postings by term and block, and every term's maximum in each block.
+
+    ``members`` names the examples, ``BLOCK`` to a block.  The postings of term
+    t in block b are ``ptr[t * blocks + b]`` to the next pointer.
+    """
 
     keys: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    members: np.ndarray
+    ptr: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
     top: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """Without the terms that a block does not have: the broadcast lies on every machine's disk."""
+        n = np.diff(self.ptr)
+        cells = np.flatnonzero(n)
+        return self.__dict__ | {"ptr": n[cells].astype(np.uint8), "place": self.place.astype(np.uint8), "top": self.top.ravel()[cells],
+                                "cells": cells.astype(np.int32), "shape": self.top.shape}
+
+    def __setstate__(self, state: dict) -> None:
+        cells, shape = state.pop("cells"), state.pop("shape")
+        n, top = np.zeros(shape[0] * shape[1], np.int32), np.zeros(shape[0] * shape[1], np.float32)
+        n[cells], top[cells] = state["ptr"], state["top"]
+        ptr = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        self.__dict__.update(state | {"ptr": ptr, "top": top.reshape(shape), "place": state["place"].astype(np.int32)})
+
+    @property
+    def blocks(self) -> int:
+        return self.top.shape[1]
+
     @classmethod
-    def of(cls, keys: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> Index:
-        # like beside like: by label and strongest term, so that maxima stay close to what a block holds
-        order = np.lexsort((keys, -rows.max(1, initial=0), rows.argmax(1) if rows.shape[1] else np.zeros(len(rows)), labels))
-        blocks = []
-        for at in range(0, len(order), BLOCK):
-            members = order[at:at + BLOCK]
-            terms = np.flatnonzero(rows[members].any(0))
-            blocks.append((members, terms, np.ascontiguousarray(rows[members][:, terms].T)))
-        top = np.array([rows[m].max(0) for m, _, _ in blocks], np.float32).reshape(len(blocks), rows.shape[1])
-        return cls(keys, labels, weights, blocks, top)
-
-    def nearest(self, queries: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, keys: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: Rows | np.ndarray) -> Index:
+        terms = rows.shape[1] if isinstance(rows, np.ndarray) else int(rows.ids.max(initial=-1)) + 1
+        rows = Rows.of(rows) if isinstance(rows, np.ndarray) else rows
+        of = rows.of_row()
+        # like beside like: by label and strongest term that some share, so that maxima stay close to what a block holds
+        shared = np.bincount(rows.ids, minlength=terms)[rows.ids] >= SHARED
+        strongest, value = np.full(len(rows), -1), np.zeros(len(rows))
+        by_weight = np.flatnonzero(shared)[np.argsort(rows.weights[shared], kind="stable")]
+        strongest[of[by_weight]], value[of[by_weight]] = rows.ids[by_weight], rows.weights[by_weight]
+        order = np.lexsort((keys, -value, strongest, labels))
+        blocks = -(-len(order) // BLOCK)
+        position = np.empty(len(order), np.int64)
+        position[order] = np.arange(len(order))
+        cell = rows.ids * blocks + position[of] // BLOCK
+        by_cell = np.lexsort((position[of], cell))
+        top = np.zeros(terms * blocks, np.float32)
+        np.maximum.at(top, cell, rows.weights.astype(np.float32))
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=terms * blocks))]).astype(np.int32)
+        return cls(keys, labels, weights, order, ptr, (position[of] % BLOCK)[by_cell].astype(np.int32), rows.weights[by_cell], top.reshape(terms, blocks))
+
+    def cosines(self, queries: Rows, block: int) -> np.ndarray:
+        """Of each query with each example of a block."""
+        size = len(self.members[block * BLOCK:(block + 1) * BLOCK])
+        cell = queries.ids * self.blocks + block
+        at, n = _stretches(self.ptr[cell], self.ptr[cell + 1])
+        return np.bincount(np.repeat(queries.of_row(), n) * size + self.place[at], np.repeat(queries.weights, n) * self.weight[at],
+                           len(queries) * size).reshape(len(queries), size)
+
+    def nearest(self, queries: Rows | np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``NEIGHBOURS`` nearest examples of each query row and their cosines, ties by position.
 
         Only examples with a positive cosine count; places left over have
         cosine 0.  ``own`` names an example that each query must not find.
         """
+        queries = Rows.of(queries) if isinstance(queries, np.ndarray) else queries
         n = len(queries)
-        best = np.zeros((n, NEIGHBOURS), np.float32)
+        best = np.zeros((n, NEIGHBOURS))
         who = np.full((n, NEIGHBOURS), -1)
-        bounds = queries @ self.top.T
+        bounds = np.zeros((n, self.blocks))
+        for r in range(n):
+            at = slice(queries.ptr[r], queries.ptr[r + 1])
+            bounds[r] = queries.weights[at] @ self.top[queries.ids[at]]
         order = np.argsort(-bounds, axis=1, kind="stable")
         for step in range(order.shape[1]):
             at = order[:, step]
-            open_ = np.flatnonzero(bounds[np.arange(n), at] * np.float32(1.00001) > best[:, -1])
+            open_ = np.flatnonzero(bounds[np.arange(n), at] * 1.00001 > best[:, -1])
             if not len(open_):
                 break
             for b in np.unique(at[open_]):
                 rows = open_[at[open_] == b]
-                members, terms, weights = self.blocks[b]
-                found = queries[np.ix_(rows, terms)] @ weights
+                members = self.members[b * BLOCK:(b + 1) * BLOCK]
+                found = self.cosines(queries.part(rows), int(b))
                 if own is not None:
                     found[members[None, :] == own[rows, None]] = 0
                 all_s = np.concatenate([best[rows], found], axis=1)
@@ -191,20 +290,20 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """``key, score, neighbours``, one row per row of ``docs``.
 
     ``neighbours`` is the evidence: ``key, label, cosine`` of the nearest
-    examples, nearest first.  A text without any chosen term (a null or empty
-    one too) has no neighbours and the score of such examples.  Without labels
+    examples, nearest first.  A text that shares no word with an example (a
+    null or empty one too) has no neighbours and the score of such examples.  Without labels
     of both classes every score is the share of label 1, or 0.  Held out and
     null labels are not used.  Repeated rows have equal scores.
 
     The index is fitted on a bounded sample of labelled rows (``examples`` of
-    each class); document frequencies are of all documents; every document is a
-    query.
+    each class) with all their words; document frequencies are of all documents,
+    also of words that no example has: these count in a document's length.
+    Every document is a query.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     picked = staged(chosen_examples(labels, key, label, examples), "examples")
-    sample = rows.join(F.broadcast(picked), "key")
-    terms = chosen_terms(sample.select("key", "label", "weight", terms_of(F.col("text")).alias("terms")).dropDuplicates(["key", "label"]))
+    terms = terms_of(rows.join(F.broadcast(picked), "key"))
     found = staged(vectors(rows, terms), "vectors")
     n = found.count()
     df = np.zeros(len(terms))
@@ -212,10 +311,12 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         df[r["i"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 1
 
-    known = found.join(F.broadcast(picked), "key").orderBy("h", "key", "label").dropDuplicates(["key", "label"]).limit(2 * examples).toPandas().sort_values(["h", "key", "label"])
-    matrix = dense(known["ids"].tolist(), known["counts"].tolist(), idf)
+    known = (found.select("key", "ids", "counts").join(F.broadcast(picked), "key").orderBy("h", "key", "label").dropDuplicates(["key", "label"])
+             .limit(2 * examples).toPandas().sort_values(["h", "key", "label"]))
+    matrix = unit(known["ids"].tolist(), known["counts"].tolist(), idf)
     index = Index.of(known["key"].to_numpy(), known["label"].to_numpy(int), known["weight"].to_numpy(float), matrix)
-    parts = [index.nearest(matrix[at:at + QUERIES], np.arange(at, min(at + QUERIES, len(matrix)))) for at in range(0, len(matrix), QUERIES)]
+    steps = [np.arange(at, min(at + QUERIES, len(matrix))) for at in range(0, len(matrix), QUERIES)]
+    parts = [index.nearest(matrix.part(at), at) for at in steps]
     own = np.concatenate([index.votes(*p) for p in parts]) if parts else np.empty(0)
     xs, ys = calibration(own, index.labels, index.weights) if len(own) else (np.array([-1.0]), np.array([0.0]))
     shared = spark.sparkContext.broadcast((index, idf, xs, ys))  # bounded by the sample and the terms
@@ -226,11 +327,13 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         for frame in frames:
             for at in range(0, len(frame), QUERIES):
                 f = frame.iloc[at:at + QUERIES]
-                who, cosine = index.nearest(dense(f["ids"].tolist(), f["counts"].tolist(), idf)) if index.blocks else (np.full((len(f), 1), -1), np.zeros((len(f), 1)))
+                who, cosine = index.nearest(unit(f["ids"].tolist(), f["counts"].tolist(), idf, f["rest"].to_numpy(float))) if index.blocks else (np.full((len(f), 1), -1), np.zeros((len(f), 1)))
                 votes = index.votes(who, cosine) if index.blocks else np.full(len(f), -1.0)
                 # the vote itself tells apart what the calibration pools
                 score = np.clip(0.99 * np.interp(votes, xs, ys) + 0.01 * np.maximum(votes, 0), 0, 1)
                 seen = [[{"key": index.keys[i], "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(w, s) if i >= 0] for w, s in zip(who, cosine)]
                 yield pd.DataFrame({"key": f["key"], "score": score, "neighbours": seen})
 
-    return found.mapInPandas(work, f"key {kind}, score double, neighbours array<struct<key: {kind}, label: int, cosine: double>>")
+    queries = (found.select("row", "key", "ids", "counts").repartition(n_tasks(spark), "row").join(rest_squares(found, n), "row", "left")
+               .select("key", "ids", "counts", F.coalesce("rest", F.lit(0.0)).alias("rest")))
+    return queries.mapInPandas(work, f"key {kind}, score double, neighbours array<struct<key: {kind}, label: int, cosine: double>>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,3 +74,12 @@ def without_repeats(texts, least):
         runs = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((bytes(c for c, g in zip(t, gone) if not g), sum(gone), runs))
     return out
+
+
+def cosines(texts, examples):
+    """TF-IDF cosine of every text with every example, on all words."""
+    counts = {k: collections.Counter(re.findall(r"[^\W_]+", t.lower())) for k, t in texts.items()}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    vectors = {k: {w: (1 + math.log(n)) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, n in c.items()} for k, c in counts.items()}
+    size = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in vectors.items()}
+    return {k: {e: sum(x * vectors[e].get(w, 0) for w, x in v.items()) / (size[k] * size[e]) for e in examples} for k, v in vectors.items()}

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -198,6 +199,23 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(empty, labels).count() == 0
 
 
+def test_toxicity_sees_every_word(spark):
+    """Neighbours and cosines by brute force on all words, rare ones of examples and ones of no example too."""
+    rng = random.Random(14)
+    texts = {i: data.prose(rng, 30) for i in range(80)}
+    texts |= {1000 + i: " ".join([*t.split()[:25], f"own{i}", "odd", "odd"]) for i, t in texts.items()}
+    rows = [(i, t, "s") for i, t in texts.items()]
+    labels = data.labels(spark, [(i, 1, int(i % 2)) for i in range(80)])
+    got = {r["key"]: {x["key"]: x["cosine"] for x in r["neighbours"]} for r in toxicity.scored(data.table(spark, rows), labels).collect()}
+    examples = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = brute.cosines(texts, examples)
+    for key in texts:
+        near = sorted(want[key].values(), reverse=True)[:toxicity.NEIGHBOURS]
+        assert np.allclose(sorted(got[key].values(), reverse=True), [c for c in near if c > 0], atol=1e-6)
+        assert all(abs(want[key][k] - c) < 1e-6 for k, c in got[key].items())
+    assert all(max(got[1000 + i], key=got[1000 + i].get) == i for i in examples)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from ledgerline.llm.common import staged
