@@ -208,6 +208,12 @@ def sim_title(t):
     return pairs.select("id", F.round(S.sim_title("a", "b"), 6).alias("score"))
 
 
+# all pairs, with those that only the ratio settles; no SQL twin: the ratio has no SQL form
+@query("sim_title_all")
+def sim_title_all(t):
+    return t.title_pairs.select("id", F.round(S.sim_title("a", "b"), 6).alias("score"))
+
+
 DERIVED["doc_pairs"] = """
 SELECT d.doc_id AS id, d.source AS source, d.text AS found, b.text AS wanted FROM (SELECT doc_id, source, text, doc_id % (SELECT COUNT(*) FROM benchmark) AS k FROM documents) d JOIN benchmark b ON d.k = b.item_id
 """

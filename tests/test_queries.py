@@ -45,3 +45,15 @@ def test_no_products(spark, name):
 def test_scan_is_pruned(spark):
     plan = entry.queries()["agg_wanted_missing"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "l_comment" not in plan and "l_extendedprice" not in plan
+
+
+def test_titles_scored_by_ratio(spark, con):
+    """All title pairs next to difflib, those that neither equality nor containment settles too."""
+    from difflib import SequenceMatcher
+
+    got = {r["id"]: r["score"] for r in entry.queries()["sim_title_all"](spark, FOLDER).collect()}
+    pairs = con.execute("SELECT p_partkey, p_name, p_type FROM part").fetchall()
+    assert set(got) == {i for i, _, _ in pairs}
+    for i, a, b in pairs:
+        if i % 5 == 4 and a not in b and b not in a:
+            assert abs(got[i] - SequenceMatcher(None, a, b).ratio()) < 1e-6, (a, b)
