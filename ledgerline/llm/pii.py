@@ -105,12 +105,22 @@ _BEYOND = re.compile("[\u0080-\u00bf\u0100-\U0010ffff]")
 _NUMBER = "|".join(_DIGITS)
 _SPELLED = re.compile(rf"(?i)(?<![a-z])(?:(plus)[\s-]*)?((?:{_NUMBER}|[0-9])(?:(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])){{2,}})(?![a-z])")
 _ONE = re.compile(rf"(?i){_NUMBER}|[0-9]")
-_MAYBE_SPELLED = re.compile(rf"(?:{_NUMBER})[\s-]+(?:dot\s+)?(?:{_NUMBER})\b")
+# what every match of _SPELLED with a spelled digit has: such a digit beside another, spelled or plain
+_MAYBE_SPELLED = re.compile(rf"(?i)(?:{_NUMBER})(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])|[0-9](?:\s+dot\s+|[\s-]*)(?:{_NUMBER})(?![a-z])")
 _BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
 _MAYBE_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
-# fixed values: last parts of names; a spelled "at" counts only before a name with spelled dots that ends in one
-_ENDS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|de|fr|es|it|nl|uk|us|eu|ch|at|be|pl|pt|se|no|ru|cn|jp|in|br|ca|au|mx|test|example"
-_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)*?\x20+dot\x20+(?:{_ENDS})(?![a-z0-9-]))")
+# fixed values: last parts of names, without country codes that are common English words (as, is, to and the like)
+_CODES = ("ac ad ae af ag ai al ao aq ar at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er "
+          "es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb "
+          "lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs "
+          "ru rw sa sb sc sd se sg sh si sj sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw")
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|app|dev|test|example|" + "|".join(_CODES.split())
+# a spelled "at" counts only before a dotted name that ends in one; after a real dot the end is in small letters
+_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)*?(?:\x20+dot\x20+(?:{_ENDS})|\.(?-i:{_ENDS}))(?![a-z0-9-]|\.[a-z0-9]))")
+# fixed values: words before "at" that are no names, where the name has only real dots
+_NO_NAMES = set("look looks looked looking available online hosted is are was were be it us me them him her page site website here more read found see visit arrive arrived meet live based".split())
+_WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_REAL_DOTS = re.compile(r"[A-Za-z0-9-]+\.")
 _DOT = re.compile(r"(?i)(?<=[a-z0-9-])\x20+dot\x20+(?=[a-z0-9])")
 
 
@@ -164,6 +174,12 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
+def _at(m: re.Match) -> list[tuple[int, int, str]]:
+    before = _WORD_BEFORE.search(m.string, max(0, m.start() - 64), m.start())
+    prose = before and before[0].lower() in _NO_NAMES and _REAL_DOTS.match(m.string, m.end())
+    return [] if prose else [(*m.span(), "@")]
+
+
 def normalised(text: str) -> Mapped | None:
     """The text with disguises undone, or None where there is no sign of one."""
     # cheap tests first: nearly all texts end here
@@ -172,11 +188,13 @@ def normalised(text: str) -> Mapped | None:
     seen = now.text if now else text
     low = seen.lower()
     bracketed = any(c in low for c in "[({<") and _MAYBE_BRACKETED.search(low)
-    spelled = any(w in low for w in _DIGITS) and _MAYBE_SPELLED.search(low)
-    if not (looks or bracketed or spelled or " dot " in low):
+    # some letters that are not ASCII equal ASCII ones regardless of case
+    spelled = (not low.isascii() or any(w in low for w in _DIGITS)) and _MAYBE_SPELLED.search(seen)
+    named = " at " in low and _AT.search(seen)
+    if not (looks or bracketed or spelled or named or " dot " in low):
         return None
     now = now or Mapped.of(text)
-    for pattern, new in ((_BRACKETED, lambda m: [(*m.span(), "@" if m[1].lower() == "at" else ".")]), (_AT, lambda m: [(*m.span(), "@")]),
+    for pattern, new in ((_BRACKETED, lambda m: [(*m.span(), "@" if m[1].lower() == "at" else ".")]), (_AT, _at),
                          (_SPELLED, _digits), (_DOT, lambda m: [(*m.span(), ".")])):
         now = now.rewritten(pattern, new)
     return now

@@ -53,6 +53,31 @@ def test_clean_texts_have_none(text):
     assert pii.found(text) == []
 
 
+@pytest.mark.parametrize("text, kind, hidden", [
+    ("pay 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+    ("call +1 five 5 five 1 two 3 four 5 six 7", "phone", "+1 five 5 five 1 two 3 four 5 six 7"),
+    ("mail john at example dot dk", "email", "john at example dot dk"),
+    ("mail john at example.com", "email", "john at example.com"),
+    ("mail john at mail.example.co.nz.", "email", "john at mail.example.co.nz"),
+])
+def test_mixed_digits_and_other_endings(text, kind, hidden):
+    assert (kind, hidden) in [(k, text[a:b]) for k, a, b, base in pii.found(text) if not base]
+
+
+@pytest.mark.parametrize("text", ["look at example.com for more", "we met at noon. It rained", "he sat at home.It was late", "stare at the dot is fun", "at 5 p.m. sharp", "sold at version 2.0"])
+def test_prose_with_at_has_none(text):
+    assert pii.found(text) == []
+
+
+def test_spelled_pretest_is_necessary():
+    rng = random.Random(15)
+    parts = ["one", "Two", "oh", "5", "plus", " ", "-", " dot ", "\n", "x", "sıx"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(8))
+        if any(pii._digits(m) for m in pii._SPELLED.finditer(text)):
+            assert pii.normalised(text) is not None, text
+
+
 def test_pii_rows(docs, empty):
     got = pii.detected(docs).collect()
     assert len(got) == len(ODD) and all(r["spans"] == [] for r in got if r["key"] in (1, 2, 3))
