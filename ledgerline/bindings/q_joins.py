@@ -98,6 +98,14 @@ def join_token_block(t):
     return J.join_token_block(wants, sources)
 
 
+# all lines of the documents, and every pair that can reach the least score of a plan; no SQL twin
+@query("join_title_close_lines")
+def join_title_close_lines(t):
+    wants = t.benchmark.select(K.key_song_title("text").alias("title_key"))
+    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("line"))
+    return J.join_title_close(wants, lines.select(K.key_song_title("line").alias("title_key")), floor=fixed.PLAN_MIN_SCORE)
+
+
 _EDITION = D.in_list(fixed.EDITION_WORDS).replace("remaster's", "remaster''s")
 
 

@@ -57,3 +57,11 @@ def test_titles_scored_by_ratio(spark, con):
     for i, a, b in pairs:
         if i % 5 == 4 and a not in b and b not in a:
             assert abs(got[i] - SequenceMatcher(None, a, b).ratio()) < 1e-6, (a, b)
+
+
+def test_later_lines_are_sources(spark, tmp_path):
+    lines = "Some other heading\nGloomy Sunday Evening\nSugar and Spice"
+    spark.createDataFrame([(1, lines)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Sugar and Spice"), (2, "Gloomy Sunday Evenings")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["want"], r["cand"], r["kind"]) for r in entry.queries()["join_title_close_lines"](spark, str(tmp_path)).collect()}
+    assert {k for _, _, k in got} == {"exact", "close"}, got
