@@ -106,7 +106,7 @@ _NUMBER = "|".join(_DIGITS)
 _SPELLED = re.compile(rf"(?i)(?<![a-z])(?:(plus)[\s-]*)?((?:{_NUMBER}|[0-9])(?:(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])){{2,}})(?![a-z])")
 _ONE = re.compile(rf"(?i){_NUMBER}|[0-9]")
 # what every match of _SPELLED with a spelled digit has: such a digit beside another, spelled or plain
-_MAYBE_SPELLED = re.compile(rf"(?i)(?:{_NUMBER})(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])|[0-9](?:\s+dot\s+|[\s-]*)(?:{_NUMBER})(?![a-z])")
+_MAYBE_SPELLED = re.compile(rf"(?:{_NUMBER})(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])|[0-9](?:\s+dot\s+|[\s-]*)(?:{_NUMBER})(?![a-z])")
 _BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
 _MAYBE_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
 # fixed values: last parts of names, without country codes that are common English words (as, is, to and the like)
@@ -188,8 +188,9 @@ def normalised(text: str) -> Mapped | None:
     seen = now.text if now else text
     low = seen.lower()
     bracketed = any(c in low for c in "[({<") and _MAYBE_BRACKETED.search(low)
-    # some letters that are not ASCII equal ASCII ones regardless of case
-    spelled = (not low.isascii() or any(w in low for w in _DIGITS)) and _MAYBE_SPELLED.search(seen)
+    # letters that are not ASCII and equal ASCII ones regardless of case
+    low = low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+    spelled = any(w in low for w in _DIGITS) and _MAYBE_SPELLED.search(low)
     named = " at " in low and _AT.search(seen)
     if not (looks or bracketed or spelled or named or " dot " in low):
         return None
