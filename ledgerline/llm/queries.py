@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity
+from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, vector_codes
 from ledgerline.llm.common import documents, held_out, new_folder
 from ledgerline.session import table
 
@@ -85,10 +86,38 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
+    return coded.select(F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources)}
+    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources, op11_vector_codes)}
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Plain search of every entry for every part, unrolled over the rounds."""
+    near = """SELECT p.i, p.vec_id, p.label, p.k, p.x, arg_min(c.j, {{'d': {d}, 'j': c.j}}) AS j, min({d}) AS d
+              FROM p JOIN c{r} c ON c.k = p.k GROUP BY ALL"""
+    square = "list_sum(list_transform(list_zip(p.x, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = "".join(f""",
+        a{r} AS ({near.format(d=square, r=r)}),
+        m{r} AS (SELECT k, j, list(s ORDER BY pos) AS e FROM (SELECT k, j, pos, CAST(floor(CAST(sum(x[pos]) AS DOUBLE) / count(*)) AS BIGINT) AS s FROM a{r}, range(1, len(x) + 1) AS u(pos) GROUP BY ALL) GROUP BY k, j),
+        c{r + 1} AS (SELECT c.k, c.j, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m USING (k, j))""" for r in range(rounds))
+    return f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT i, vec_id, label, k, q[k * (len(q) // 16) + 1:(k + 1) * (len(q) // 16)] AS x FROM v, range(16) AS u(k)),
+        c0 AS (SELECT k, i - 1 AS j, x AS e FROM p WHERE i <= 64){steps},
+        f AS ({near.format(d=square, r=rounds)}),
+        r AS (SELECT vec_id, label, string_agg(printf('%02x', j), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY i, vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+          (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY k, j)) FROM c{rounds}) AS codebooks_sha256 FROM r"""
+
 
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op6_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
