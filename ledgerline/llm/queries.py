@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, vector_codes
+from ledgerline.llm import bpe, conversations, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, vector_codes
 from ledgerline.llm.common import documents, held_out, new_folder
 from ledgerline.session import table
 
@@ -92,8 +92,20 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    turns, report = conversations.repaired(conversations.damaged(original))
+    digests = conversations.digests(turns)
+    every = original.select("conv_id").distinct()
+    joined = every.join(report, every["conv_id"].eqNullSafe(report["key"]), "left").drop("key")
+    joined = joined.join(digests, joined["conv_id"].eqNullSafe(digests["key"]), "left").drop("key")
+    counts = ("gaps", *conversations.FAULTS, "illegal", "cost")
+    return joined.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources, op11_vector_codes)}
+    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources, op11_vector_codes, op13_conversation_repair)}
 
 
 def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
