@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, conversations, exact_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, vector_codes
+from ledgerline.llm import bpe, conversations, exact_dedup, mixing, near_dedup, ngram_join, pii, quality_model, quality_rules, secret_scan, suffix_dedup, toxicity, vector_codes
 from ledgerline.llm.common import documents, held_out, new_folder
 from ledgerline.session import table
 
@@ -92,6 +92,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.joined_groups(documents(spark, sf_dir))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = table(spark, sf_dir, "conversations")
     turns, report = conversations.repaired(conversations.damaged(original))
@@ -105,7 +110,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources, op11_vector_codes, op13_conversation_repair)}
+    op1_pii, op2_exact_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_near_dedup, op7_secret_scan, op8_quality_model, op9_repeats, op10_mix_sources, op11_vector_codes, op12_ngram_join, op13_conversation_repair)}
 
 
 def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
@@ -128,19 +133,24 @@ def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
           (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY k, j)) FROM c{rounds}) AS codebooks_sha256 FROM r"""
 
 
-ORACLES: dict[str, str] = {
-    "op11_vector_codes": _codes_sql(),
-    "op6_near_dedup": r"""
+def _links_sql(words: int) -> str:
+    """Components of documents by shingles of so many words: all pairs that share one."""
+    return rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {words - 1}], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {words - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         shared AS (SELECT s FROM s GROUP BY 1 HAVING count(*) > 1),
         few AS (SELECT s.* FROM s JOIN shared USING (s)),
         edges AS (SELECT a.doc_id AS a, b.doc_id AS b FROM few a JOIN few b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
                   GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (min(na.n) + min(nb.n) - count(*))),
-        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
-        FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n.n""",
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+        groups AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n.n)"""
+
+
+ORACLES: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op6_near_dedup": f"{_links_sql(4)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM groups",
+    "op12_ngram_join": f"{_links_sql(5)} SELECT doc_id, n_shingles, component_id FROM groups",
     "op7_secret_scan": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         k AS (SELECT * FROM (VALUES
