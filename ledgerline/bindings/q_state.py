@@ -277,28 +277,3 @@ def _drain(t, stream, name):
 def src_new_file_stream(t):
     seen = streams.first_sightings(_stream_ev(t).withColumn("at", F.timestamp_seconds("s")), key="user_id", ts="at", delay="60 days")
     return _drain(t, seen.select("user_id"), "sightings")
-
-
-@query("st_idle_stream", """
-SELECT user_id AS key, idle_from, idle_to FROM (SELECT user_id, s AS idle_from, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS idle_to FROM ev) WHERE idle_to - idle_from >= 86400""")
-def st_idle_stream(t):
-    return _drain(t, streams.idle_spells(_stream_ev(t), key="user_id", ts="s", grace_s=86400), "idle")
-
-
-@query("st_throttle_stream", _THROTTLE.replace("ts, event_id, signature FROM f WHERE", "ts, signature FROM f WHERE"))
-def st_throttle_stream(t):
-    e = _stream_ev(t).select(F.col("user_id").alias("key"), F.col("s").alias("ts"), F.floor(F.col("s") / 400000).cast("string").alias("signature"), (F.col("value") > 150).alias("done"))
-    return _drain(t, streams.recheck_throttle(e, recheck_s=43200), "throttle")
-
-
-@query("st_upsert_stream", """
-WITH u AS (SELECT 'path/' || user_id AS source_path, s AS ts, event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS artist FROM ev)
-SELECT source_path, COALESCE(arg_max(artist, ts) FILTER (WHERE artist <> ''), '') AS artist, MIN(ts) AS created, MAX(ts) AS updated, COUNT(*) AS seen_count FROM u GROUP BY 1""")
-def st_upsert_stream(t):
-    i = F.col("event_id")
-    blank = F.lit("")
-    u = _stream_ev(t).select(F.concat(F.lit("path/"), F.col("user_id").cast("string")).alias("source_path"), F.col("s").alias("ts"), i.alias("ordinal"),
-                             F.when(i % 3 == 0, "").otherwise(F.col("event_type")).alias("artist"), blank.alias("album"), blank.alias("reason"), blank.alias("outcome"), blank.alias("kind"))
-    folder = _scratch(t, "held")
-    streams.upsert_held(u, folder, _scratch(t, "held-checkpoint"))
-    return sinks.read_snapshot(t.spark, folder).select("source_path", "artist", "created", "updated", "seen_count")

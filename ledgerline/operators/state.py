@@ -96,15 +96,44 @@ def st_upsert_held(updates: DataFrame, *, path: str = "source_path", fields: tup
     return agg.withColumn("id", key_entry_id(path))
 
 
-def st_merge_held(held: DataFrame, folded: DataFrame, *, path: str = "source_path",
-                  fields: tuple[str, ...] = ("artist", "album", "reason", "outcome", "kind")) -> DataFrame:
-    """Merge folded updates into the stored snapshot."""
-    new = folded.select(path, *[F.col(c).alias(f"_{c}") for c in (*fields, "created", "updated", "seen_count")])
-    both = held.join(new, path, "full_outer")
-    blank = lambda c: F.coalesce(F.nullif(text_or_empty(f"_{c}"), F.lit("")), text_or_empty(c))
-    return both.select(path, *[blank(c).alias(c) for c in fields],
-                       F.coalesce("created", "_created").alias("created"), F.coalesce("_updated", "updated").alias("updated"),
-                       (F.coalesce("seen_count", F.lit(0)) + F.coalesce("_seen_count", F.lit(0))).alias("seen_count"))
+def st_held_fold(updates: DataFrame, *, path: str = "source_path", fields: tuple[str, ...] = ("artist", "album", "reason", "outcome", "kind"),
+                 details: str | None = None, ts: str = "ts", ordinal: str = "ordinal") -> DataFrame:
+    """What updates come to per path, in a form that merges in any order.
+
+    Each field is ``(ts, ordinal, value)`` of its newest non-empty value,
+    ``details`` a map of such, one for each key of a JSON object (variant).
+    """
+    filled = lambda c: text_or_empty(c) != ""
+    newest = [F.max(F.when(filled(c), F.struct(F.col(ts).alias("ts"), F.col(ordinal).alias("ordinal"), F.col(c).alias("value")))).alias(c) for c in fields]
+    out = updates.groupBy(path).agg(*newest, F.min(ts).alias("created"), F.max(ts).alias("updated"), F.count("*").alias("seen_count"))
+    if details is None:
+        return out
+    each = updates.select(path, F.col(ts).alias("ts"), F.col(ordinal).alias("ordinal"), F.explode(F.col(details).cast("map<string,variant>")).alias("key", "value"))
+    # variants have no order of their own: the newest is picked by time and ordinal
+    by_key = each.groupBy(path, "key").agg(F.max_by(F.struct("ts", "ordinal", "value"), F.struct("ts", "ordinal")).alias("newest"))
+    maps = by_key.groupBy(path).agg(F.map_from_entries(F.collect_list(F.struct("key", "newest"))).alias("details"))
+    return out.join(maps, path, "left")
+
+
+def st_held_merge(a: DataFrame, b: DataFrame, *, path: str = "source_path") -> DataFrame:
+    """Two folds as one.  Newer values win, times take the least and greatest, counts add up: any order of merges gives the same."""
+    new = b.select(path, *[F.col(c).alias(f"_{c}") for c in b.columns if c != path])
+    fields = [c for c in a.columns if c not in (path, "created", "updated", "seen_count", "details")]
+    newer = lambda x, y: F.when(y.isNull() | (F.struct(x["ts"], x["ordinal"]) >= F.struct(y["ts"], y["ordinal"])), F.coalesce(x, y)).otherwise(y)
+    maps = [F.when(F.col("_details").isNull(), F.col("details")).when(F.col("details").isNull(), F.col("_details"))
+            .otherwise(F.map_zip_with("details", "_details", lambda _, x, y: newer(x, y))).alias("details")] if "details" in a.columns else []
+    return a.join(new, path, "full_outer").select(
+        path, *[F.greatest(c, f"_{c}").alias(c) for c in fields], F.least("created", "_created").alias("created"), F.greatest("updated", "_updated").alias("updated"),
+        (F.coalesce("seen_count", F.lit(0)) + F.coalesce("_seen_count", F.lit(0))).alias("seen_count"), *maps)
+
+
+def st_held_rows(folded: DataFrame, *, path: str = "source_path") -> DataFrame:
+    """The held items that a fold stands for; ``details`` is one variant object again."""
+    fields = [c for c in folded.columns if c not in (path, "created", "updated", "seen_count", "details")]
+    value = lambda c: F.coalesce(F.col(f"{c}.value"), F.lit(""))
+    details = [F.to_variant_object(F.transform_values("details", lambda _, x: x["value"])).alias("details")] if "details" in folded.columns else []
+    return folded.select(path, key_entry_id(path).alias("id"), *[(F.substring(value(c), 1, fixed.REASON_MAX_CHARS) if c == "reason" else value(c)).alias(c) for c in fields],
+                         "created", "updated", "seen_count", *details)
 
 
 def st_upsert_plan(stored: DataFrame, new: DataFrame, *, key: str = "id") -> DataFrame:

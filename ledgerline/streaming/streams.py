@@ -6,16 +6,17 @@ once the stream has drained.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.operators import state as S
-from ledgerline.sources.sinks import read_snapshot, sink_snapshot_swap
+from ledgerline.sources.sinks import commit_snapshot, read_snapshot
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -36,40 +37,39 @@ def first_sightings(stream: DataFrame, *, key: str, ts: str, delay: str = "1 day
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Drain the available input into parquet and stop."""
+    """Drain the available input into parquet and stop.  State is kept in RocksDB, on disk."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (stream.writeStream.outputMode(mode).format("parquet").option("path", folder)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return query
 
 
-def fold_into_snapshot(stream: DataFrame, snapshot: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-    """Per micro-batch: read the snapshot, apply ``step``, swap in the result.
+def fold_into_snapshot(stream: DataFrame, snapshot: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame, int], DataFrame],
+                       after: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Per micro-batch: ``step`` makes a new version of the snapshot of the last one and the batch.
 
-    The batch number is stored with the data, so a batch that is replayed after
-    a failure is recognised and skipped.
+    The commit notes the batch under the stream's checkpoint, so a replayed
+    batch changes nothing.  ``after`` sees the committed snapshot, on a replay
+    too: what it does happens at least once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = read_snapshot(spark, snapshot)
-        if old is not None:
-            last = old.agg(F.max("_batch")).first()[0]
-            if last is not None and last >= batch_id:
-                return
-            old = old.drop("_batch")
-        sink_snapshot_swap(step(old, batch).withColumn("_batch", F.lit(batch_id)), snapshot)
+        commit_snapshot(spark, snapshot, lambda old: step(old, batch, batch_id), stream=checkpoint, batch=batch_id)
+        if after is not None:
+            after(read_snapshot(spark, snapshot), batch_id)
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def upsert_held(stream: DataFrame, snapshot: str, checkpoint: str) -> None:
-    """Streaming twin of ``st_upsert_held``."""
+def upsert_held(stream: DataFrame, snapshot: str, checkpoint: str, **options) -> None:
+    """Streaming twin of ``st_upsert_held``; ``st_held_rows`` reads the snapshot.  Late and repeated updates do no harm."""
 
-    def step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        folded = S.st_upsert_held(batch).drop("id")
-        return folded if old is None else S.st_merge_held(old, folded)
+    def step(old: DataFrame | None, batch: DataFrame, _: int) -> DataFrame:
+        folded = S.st_held_fold(batch, **options)
+        return folded if old is None else S.st_held_merge(old, folded)
 
     fold_into_snapshot(stream, snapshot, checkpoint, step)
 
@@ -78,68 +78,15 @@ def gate_changes(stream: DataFrame, snapshot: str, checkpoint: str, judge: Calla
     """Streaming twin of ``st_change_gate``: judge only changed signatures.
 
     The stream carries ``key, signature, ts``; the newest signature of a key in
-    a batch counts.
+    a batch counts.  The ledger is committed first and tells in which batch a
+    signature came, so what is judged is read from it.
     """
 
-    def step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    def step(old: DataFrame | None, batch: DataFrame, batch_id: int) -> DataFrame:
         now = batch.groupBy("key").agg(F.max_by("signature", "ts").alias("signature"))
-        ledger = old if old is not None else now.limit(0)
-        changed = S.st_change_gate(now, ledger)
-        judge(changed)
-        return S.st_change_mark(ledger, changed)
-
-    fold_into_snapshot(stream, snapshot, checkpoint, step)
-
-
-IDLE_SCHEMA = "key long, idle_from long, idle_to long"
-
-
-def idle_spells(stream: DataFrame, *, key: str, ts: str, grace_s: int) -> DataFrame:
-    """Silences of at least ``grace_s`` between the events of a key.
-
-    Events of a key are sorted inside a micro-batch; state is one timestamp per
-    key.  The open silence at the end needs a clock and belongs to the batch
-    twin, or to the event-time timeout that also frees idle keys' state.
-    """
+        if old is None:
+            return now.withColumn("batch", F.lit(batch_id))
+        changed = S.st_change_gate(now, old).withColumn("batch", F.lit(batch_id))
+        return S.st_change_mark(old, changed)
 
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        times: list[int] = []
-        for pdf in batches:
-            times.extend(int(v) for v in pdf["s"])
-        spells = []
-        for t in sorted(times):
-            if last is not None and t - last >= grace_s:
-                spells.append((group[0], last, t))
-            last = t if last is None else max(last, t)
-        state.update((last,))
-        if spells:
-            yield pd.DataFrame(spells, columns=["key", "idle_from", "idle_to"])
-
-    rows = stream.select(F.col(key).alias("key"), F.col(ts).alias("s"))
-    return rows.groupBy("key").applyInPandasWithState(
-        update, IDLE_SCHEMA, "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def recheck_throttle(stream: DataFrame, *, recheck_s: int) -> DataFrame:
-    """Streaming twin of ``st_recheck_throttle`` on ``key, ts, signature, done``."""
-
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        planned, signature, done = state.get if state.exists else (None, None, False)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts")
-        keep = []
-        for t, sig, fin in zip(rows["ts"], rows["signature"], rows["done"]):
-            done = done or bool(fin)
-            hit = not done and (planned is None or sig != signature or t - planned >= recheck_s)
-            keep.append(hit)
-            if hit:
-                planned = int(t)
-            signature = sig
-        state.update((planned, signature, done))
-        yield rows[pd.Series(keep, index=rows.index, dtype=bool)][["key", "ts", "signature"]]
-
-    return stream.select("key", "ts", "signature", "done").groupBy("key").applyInPandasWithState(
-        update, "key long, ts long, signature string", "planned long, signature string, done boolean", "append", GroupStateTimeout.NoTimeout)
+    fold_into_snapshot(stream, snapshot, checkpoint, step, lambda ledger, batch_id: judge(ledger.filter(F.col("batch") == batch_id).drop("batch")))

@@ -3,9 +3,15 @@
 ``python tests/oracle.py 0.01`` runs all of them.
 """
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
+from ledgerline import bindings
 from tests import oracle
 
 FOLDER = "/root/testdata/sf0.01"
@@ -65,3 +71,14 @@ def test_later_lines_are_sources(spark, tmp_path):
     spark.createDataFrame([(1, "Sugar and Spice"), (2, "Gloomy Sunday Evenings")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r["want"], r["cand"], r["kind"]) for r in entry.queries()["join_title_close_lines"](spark, str(tmp_path)).collect()}
     assert {k for _, _, k in got} == {"exact", "close"}, got
+
+
+def test_the_rest_imports_without_the_optional_modules(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "ledgerline", tmp_path / "ledgerline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "corpus_pipeline.py").write_text("import ledgerline.llm\n")
+    code = "import __spark_entry__ as e, ledgerline; print(ledgerline.__file__); print(*e.queries())"
+    told = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.splitlines()
+    assert told[0].startswith(str(tmp_path))
+    assert set(told[1].split()) == set(bindings.queries())
