@@ -80,7 +80,7 @@ SELECT l_orderkey % 3000 AS album, l_orderkey || '-' || l_linenumber || '-' || l
 
 
 @query("win_rank_candidates", """
-SELECT album, ordinal, rank FROM (SELECT album, ordinal, CAST(row_number() OVER (PARTITION BY album ORDER BY CASE WHEN seeders + leechers > 0 THEN 1 ELSE 0 END DESC, floor(round(score / 0.1, 9)) DESC, lossless DESC, seeders + 0.3 * leechers DESC, ordinal) AS INTEGER) AS rank FROM candidates) WHERE rank <= 5""")
+SELECT album, ordinal, rank FROM (SELECT album, ordinal, CAST(row_number() OVER (PARTITION BY album ORDER BY CASE WHEN seeders + leechers > 0 THEN 1 ELSE 0 END DESC, floor(round(score / 0.1, 9)) DESC, lossless DESC, seeders + 0.3 * leechers DESC, ordinal) AS INTEGER) AS rank FROM candidates)""")
 def win_rank_candidates(t):
     return W.win_rank_candidates(t.candidates, group="album").select("album", "ordinal", "rank")
 
@@ -93,14 +93,14 @@ def rank_by_seeders(t):
 
 @query("win_rotation", """
 WITH l AS (SELECT c_custkey, MAX(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM customer LEFT JOIN events ON c_custkey = user_id AND event_type = 'view' GROUP BY 1)
-SELECT c_custkey, last FROM l WHERE last IS NULL OR 1706700000 - last >= 43200 ORDER BY COALESCE(last, 0), c_custkey LIMIT 15""")
+SELECT c_custkey, last, row_number() OVER (ORDER BY COALESCE(last, 0), c_custkey) AS turn FROM l WHERE last IS NULL OR 1706700000 - last >= 43200""")
 def win_rotation(t):
     e = t.events.filter("event_type = 'view'").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max(epoch_s("ts")).alias("last"))
     items = t.customer.select("c_custkey").join(e, "c_custkey", "left")
-    return W.win_rotation(items, last="last", ordinal="c_custkey", now=1706700000, cooldown=43200, per_pass=15)
+    return W.win_rotation(items, last="last", ordinal="c_custkey", now=1706700000, cooldown=43200)
 
 
-@query("win_newest_first", "SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS arrived FROM orders")
+@query("win_newest_first", "SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS arrived, row_number() OVER (ORDER BY substr(CAST(o_orderdate AS STRING), 1, 10) DESC, o_orderkey) AS rank FROM orders")
 def win_newest_first(t):
     o = t.orders.select("o_orderkey", F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("arrived"))
     return W.win_newest_first(o, arrived="arrived", ordinal="o_orderkey")
@@ -130,7 +130,7 @@ def win_best_edition(t):
 
 
 @query("win_sorted_plans", """
-SELECT album_id, artist, pct FROM (SELECT album_id, CAST(artist_id AS STRING) AS artist, round(100.0 * have / total, 1) AS pct FROM albums WHERE total > 0)""")
+SELECT album_id, artist, pct, row_number() OVER (ORDER BY pct DESC, artist, album_id) AS rank FROM (SELECT album_id, CAST(artist_id AS STRING) AS artist, round(100.0 * have / total, 1) AS pct FROM albums WHERE total > 0)""")
 def win_sorted_plans(t):
     p = t.albums.filter("total > 0").select("album_id", F.col("artist_id").cast("string").alias("artist"), F.round(F.lit(100.0) * F.col("have") / F.col("total"), 1).alias("pct"))
     return W.win_sorted_plans(p)

@@ -111,28 +111,37 @@ def contains_pairs(inner: DataFrame, outer: DataFrame, *, keys: Sequence[str] =
             .select(*keys, F.col("_in").alias("inner_text"), F.col("_out").alias("outer_text")))
 
 
-def prefix_sum(df: DataFrame, *, order: str, value: str, out: str, block_bits: int = 16) -> DataFrame:
-    """Sum of ``value`` over all rows with a smaller non-negative long ``order``.
+def _in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """Rows dealt by sampled borders of ``order`` into one part ``_p`` for each task: as many in each, in order from part to part."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: the borders come from a sample, and all that follows must see the same
+    return cut(df.repartitionByRange(tasks, *order).withColumn("_p", F.spark_partition_id()))
 
-    Three levels of blocks taken from the order value itself: rows inside a
-    block, blocks inside a super-block, super-blocks.  Each level is a
-    partitioned window over a table that is ``2**block_bits`` times smaller than
-    the one below, so no task ever sees the rows of the whole table.
+
+def _from_part(rows: DataFrame, value: Column) -> DataFrame:
+    """``_p, _before``: the sum of ``value`` over all parts before.  One row for each part."""
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("_p").agg(F.sum(value).alias("_s")).select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+
+
+def prefix_sum(df: DataFrame, *, order: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each in ``order``.
+
+    Sums run inside ranges of the order, which sampled borders make even however
+    the values lie; only the sums of whole ranges cross ranges.
     """
-    b1, b2 = F.shiftright(F.col(order), block_bits), F.shiftright(F.col(order), 2 * block_bits)
-    rows = df.withColumns({"_b1": b1, "_b2": b2})
-    before = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per1 = rows.groupBy("_b2", "_b1").agg(F.sum(value).alias("_s"))
-    per2 = per1.groupBy("_b2").agg(F.sum("_s").alias("_s"))
-    # the top table has one row per 2**(2*block_bits) order values
-    top = per2.select("_b2", before(Window.partitionBy(F.lit(0)).orderBy("_b2")).alias("_o2"))
-    mid = (per1.withColumn("_o1", before(Window.partitionBy("_b2").orderBy("_b1")))
-           .join(top, "_b2").select("_b1", (F.col("_o1") + F.col("_o2")).alias("_off")))
-    w = Window.partitionBy("_b1").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _in_ranges(df, F.col(order).asc())
+    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (rows.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
-            .join(mid, "_b1")
-            .withColumn(out, F.col("_in") + F.col("_off"))
-            .drop("_b1", "_b2", "_in", "_off"))
+            .join(_from_part(rows, F.col(value)), "_p").withColumn(out, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before"))
+
+
+def numbered(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """Rows with their number, from 1, in ``order``; ranges as in :func:`prefix_sum`."""
+    rows = _in_ranges(df, *order)
+    w = Window.partitionBy("_p").orderBy(*order)
+    return (rows.withColumn("_in", F.row_number().over(w)).join(_from_part(rows, F.lit(1)), "_p")
+            .withColumn(out, F.col("_in") + F.col("_before")).drop("_p", "_in", "_before"))
 
 
 def with_neighbours(df: DataFrame, *, key: str, ts: str, bucket: int, ordinal: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import text_or_empty
-from ledgerline.operators.common import best_row, prefix_sum, top_per_group
+from ledgerline.operators.common import best_row, numbered, prefix_sum, top_per_group
 
 
 def win_best_per_source(pairs: DataFrame, *, source: str = "source", value: str = "delta_ms", ordinal: str = "want_ordinal") -> DataFrame:
@@ -69,13 +69,14 @@ def win_budget(sources: DataFrame, *, ordinal: str, files: str, budget: int) ->
     return out.withColumn("taken", F.least(left, F.col(files)))
 
 
-def win_rank_candidates(candidates: DataFrame, *, group: str, k: int = 5, band: float = 0.1, leecher_weight: float = 0.3) -> DataFrame:
-    """Best ``k`` candidates per group: score band, lossless, swarm; dead last."""
+def win_rank_candidates(candidates: DataFrame, *, group: str, k: int | None = None, band: float = 0.1, leecher_weight: float = 0.3) -> DataFrame:
+    """Candidates of a group with their rank: score band, lossless, swarm; dead last.  With ``k`` only the best."""
     swarm = F.col("seeders") + leecher_weight * F.col("leechers")
     alive = F.when(F.col("seeders") + F.col("leechers") > 0, 1).otherwise(0)
     order = [alive.desc(), F.floor(F.round(F.col("score") / band, 9)).desc(), F.col("lossless").desc(), swarm.desc(), F.col("ordinal")]
     w = Window.partitionBy(group).orderBy(*order)
-    return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = candidates.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def rank_by_seeders(candidates: DataFrame, *, group: str, min_seeders: int = 1, k: int = 0) -> DataFrame:
@@ -85,14 +86,15 @@ def rank_by_seeders(candidates: DataFrame, *, group: str, min_seeders: int = 1,
     return live if k <= 0 else top_per_group(live, [group], order, k)
 
 
-def win_rotation(items: DataFrame, *, last: str, ordinal: str, now: int, cooldown: int, per_pass: int) -> DataFrame:
-    """Next items to try: cooled down, never tried first, longest untouched next."""
+def win_rotation(items: DataFrame, *, last: str, ordinal: str, now: int, cooldown: int) -> DataFrame:
+    """Items that have cooled down with their turn: never tried first, longest untouched next.  A pass takes as many turns as it can."""
     ready = items.filter(F.col(last).isNull() | (F.lit(now) - F.col(last) >= cooldown))
-    return ready.orderBy(F.coalesce(last, F.lit(0)), ordinal).limit(per_pass)
+    return numbered(ready, F.coalesce(last, F.lit(0)).asc(), F.col(ordinal).asc(), out="turn")
 
 
 def win_newest_first(items: DataFrame, *, arrived: str, ordinal: str) -> DataFrame:
-    return items.orderBy(F.col(arrived).desc_nulls_last(), ordinal)
+    """Items with their number, newest first."""
+    return numbered(items, F.col(arrived).desc_nulls_last(), F.col(ordinal).asc())
 
 
 def upper_median(df: DataFrame, *, group: str, size: str) -> DataFrame:
@@ -127,4 +129,5 @@ def win_best_edition(editions: DataFrame, *, group: str, count: str, target: str
 
 
 def win_sorted_plans(plans: DataFrame) -> DataFrame:
-    return plans.orderBy(F.col("pct").desc(), F.col("artist"), F.col("album_id"))
+    """Plans with their number, most complete first."""
+    return numbered(plans, F.col("pct").desc(), F.col("artist").asc(), F.col("album_id").asc())

@@ -6,14 +6,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import key_entry_id
 from ledgerline.functions.text import text_or_empty
-from ledgerline.operators.common import with_neighbours
+from ledgerline.operators.common import cut, with_neighbours
 
 BUCKET_S = 86_400
 
@@ -47,39 +46,72 @@ def st_recheck_gap(events: DataFrame, *, key: str, ts: str, gap_s: int, ordinal:
     return near.filter(F.col("prev").isNull() | (F.col(ts) - F.col("prev") >= gap_s)).drop("prev", "next")
 
 
+def _marked(sightings: DataFrame, *, key: str, ts: str, signature: str, order: Column, gap: int) -> DataFrame:
+    """Sightings with ``_o`` (their place), ``_changed`` and ``_change`` (the place of the next change after them).
+
+    Windows run per key and stretch of ``gap``; only what the stretches end and
+    begin with crosses them.
+    """
+    rows = sightings.withColumn("_o", order).withColumn("_b", F.floor(F.col(ts) / gap))
+    ends = rows.groupBy(key, "_b").agg(F.max_by(signature, "_o").alias("_end"))
+    per_key = Window.partitionBy(key).orderBy("_b")
+    before = ends.select(key, "_b", F.lag(F.struct(F.col("_end").alias("s"))).over(per_key).alias("_last"))
+    here = Window.partitionBy(key, "_b").orderBy("_o")
+    last = F.coalesce(F.lag(F.struct(F.col(signature).alias("s"))).over(here), F.col("_last"))
+    changed = rows.join(before, [key, "_b"]).withColumn("_was", last).withColumn("_changed", F.col("_was").isNull() | ~F.col("_was.s").eqNullSafe(F.col(signature)))
+    place = F.when(F.col("_changed"), F.col("_o"))
+    firsts = changed.groupBy(key, "_b").agg(F.min(place).alias("_first"))
+    later = firsts.select(key, "_b", F.min("_first").over(per_key.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    following = F.min(place).over(here.rowsBetween(1, Window.unboundedFollowing))
+    return changed.join(later, [key, "_b"]).withColumn("_change", F.coalesce(following, F.col("_later"))).drop("_last", "_was", "_later")
+
+
+def _first_after(rows: DataFrame, *, key: str, ts: str, gap: int) -> DataFrame:
+    """``key, ts, _next``: for each time the place of the first row at least ``gap`` later.
+
+    Times and times plus ``gap`` meet in stretches of ``gap``: such a stretch
+    holds at most ``gap`` times of a key, whatever the number of rows.
+    """
+    times = rows.groupBy(key, ts).agg(F.min("_o").alias("_place"))
+    there = times.select(key, F.col(ts).alias("_t"), "_place", F.lit(None).cast(times.schema[ts].dataType).alias("_from"))
+    asked = times.select(key, (F.col(ts) + gap).alias("_t"), F.lit(None).cast(times.schema["_place"].dataType).alias("_place"), F.col(ts).alias("_from"))
+    both = there.unionByName(asked).withColumn("_b", F.floor(F.col("_t") / gap))
+    here = Window.partitionBy(key, "_b").orderBy(F.col("_t").desc(), F.col("_from").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_key = Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = both.groupBy(key, "_b").agg(F.min("_place").alias("_p")).select(key, "_b", F.min("_p").over(per_key).alias("_later"))
+    found = both.withColumn("_in", F.min("_place").over(here)).filter("_from IS NOT NULL").join(later, [key, "_b"])
+    return found.select(key, F.col("_from").alias(ts), F.coalesce("_in", "_later").alias("_next"))
+
+
 def st_recheck_throttle(sightings: DataFrame, *, key: str, ts: str, signature: str, done: str, recheck_s: int, ordinal: str | None = None) -> DataFrame:
     """Which sightings of a key get planned.
 
     First sight, a changed signature, or ``recheck_s`` since the last *planned*
-    sighting; never after completion.  Each decision depends on the previous
-    one, so the sightings of a key are folded in time order, ties by ``ordinal``.  The fold restarts
-    at every signature change, so it runs per unchanged stretch.  It streams
-    over sorted Arrow batches and holds one number per group, never the group.
+    sighting; never after completion.  Ties go by ``ordinal``; sightings that
+    agree in both must agree in all.
+
+    Every sighting points to the first one ``recheck_s`` later, unless the
+    signature changes before.  Those planned are what first sights and changes
+    reach: pointers are doubled, and each round marks what the marked ones point
+    to, so there are as many rounds as the longest chain's length has bits.  No
+    task sees all rows of a key.
     """
-    order = [ts, *([ordinal] if ordinal else [])]
-    w = Window.partitionBy(key).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    finished = F.coalesce(F.max(F.col(done).cast("int")).over(upto), F.lit(0)) == 1
-    changed = F.coalesce(F.lag(signature).over(w) != F.col(signature), F.lit(True))
-    alive = sightings.withColumn("_fin", finished).filter(~F.col("_fin")).drop("_fin")
-    marked = alive.withColumn("_new", changed.cast("int"))
-    stretch = marked.withColumn("_g", F.sum("_new").over(upto))
-    def spaced(batches):
-        """Rows arrive grouped by (key, stretch) and sorted by time."""
-        group, last = None, None
-        for pdf in batches:
-            keep = []
-            for k, g, t in zip(pdf[key], pdf["_g"], pdf[ts]):
-                if (k, g) != group:
-                    group, last = (k, g), None
-                hit = last is None or t - last >= recheck_s
-                keep.append(hit)
-                if hit:
-                    last = t
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    ordered = stretch.repartition(key, "_g").sortWithinPartitions(key, "_g", *order)
-    return ordered.mapInPandas(spaced, ordered.schema).drop("_new", "_g")
+    gap = max(int(recheck_s), 1)
+    order = F.struct(F.col(ts).alias("t"), (F.col(ordinal) if ordinal else F.lit(0)).alias("o"))
+    ended = sightings.filter(done).groupBy(key).agg(F.min(order).alias("_end"))
+    alive = sightings.join(ended, key, "left").filter(F.col("_end").isNull() | (order < F.col("_end"))).drop("_end")
+    rows = cut(_marked(alive, key=key, ts=ts, signature=signature, order=order, gap=gap))
+    ahead = _first_after(rows, key=key, ts=ts, gap=gap)
+    to = F.when(F.col("_change").isNull() | (F.col("_next") < F.col("_change")), F.col("_next"))
+    hops = cut(rows.join(ahead, [key, ts]).select(F.col(key).alias("_k"), F.col("_o").alias("_a"), to.alias("_to")).filter("_to IS NOT NULL").distinct())
+    planned = rows.filter("_changed").select(F.col(key).alias("_k"), F.col("_o").alias("_a")).distinct()
+    while not hops.isEmpty():
+        reached = planned.join(hops, ["_k", "_a"]).select("_k", F.col("_to").alias("_a"))
+        planned = cut(planned.unionByName(reached).distinct())
+        then = hops.select("_k", F.col("_a").alias("_to"), F.col("_to").alias("_then"))
+        hops = cut(hops.join(then, ["_k", "_to"]).select("_k", "_a", F.col("_then").alias("_to")))
+    out = rows.join(planned, (F.col(key) == F.col("_k")) & (F.col("_o") == F.col("_a")), "left_semi")
+    return out.select(*sightings.columns)
 
 
 def st_upsert_held(updates: DataFrame, *, path: str = "source_path", fields: tuple[str, ...] = ("artist", "album", "reason", "outcome", "kind"),

@@ -141,7 +141,7 @@ def test_fuzzy_plan_brute_force(spark):
 
 def test_prefix_sum_levels(spark):
     vals = [(i, (i * 7) % 11) for i in range(0, 700, 3)]
-    got = rows(prefix_sum(spark.createDataFrame(vals, "o long, v long"), order="o", value="v", out="s", block_bits=3), "o", "s")
+    got = rows(prefix_sum(spark.createDataFrame(vals, "o long, v long"), order="o", value="v", out="s"), "o", "s")
     total, want = 0, []
     for o, v in vals:
         want.append((o, total))
