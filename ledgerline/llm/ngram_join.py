@@ -9,9 +9,9 @@ in the prefixes of every order are compared on their full sets.
 Token frequencies are counted once, by ranges of hashes.  Tokens of one set
 alone come first under every order, so a set with more of these than its prefix
 is long is linked with nothing and leaves; only the shared tokens of the others
-go on.  Then a short prefix links each set with the first one it meets, which
-joins most groups of copies; in what is left only pairs of different components
-are formed, in stripes of a token's sets.
+go on.  Then short prefixes pair each set with a few hubs it meets, which joins
+most groups of copies; in what is left only pairs of different components are
+formed, in stripes of a token's sets.
 """
 
 from __future__ import annotations
@@ -32,12 +32,18 @@ from ledgerline.llm.near_dedup import shingles
 #: words in a shingle, and least similarity in percent
 WORDS, PERCENT = 5, 80
 
-#: token orders, and tokens of each that a set is first met by
-ORDERS, FIRST = 3, 4
+#: token orders, and tokens of each prefix, first ones and any, that a set meets hubs by
+ORDERS, FEW = 3, 3
 
 #: tokens of a range of hashes, which one task counts at a time
 RANGE = 4_000_000
 
+#: rounds in which sets are paired with hubs only, and hubs of a token in the later ones
+ROUNDS, HUBS = 2, 8
+
+#: ranges of hashes at least
+LEAST_RANGES = 40
+
 #: sets of a token that are compared in one group
 STRIPE = 512
 
@@ -135,11 +141,11 @@ def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + 1
 
 
-def prefixes(nodes: DataFrame, percent: int, most: int | None = None, orders: tuple[int, ...] = tuple(range(ORDERS))) -> DataFrame:
+def prefixes(nodes: DataFrame, percent: int, few: int | None = None, orders: tuple[int, ...] = tuple(range(ORDERS))) -> DataFrame:
     """``ord, token, id, component, n, pos`` of ``id, component, n, tokens, df``: what each set has in its prefix under each order.
 
-    ``pos`` is the token's position in the whole set, from 0.  With ``most``
-    only the first shared tokens.
+    ``pos`` is the token's position in the whole set, from 0.  With ``few``
+    only so many of the first and so many of all.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,8 +157,6 @@ def prefixes(nodes: DataFrame, percent: int, most: int | None = None, orders: tu
                 has = pc.list_value_length(batch.column("tokens")).to_numpy().astype(np.int64)
                 own = n - has  # tokens of this set alone come first
                 take = np.clip(length - own, 0, has)
-                if most is not None:
-                    take = np.minimum(take, most)
                 owner, start = np.repeat(np.arange(len(n)), has), np.repeat(np.cumsum(has) - has, has)
                 for k in orders:
                     classes = np.floor(np.log2(df) * (1 << (ORDERS - 1 - k))).astype(np.int64)
@@ -161,6 +165,12 @@ def prefixes(nodes: DataFrame, percent: int, most: int | None = None, orders: tu
                     order = np.lexsort((tokens, h, classes, owner))
                     pos = np.arange(len(order)) - start
                     picked = pos < take[owner]
+                    if few is not None:
+                        # of the prefix the first, and those of least hash: what groups have in common may come after what each has alone
+                        low = np.lexsort((h[order] * _SEEDS[0, 0], ~picked, owner))
+                        rank = np.empty(len(order), np.int64)
+                        rank[low] = np.arange(len(order)) - start
+                        picked &= (pos < few) | (rank < few)
                     who = pa.array(owner[picked])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(who), k, np.int32)), pa.array(tokens[order[picked]].view(np.int64)), batch.column("id").take(who), batch.column("component").take(who),
@@ -180,12 +190,18 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def _first_met(tokens: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs of each set with the least (or greatest) set of another component that it meets by a token, under all orders."""
-    edge = F.max if last else F.min
-    hubs = tokens.groupBy("ord", "token").agg(edge(F.struct("id", "component", "n")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    met = tokens.join(hubs.select("ord", "token", "hub"), ["ord", "token"]).filter("component <> hub.component").filter(_sizes_fit("n", "hub.n", percent))
-    return _in_all_orders(met.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), "ord"))
+def _first_met(tokens: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs of each set with the hubs of another component that it meets by a token, under all orders.
+
+    The hub of a token's sets is the one of the smallest key, at seed 0, or
+    else ``HUBS`` of them by as many hashes of their keys.
+    """
+    one = F.struct("id", "component", "n")
+    picked = [F.min(one)] if seed == 0 else [F.min_by(one, F.xxhash64(F.lit(seed * HUBS + i), "id")) for i in range(HUBS)]
+    hubs = tokens.groupBy("ord", "token").agg(F.array(*picked).alias("hubs"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    each = hubs.select("ord", "token", F.explode(F.array_distinct("hubs")).alias("hub"))
+    met = tokens.join(each, ["ord", "token"]).filter("component <> hub.component").filter(_sizes_fit("n", "hub.n", percent))
+    return _in_all_orders(met.select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b"), "ord"))
 
 
 def _crossing(tokens: DataFrame, percent: int) -> DataFrame:
@@ -253,14 +269,14 @@ def joined_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     sizes = staged(sized(rows, words), "sizes")
     reps = sizes.filter("digest IS NOT NULL AND key IS NOT NULL").groupBy("digest").agg(F.min("key").alias("id"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    slices = _by_range(rows.filter(F.col("key").isNotNull()), words, max(n_tasks(spark), -(-total // RANGE)))
+    slices = _by_range(rows.filter(F.col("key").isNotNull()), words, max(LEAST_RANGES, -(-total // RANGE)))
     parts = _shared(slices).groupBy("digest").agg(F.first("size").alias("n"), F.collect_list(F.struct("tokens", "df")).alias("parts"))
     able = parts.select("digest", "n", F.flatten("parts.tokens").alias("tokens"), F.flatten("parts.df").alias("df")).filter(100 * F.size("tokens") >= percent * F.col("n"))
     nodes = staged(able.join(reps, "digest").select("id", "n", "tokens", "df"), "nodes")
 
     links, joined = None, None
-    for last in (False, True):
-        met = _first_met(prefixes(_placed(nodes, joined), percent, FIRST), percent, last)
+    for seed in range(ROUNDS):
+        met = _first_met(prefixes(_placed(nodes, joined), percent, FEW), percent, seed)
         found = staged(_confirmed(met, nodes, percent), "links")
         links = found if links is None else links.unionByName(found)
         joined = components(links)
