@@ -112,6 +112,3 @@ SELECT p_partkey AS ordinal, p_partkey AS album_id, p_brand AS artist, p_name AS
   CAST(1960 + p_partkey % 60 AS STRING) || '-05-01' AS release_date
 FROM part
 """
-DERIVED["doc_lines"] = """
-SELECT doc_id AS id, split_part(text, chr(10), 1) AS line, lang, source, n_chars FROM documents
-"""

@@ -200,17 +200,16 @@ SELECT p.p_partkey AS id, p.p_name AS a, CASE p.p_partkey % 5 WHEN 0 THEN p.p_na
 """
 
 
+# the ratio: the longest common piece, the first in a and then in b, splits both texts; what is left of it and right of it goes on
 @query("sim_title", """
-SELECT id, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 * least(length(a), length(b)) / greatest(length(a), length(b)) + 0.05 END, 6) AS score
-FROM title_pairs WHERE id % 5 <> 4""")
+WITH RECURSIVE piece AS (SELECT id, a AS x, b AS y, 0 AS k, 0 AS deep FROM title_pairs WHERE a <> '' AND b <> '' AND NOT contains(a, b) AND NOT contains(b, a)
+ UNION ALL SELECT id, CASE side WHEN 0 THEN substr(x, 1, m.i - 1) ELSE substr(x, m.i + m.k) END, CASE side WHEN 0 THEN substr(y, 1, m.j - 1) ELSE substr(y, m.j + m.k) END, CASE side WHEN 0 THEN m.k ELSE 0 END, deep + 1
+  FROM (SELECT id, x, y, deep, (SELECT max({'k': n, 'i': -i, 'j': -j}) FROM range(1, length(x) + 1) AS r(i), range(1, length(y) + 1) AS s(j), range(1, least(length(x) - i, length(y) - j) + 2) AS t(n) WHERE substr(x, i, n) = substr(y, j, n)) AS f
+        FROM piece WHERE x <> '' AND y <> '') AS p, LATERAL (SELECT f.k AS k, -f.i AS i, -f.j AS j) AS m, (VALUES (0), (1)) AS v(side) WHERE f IS NOT NULL),
+matched AS (SELECT id, sum(k) AS k FROM piece GROUP BY id)
+SELECT p.id, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 * least(length(a), length(b)) / greatest(length(a), length(b)) + 0.05
+ ELSE 2.0 * m.k / (length(a) + length(b)) END, 6) AS score FROM title_pairs p LEFT JOIN matched m ON m.id = p.id""")
 def sim_title(t):
-    pairs = t.title_pairs.filter("id % 5 <> 4")
-    return pairs.select("id", F.round(S.sim_title("a", "b"), 6).alias("score"))
-
-
-# all pairs, with those that only the ratio settles; no SQL twin: the ratio has no SQL form
-@query("sim_title_all")
-def sim_title_all(t):
     return t.title_pairs.select("id", F.round(S.sim_title("a", "b"), 6).alias("score"))
 
 

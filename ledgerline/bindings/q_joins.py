@@ -80,30 +80,33 @@ def join_four_gates(t):
     return J.join_four_gates(t.songs, t.wants).drop("confidence")
 
 
-# documents' words against the benchmark's, both shortened by the title key
+# every line of the documents against all titles of the benchmark
+DERIVED["line_titles"] = f"""
+SELECT DISTINCT k AS cand FROM (SELECT {D.song_title('line')} AS k FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE k <> ''
+"""
+
+
+def _line_titles(t):
+    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    return lines.select(K.key_song_title("line").alias("title_key"))
+
+
 @query("join_token_block", f"""
-WITH w AS (SELECT DISTINCT {D.song_title('text')} AS want FROM benchmark), s AS (SELECT DISTINCT k AS cand FROM (
-   SELECT {D.song_title('line')} AS k FROM doc_lines UNION ALL SELECT {D.song_title('text')} FROM benchmark WHERE item_id % 4 = 0) WHERE k <> ''),
-ts AS (SELECT DISTINCT cand, unnest(list_filter(string_split(cand, ' '), lambda x: length(x) >= 3)) AS tok FROM s),
-df AS (SELECT tok, COUNT(*) AS df FROM ts GROUP BY tok),
-r AS (SELECT want, string_split(want, ' ') AS l FROM w WHERE want <> '' AND want NOT IN (SELECT cand FROM s)),
-tw AS (SELECT want, tok, MIN(pos) AS pos FROM (SELECT want, unnest(list_filter(l, lambda x: length(x) >= 3)) AS tok, unnest(range(len(list_filter(l, lambda x: length(x) >= 3)))) AS pos FROM r) GROUP BY want, tok),
-c AS (SELECT tw.want, tw.tok, COALESCE(SUM(df) OVER (PARTITION BY want ORDER BY df, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tw JOIN df ON tw.tok = df.tok)
-SELECT want, want AS cand, 'exact' AS kind FROM w WHERE want IN (SELECT cand FROM s)
-UNION ALL SELECT DISTINCT c.want, ts.cand, 'token' FROM c JOIN ts ON c.tok = ts.tok WHERE before < 400""")
+WITH w AS (SELECT DISTINCT {D.song_title('text')} AS want FROM benchmark), ww AS (SELECT want, list_distinct(list_filter(string_split(want, ' '), lambda x: length(x) >= 3)) AS l FROM w WHERE want <> ''),
+s AS (SELECT cand, list_distinct(list_filter(string_split(cand, ' '), lambda x: length(x) >= 3)) AS l FROM line_titles),
+x AS (SELECT want, cand, COUNT(*) AS n FROM (SELECT want, unnest(l) AS tok FROM ww WHERE want NOT IN (SELECT cand FROM s)) a JOIN (SELECT cand, unnest(l) AS tok FROM s) b ON a.tok = b.tok GROUP BY 1, 2)
+SELECT want, want AS cand, 'exact' AS kind, CAST(len(l) AS INTEGER) AS n_shared FROM ww WHERE want IN (SELECT cand FROM s)
+UNION ALL SELECT x.want, cand, 'token', CAST(n AS INTEGER) FROM x JOIN ww ON x.want = ww.want WHERE 100 * n >= 50 * len(l)""")
 def join_token_block(t):
     wants = t.benchmark.select(K.key_song_title("text").alias("title_key"))
-    sources = t.doc_lines.select(K.key_song_title("line").alias("title_key")).unionAll(
-        t.benchmark.filter("item_id % 4 = 0").select(K.key_song_title("text").alias("title_key")))
-    return J.join_token_block(wants, sources)
+    return J.join_token_block(wants, _line_titles(t))
 
 
-# all lines of the documents, and every pair that can reach the least score of a plan; no SQL twin
+# the same titles, every pair that can reach the least score of a plan; no SQL twin
 @query("join_title_close_lines")
 def join_title_close_lines(t):
     wants = t.benchmark.select(K.key_song_title("text").alias("title_key"))
-    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("line"))
-    return J.join_title_close(wants, lines.select(K.key_song_title("line").alias("title_key")), floor=fixed.PLAN_MIN_SCORE)
+    return J.join_title_close(wants, _line_titles(t), floor=fixed.PLAN_MIN_SCORE)
 
 
 _EDITION = D.in_list(fixed.EDITION_WORDS).replace("remaster's", "remaster''s")

@@ -325,7 +325,7 @@ def dec_prefer_multichannel(t):
 WITH q AS (SELECT p_partkey AS id, round(CASE WHEN p_type <> 'SMALL' THEN 2 ELSE 0 END + CASE WHEN p_size % 7 > 2 THEN 2 ELSE 0 END + (p_size % 7) / 10 + p_size / 100 + 0.0044100, 9) AS r FROM part),
 h AS (SELECT a.id AS held_id, a.id // 2 AS album_id, a.r, b.r AS l FROM q a LEFT JOIN q b ON b.id = a.id // 2 AND b.id % 5 <> 0),
 v AS (SELECT held_id, album_id, CASE WHEN l IS NULL THEN 'not in library' WHEN r > l THEN 'better' WHEN r < l THEN 'worse' ELSE 'same' END AS verdict FROM h)
-SELECT held_id, album_id, verdict, held_id IN (SELECT held_id FROM v WHERE verdict = 'not in library' AND held_id % 2 = 0 ORDER BY held_id LIMIT 6) AS auto FROM v""")
+SELECT held_id, album_id, verdict, CASE WHEN verdict = 'not in library' AND held_id % 2 = 0 THEN row_number() OVER (PARTITION BY verdict = 'not in library' AND held_id % 2 = 0 ORDER BY held_id) END AS turn FROM v""")
 def dec_held_vs_library(t):
     q = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_type") != "SMALL").alias("lossless"), (F.col("p_size") % 7).alias("channels"), F.col("p_size").alias("bits"), F.lit(44100).alias("rate"))
     held = q.withColumn("held_id", F.col("id")).withColumn("album_id", F.floor(F.col("id") / 2)).withColumn("monitored", F.col("id") % 2 == 0).drop("id")

@@ -141,9 +141,9 @@ def agg_match_rejects(t):
 
 
 @query("agg_match_report", """
-SELECT album, ordinal, want_ordinal, delta_ms, n_matched FROM (SELECT *, COUNT(*) OVER (PARTITION BY album) AS n_matched, row_number() OVER (PARTITION BY album ORDER BY delta_ms, ordinal) AS rn FROM judged WHERE want_ordinal IS NOT NULL) WHERE rn <= 6""")
+SELECT album, ordinal, want_ordinal, delta_ms, COUNT(*) OVER (PARTITION BY album) AS n_matched, row_number() OVER (PARTITION BY album ORDER BY delta_ms, ordinal) AS rank FROM judged WHERE want_ordinal IS NOT NULL""")
 def agg_match_report(t):
-    return R.agg_match_report(_judged(t)).select("album", "ordinal", "want_ordinal", "delta_ms", "n_matched")
+    return R.agg_match_report(_judged(t)).select("album", "ordinal", "want_ordinal", "delta_ms", "n_matched", "rank")
 
 
 @query("agg_full_album_gate", """
@@ -217,11 +217,10 @@ def agg_job_progress(t):
 
 
 @query("agg_job_window", """
-WITH a AS (SELECT *, row_number() OVER (ORDER BY CASE state WHEN 'running' THEN 0 ELSE 1 END, added, job_id) AS rn FROM jobs WHERE state IN ('running', 'queued')),
-d AS (SELECT * FROM jobs WHERE state NOT IN ('running', 'queued') ORDER BY added DESC, job_id DESC LIMIT 25)
-SELECT job_id, state FROM a WHERE state = 'running' OR rn <= 4000 UNION ALL SELECT job_id, state FROM d""")
+SELECT job_id, state, row_number() OVER (ORDER BY CASE state WHEN 'running' THEN 0 ELSE 1 END, added, job_id) AS place FROM jobs WHERE state IN ('running', 'queued')
+UNION ALL SELECT job_id, state, row_number() OVER (ORDER BY added DESC, job_id DESC) FROM jobs WHERE state NOT IN ('running', 'queued')""")
 def agg_job_window(t):
-    return R.job_window(t.jobs, window=4000).select("job_id", "state")
+    return R.job_window(t.jobs).select("job_id", "state", "place")
 
 
 @query("agg_badges", """

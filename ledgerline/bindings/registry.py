@@ -24,7 +24,7 @@ DERIVED: dict[str, str] = {}
 
 # inputs that costly text expressions run over: their base table and a unique key
 SPREAD = {"files": ("lineitem", "file_id"), "songs": ("lineitem", "ordinal"), "tracks": ("lineitem", "track_id"),
-          "documents": ("documents", "doc_id"), "doc_lines": ("documents", "id"), "conversations": ("conversations", "text")}
+          "documents": ("documents", "doc_id"), "conversations": ("conversations", "text")}
 
 
 class Inputs:

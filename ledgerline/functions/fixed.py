@@ -153,7 +153,6 @@ DOWNLOADING_STATES = ("downloading", "forceddl", "dl")
 # --- fixed values: thresholds and limits -------------------------------------
 DURATION_TOLERANCE_MS = 10_000
 AUTHORITY_TOLERANCE_MS = 15_000
-BLOCK_CANDIDATES = 400
 FUZZY_MIN = 0.90
 FUZZY_MARGIN = 0.05
 FUZZY_MIN_LENGTH = 6

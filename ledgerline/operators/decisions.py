@@ -13,6 +13,7 @@ from ledgerline.functions import fixed
 from ledgerline.functions.predicates import ancestors, is_disc_folder
 from ledgerline.functions.similarity import sim_quality_rank
 from ledgerline.functions.text import text_or_empty
+from ledgerline.operators.common import numbered
 from ledgerline.operators.joins import join_ancestor_drop
 from ledgerline.operators.rollups import is_complete
 from ledgerline.operators.ranking import upper_median
@@ -176,17 +177,17 @@ def dec_prefer_multichannel(folders: DataFrame) -> DataFrame:
         "keep", (F.col("folder") == F.col("_keep")) | (F.col("_top") <= 2)).drop("_top", "_keep")
 
 
-def dec_held_vs_library(held: DataFrame, library: DataFrame, *, per_pass: int = 6) -> DataFrame:
-    """Is the held copy better than the library's?  ``auto`` marks the first few
-    improvements of monitored gaps.  Both need the quality columns."""
+def dec_held_vs_library(held: DataFrame, library: DataFrame) -> DataFrame:
+    """Is the held copy better than the library's?  ``turn`` numbers what fills a
+    monitored gap; a pass takes the first few.  Both need the quality columns."""
     rank = lambda p: sim_quality_rank(f"{p}lossless", f"{p}channels", f"{p}bits", f"{p}rate")
     lib = library.select("album_id", *[F.col(c).alias(f"l_{c}") for c in ("lossless", "channels", "bits", "rate")], F.lit(True).alias("_lib"))
     out = held.join(lib, "album_id", "left")
     h, l = F.round(rank(""), 9), F.round(rank("l_"), 9)
     out = out.withColumn("verdict", F.when(F.col("_lib").isNull(), "not in library").when(h > l, "better").when(h < l, "worse").otherwise("same"))
-    chosen = (out.filter((F.col("verdict") == "not in library") & F.col("monitored")).orderBy("held_id").limit(per_pass)
-              .select("held_id").withColumn("auto", F.lit(True)))
-    return out.join(chosen, "held_id", "left").select("held_id", "album_id", "verdict", F.coalesce("auto", F.lit(False)).alias("auto"))
+    gap = (F.col("verdict") == "not in library") & F.coalesce("monitored", F.lit(False))
+    turns = numbered(out.withColumn("_gap", gap), F.col("_gap").desc(), F.col("held_id").asc(), out="turn")  # gaps first, so they are numbered from 1
+    return turns.select("held_id", "album_id", "verdict", F.when(F.col("_gap"), F.col("turn")).alias("turn"))
 
 
 def dec_convert_selection(files: DataFrame, *, lossless_only: bool, copy_lossy: bool) -> DataFrame:

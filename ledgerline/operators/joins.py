@@ -153,30 +153,31 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
 
 
 # --- blocking -------------------------------------------------------------------------
-def join_token_block(wants: DataFrame, sources: DataFrame, *, title: str = "title_key",
-                     enough: int = fixed.BLOCK_CANDIDATES) -> DataFrame:
-    """Distinct title pairs worth comparing: equal titles, else shared rare words.
-
-    A wanted title that occurs among the sources gets only that one pair.  The
-    others take their words of three or more letters, rarest first, until the
-    words taken so far cover at least ``enough`` source titles.  Every source
-    title under a taken word is a candidate; none is cut off.
+def join_token_block(wants: DataFrame, sources: DataFrame, *, title: str = "title_key", percent: int = 50) -> DataFrame:
+    """Distinct title pairs worth comparing, with the words they share: equal titles, or ``percent`` of the wanted title's words.
+
+    Words have three or more letters.  A wanted title that occurs among the
+    sources gets only that one pair.  For the others a pair with so many words
+    in common shares one of the wanted title's rarest words, once all but so
+    many less one are kept: those are looked up, then the words are counted, so
+    no pair is lost and none is cut off.
     """
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: F.length(t) >= 3))
     w = wants.select(F.col(title).alias("want")).filter("want <> ''").distinct()
     s = sources.select(F.col(title).alias("cand")).filter("cand <> ''").distinct()
-    exact = w.join(s, w["want"] == s["cand"], "left_semi").select("want", F.col("want").alias("cand"), F.lit("exact").alias("kind"))
-    rest = w.join(s, w["want"] == s["cand"], "left_anti")
-    words = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 3)
-    tok_s = s.select("cand", F.explode(F.array_distinct(words(F.col("cand")))).alias("tok"))
-    tok_w = (rest.select("want", F.posexplode(words(F.col("want"))).alias("pos", "tok"))
-             .groupBy("want", "tok").agg(F.min("pos").alias("pos")))
+    exact = w.join(s, w["want"] == s["cand"], "left_semi").select("want", F.col("want").alias("cand"), F.lit("exact").alias("kind"), F.size(words("want")).alias("n_shared"))
+    rest = w.join(s, w["want"] == s["cand"], "left_anti").withColumn("_w", words("want"))
+    cands = s.withColumn("_c", words("cand"))
+    tok_w = rest.select("want", F.explode("_w").alias("tok"))
+    tok_s = cands.select("cand", F.explode("_c").alias("tok")).join(tok_w.select("tok").distinct(), "tok", "left_semi")
     df = tok_s.groupBy("tok").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("want").orderBy("df", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = (tok_w.join(df, "tok")
-              .withColumn("before", F.coalesce(F.sum("df").over(order), F.lit(0)))
-              .filter(F.col("before") < enough))
-    fuzzy = chosen.join(tok_s, "tok").select("want", "cand").distinct().withColumn("kind", F.lit("token"))
-    return exact.unionByName(fuzzy)
+    ranked = tok_w.join(df, "tok", "left").groupBy("want").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("_r"))
+    least = F.ceil(F.size("_r") * percent / F.lit(100))
+    rare = ranked.select("want", F.explode(F.slice("_r", 1, F.size("_r") - F.greatest(least, F.lit(1)) + 1)).alias("r")).select("want", F.col("r.tok").alias("tok"))
+    met = rare.join(tok_s, "tok").select("want", "cand").distinct()
+    counted = met.join(rest, "want").join(cands, "cand").withColumn("n_shared", F.size(F.array_intersect("_w", "_c")))
+    token = counted.filter(100 * F.col("n_shared") >= percent * F.size("_w")).select("want", "cand", F.lit("token").alias("kind"), "n_shared")
+    return exact.unionByName(token)
 
 
 def join_word_subset(owned: DataFrame, downloads: DataFrame, *, artist: str = "artist") -> DataFrame:

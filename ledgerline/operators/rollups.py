@@ -17,7 +17,7 @@ from ledgerline.functions.keys import path_parts
 from ledgerline.functions.predicates import ancestors, is_audio_file
 from ledgerline.functions.similarity import sim_title, sim_title_native
 from ledgerline.functions.text import col, text_or_empty
-from ledgerline.operators.common import best_row, spread, top_per_group
+from ledgerline.operators.common import best_row, numbered, spread, top_per_group
 from ledgerline.operators.joins import join_title_close
 
 
@@ -205,11 +205,12 @@ def agg_match_rejects(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("want_ordinal").isNull() & (F.col("reason") != "title not wanted by any album")).select("ordinal", "reason")
 
 
-def agg_match_report(judged: DataFrame, k: int = 6) -> DataFrame:
-    """Up to ``k`` matched rows per album, albums with their match counts."""
+def agg_match_report(judged: DataFrame) -> DataFrame:
+    """Matched rows with their rank in the album, closest first, and the album's match count.  A report prints the first ranks."""
     hits = judged.filter(F.col("want_ordinal").isNotNull())
     counts = hits.groupBy("album").agg(F.count("*").alias("n_matched"))
-    return top_per_group(hits, ["album"], [F.col("delta_ms"), F.col("ordinal")], k).join(counts, "album")
+    ranks = Window.partitionBy("album").orderBy("delta_ms", "ordinal")
+    return hits.withColumn("rank", F.row_number().over(ranks)).join(counts, "album")
 
 
 def agg_full_album_gate(candidates: DataFrame, totals: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -313,15 +314,18 @@ def agg_job_progress(jobs: DataFrame) -> DataFrame:
     return rolled.withColumn("pct", F.bround(F.lit(100.0) * F.round("_p", 9) / F.col("total"), 1)).drop("_p")
 
 
-def job_window(jobs: DataFrame, *, window: int = 40, finished: int = 25) -> DataFrame:
-    """What a status page shows: everything running plus the next queued jobs up
-    to ``window``, and the newest finished ones."""
-    rank = {"running": 0, "queued": 1}
-    active = jobs.filter(F.col("state").isin(*rank)).withColumn("_r", F.when(F.col("state") == "running", 0).otherwise(1))
-    running = active.filter("_r = 0")
-    shown = active.orderBy("_r", "added", "job_id").limit(window).filter("_r = 1")
-    done = jobs.filter(~F.col("state").isin(*rank)).orderBy(F.col("added").desc(), F.col("job_id").desc()).limit(finished)
-    return running.drop("_r").unionByName(shown.drop("_r")).unionByName(done)
+def job_window(jobs: DataFrame) -> DataFrame:
+    """Jobs in the order of a status page, with their place in it: running and queued ones by age, finished ones newest first.
+
+    A page shows everything running and the first places of both kinds.
+    """
+    active = F.col("state").isin("running", "queued")
+    kind = F.when(F.col("state") == "running", 0).when(F.col("state") == "queued", 1).otherwise(2)
+    age = F.when(active, F.col("added")), F.col("added").desc(), F.when(active, F.col("job_id")), F.col("job_id").desc()
+    rows = jobs.withColumn("active", active)
+    places = numbered(rows, F.col("active").desc(), kind.asc(), age[0].asc(), age[1], age[2].asc(), age[3], out="_n")
+    n_active = jobs.filter(active).agg(F.count("*").alias("n")).scalar()
+    return places.withColumn("place", F.col("_n") - F.when(F.col("active"), 0).otherwise(n_active)).drop("_n")
 
 
 def agg_badges(plans: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ def plan_albums(tracks: DataFrame, sources: DataFrame, stored: DataFrame | None
     return rows, plans if stored is None else state.st_upsert_plan(stored, plans)
 
 
-def hunt_queries(carried: DataFrame, artist: str, *, exclude: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """Search terms of the releases that carry most of the missing tracks."""
-    best = rollups.agg_coverage_rank(carried, exclude=exclude).limit(k)
+def hunt_queries(carried: DataFrame, artist: str, *, exclude: DataFrame | None = None) -> DataFrame:
+    """Search terms of the releases that carry missing tracks, with how many they carry; a hunt tries the best first."""
+    best = rollups.agg_coverage_rank(carried, exclude=exclude)
     return best.select("release_key", "coverage", "title", F.posexplode(keys.key_search_variants("title", F.lit(artist))).alias("pos", "term"))
 
 
-def rank_found(found: DataFrame, *, minimum: float = 0.6, k: int = 5) -> DataFrame:
+def rank_found(found: DataFrame, *, minimum: float = 0.6) -> DataFrame:
     """Search results that plausibly are the release asked for, best first."""
     scored = found.withColumn("score", similarity.sim_identity_f1("found_title", "title", "artist"))
-    return ranking.win_rank_candidates(scored.filter(F.col("score") >= minimum), group="release_key", k=k)
+    return ranking.win_rank_candidates(scored.filter(F.col("score") >= minimum), group="release_key")

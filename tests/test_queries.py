@@ -57,7 +57,7 @@ def test_titles_scored_by_ratio(spark, con):
     """All title pairs next to difflib, those that neither equality nor containment settles too."""
     from difflib import SequenceMatcher
 
-    got = {r["id"]: r["score"] for r in entry.queries()["sim_title_all"](spark, FOLDER).collect()}
+    got = {r["id"]: r["score"] for r in entry.queries()["sim_title"](spark, FOLDER).collect()}
     pairs = con.execute("SELECT p_partkey, p_name, p_type FROM part").fetchall()
     assert set(got) == {i for i, _, _ in pairs}
     for i, a, b in pairs:
