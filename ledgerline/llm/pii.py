@@ -103,12 +103,22 @@ _LOOK = re.compile("[" + re.escape("".join(LOOKS)) + "]")
 _BEYOND = re.compile("[\u0080-\u00bf\u0100-\U0010ffff]")
 
 _NUMBER = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"(?i)(?<![a-z])(?:(plus)[\s-]*)?((?:{_NUMBER}|[0-9])(?:(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])){{2,}})(?![a-z])")
+# between digits: possessive, for no digit begins with what may stand between; so time is linear in any run
+_BETWEEN = r"(?:\s++dot\s++|[\s-]*+)"
+# a digit ends a word, or another spelled one follows at once
+_EACH = rf"(?:{_NUMBER}|[0-9])(?:(?={_NUMBER})|(?![a-z]))"
+_SPELLED = re.compile(rf"(?i)(?<![a-z])(?:(plus)[\s-]*+)?({_EACH}(?:{_BETWEEN}{_EACH}){{2,}})")
 _ONE = re.compile(rf"(?i){_NUMBER}|[0-9]")
 # what every match of _SPELLED with a spelled digit has: such a digit beside another, spelled or plain
-_MAYBE_SPELLED = re.compile(rf"(?:{_NUMBER})(?:\s+dot\s+|[\s-]*)(?<![a-z])(?:{_NUMBER}|[0-9])(?![a-z])|[0-9](?:\s+dot\s+|[\s-]*)(?:{_NUMBER})(?![a-z])")
-_BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*")
-_MAYBE_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
+_MAYBE_SPELLED = re.compile(rf"(?:{_NUMBER}){_BETWEEN}(?:{_NUMBER}|[0-9])|[0-9]{_BETWEEN}(?:{_NUMBER})")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*+(at|dot|@|\.)\s*+[\])}>]\s*+")
+# fixed values: characters of an address as a URL writes them
+_ESCAPES = {"%40": "@", "%2e": "."}
+_ESCAPED = re.compile(r"(?i)(?<=[a-z0-9])%(?:40|2e)(?=[a-z0-9])")
+# fixed values: letters written for digits
+_LETTERS = {"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8"}
+_CARDLIKE = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9lIi|OoSB])++(?![A-Za-z0-9])")
+_NO_CARD = re.compile(r"[0-9][\x20-]?[lIi|OoSB]")
 # fixed values: last parts of names, without country codes that are common English words (as, is, to and the like)
 _CODES = ("ac ad ae af ag ai al ao aq ar at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er "
           "es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb "
@@ -116,12 +126,14 @@ _CODES = ("ac ad ae af ag ai al ao aq ar at au aw ax az ba bb bd be bf bg bh bi
           "ru rw sa sb sc sd se sg sh si sj sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw")
 _ENDS = "com|org|net|edu|gov|mil|int|info|biz|app|dev|test|example|" + "|".join(_CODES.split())
 # a spelled "at" counts only before a dotted name that ends in one; after a real dot the end is in small letters
-_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)*?(?:\x20+dot\x20+(?:{_ENDS})|\.(?-i:{_ENDS}))(?![a-z0-9-]|\.[a-z0-9]))")
+_AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20++at\x20++(?=[a-z0-9-]++(?:(?:\x20++dot\x20++|\.)[a-z0-9-]++)*?(?:\x20++dot\x20++(?:{_ENDS})|\.(?-i:{_ENDS}))(?![a-z0-9-]|\.[a-z0-9]))")
 # fixed values: words before "at" that are no names, where the name has only real dots
 _NO_NAMES = set("look looks looked looking available online hosted is are was were be it us me them him her page site website here more read found see visit arrive arrived meet live based".split())
 _WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _REAL_DOTS = re.compile(r"[A-Za-z0-9-]+\.")
-_DOT = re.compile(r"(?i)(?<=[a-z0-9-])\x20+dot\x20+(?=[a-z0-9])")
+# fixed values: what announces an address; a name of only real dots is one only after it ("mail jane at example.com", not "shops at example.com")
+_INTENT = re.compile(r"(?i)(?:\b(?:e-?mail|mail|contact|address|inbox|write|reach)(?:\x20(?:is|to|me|us))?|[:<(\[=])\x20*\Z")
+_DOT = re.compile(r"(?i)(?<=[a-z0-9-])\x20++dot\x20++(?=[a-z0-9])")
 
 
 @dataclass
@@ -138,15 +150,15 @@ class Mapped:
         at = np.arange(len(text))
         return cls(text, at, at + 1, np.zeros(len(text), bool))
 
-    def rewritten(self, pattern: re.Pattern, new: Callable[[re.Match], list[tuple[int, int, str]]]) -> Mapped:
-        """With parts of each match written anew: ``new`` lists ``start, end, string``.
+    def rewritten(self, pattern: re.Pattern, new: Callable[[re.Match, int], list[tuple[int, int, str]]]) -> Mapped:
+        """With parts of each match written anew: ``new`` lists ``start, end, string``, given the match and where the last part ended.
 
         Each written character stands for the whole part; a part written as
         nothing goes.
         """
         texts, starts, ends, marks, at = [], [], [], [], 0
         for m in pattern.finditer(self.text):
-            for a, b, s in new(m):
+            for a, b, s in new(m, at):
                 texts += [self.text[at:a], s]
                 starts += [self.start[at:a], np.full(len(s), self.start[a])]
                 ends += [self.end[at:a], np.full(len(s), self.end[b - 1])]
@@ -157,7 +169,7 @@ class Mapped:
         return Mapped("".join([*texts, self.text[at:]]), *(np.concatenate([*x, y[at:]]) for x, y in ((starts, self.start), (ends, self.end), (marks, self.changed))))
 
 
-def _digits(m: re.Match) -> list[tuple[int, int, str]]:
+def _digits(m: re.Match, _: int) -> list[tuple[int, int, str]]:
     """A run of digits of which some are spelled: each by itself, what is between them gone."""
     found = list(_ONE.finditer(m.string, m.start(2), m.end(2)))
     if all(x[0].isdigit() for x in found):
@@ -174,29 +186,50 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def _at(m: re.Match) -> list[tuple[int, int, str]]:
+def _at(m: re.Match, _: int) -> list[tuple[int, int, str]]:
     before = _WORD_BEFORE.search(m.string, max(0, m.start() - 64), m.start())
-    prose = before and before[0].lower() in _NO_NAMES and _REAL_DOTS.match(m.string, m.end())
-    return [] if prose else [(*m.span(), "@")]
+    if before and _REAL_DOTS.match(m.string, m.end()) and (before[0].lower() in _NO_NAMES or not _INTENT.search(m.string, max(0, before.start() - 32), before.start())):
+        return []
+    return [(*m.span(), "@")]
+
+
+def _bracketed(m: re.Match, at: int) -> list[tuple[int, int, str]]:
+    """With the white space before it, looked back for here: each stretch of it is passed once."""
+    start = m.start()
+    while start > at and m.string[start - 1].isspace():
+        start -= 1
+    return [(start, m.end(), "@" if m[1].lower() in ("at", "@") else ".")]
+
+
+def _card_letters(m: re.Match, _: int) -> list[tuple[int, int, str]]:
+    """The letters in what is a card's number once they are digits; at most one in four."""
+    written = [(i, c) for i, c in enumerate(m[0]) if c not in " -"]
+    letters = [(i, c) for i, c in written if c in _LETTERS]
+    digits = "".join(_LETTERS.get(c, c) for _, c in written)
+    if not letters or 4 * len(letters) > len(written) or not 13 <= len(digits) <= 19 or not _luhn(digits):
+        return []
+    return [(m.start() + i, m.start() + i + 1, _LETTERS[c]) for i, c in letters]
 
 
 def normalised(text: str) -> Mapped | None:
     """The text with disguises undone, or None where there is no sign of one."""
     # cheap tests first: nearly all texts end here
     looks = not text.isascii() and _BEYOND.search(text) and not LOOKS.keys().isdisjoint(set(text))
-    now = Mapped.of(text).rewritten(_LOOK, lambda m: [(*m.span(), LOOKS[m[0]])]) if looks else None
+    now = Mapped.of(text).rewritten(_LOOK, lambda m, _: [(*m.span(), LOOKS[m[0]])]) if looks else None
     seen = now.text if now else text
     low = seen.lower()
-    bracketed = any(c in low for c in "[({<") and _MAYBE_BRACKETED.search(low)
+    bracketed = any(c in low for c in "[({<") and _BRACKETED.search(low)
     # letters that are not ASCII and equal ASCII ones regardless of case
     low = low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
     spelled = any(w in low for w in _DIGITS) and _MAYBE_SPELLED.search(low)
     named = " at " in low and _AT.search(seen)
-    if not (looks or bracketed or spelled or named or " dot " in low):
+    escaped = "%" in low and _ESCAPED.search(low)
+    lettered = _NO_CARD.search(seen)
+    if not (looks or bracketed or spelled or named or escaped or lettered or " dot " in low):
         return None
     now = now or Mapped.of(text)
-    for pattern, new in ((_BRACKETED, lambda m: [(*m.span(), "@" if m[1].lower() == "at" else ".")]), (_AT, _at),
-                         (_SPELLED, _digits), (_DOT, lambda m: [(*m.span(), ".")])):
+    for pattern, new in ((_BRACKETED, _bracketed), (_ESCAPED, lambda m, _: [(*m.span(), _ESCAPES[m[0].lower()])]), (_AT, _at),
+                         (_SPELLED, _digits), (_DOT, lambda m, _: [(*m.span(), ".")]), (_CARDLIKE, _card_letters)):
         now = now.rewritten(pattern, new)
     return now
 
@@ -224,8 +257,10 @@ def detected(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``key, spans``: one row per row of ``docs``, repeated rows too.
 
     ``spans`` is an array of ``kind, start, end, base`` in code points, end
-    exclusive, empty for a null or empty text.  Each text is handled whole, by
-    itself; other columns are not read.
+    exclusive, by kind, then start and end; empty for a null or empty text.
+    Each text is handled whole, by itself, in time linear in its length; equal
+    texts get equal spans and null keys stay.  An empty table gives an empty
+    result; other columns are not read.
     """
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
