@@ -3,6 +3,12 @@
 ``STAGES`` lists ``(name, function)``.  Each function takes ``(spark, docs,
 sf_dir)`` and returns a DataFrame, which is written as Parquet and read again
 as the ``docs`` of the next; all but the last keep the columns of documents.
+
+Stages decide on rows, not on ids: a row is known by its ``doc_id`` and text, in
+order of ``doc_id``, nulls last.  Rows that share an id but not the text are
+documents of their own, rows with a null id too.  A null text is an empty one.
+Empty tables give empty results, and columns beyond those of documents go
+through unread.
 """
 
 from __future__ import annotations
@@ -11,36 +17,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import exact_dedup, mixing, near_dedup, quality_rules
-from ledgerline.llm.common import documents, staged
+from ledgerline.llm.common import documents, held_out, staged, whole_text
 from ledgerline.llm.queries import coded
 from ledgerline.session import table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ``doc_id`` is among ``key``."""
-    keys = ids.select(F.col("key").alias("_kept_key"))
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_kept_key"]), "left_semi")
+def _known(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: text that sorts as the ids do and tells rows of one id apart by their texts."""
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return docs.withColumn("_row", F.concat_ws(":", F.coalesce(number, F.lit("~")), F.hex(F.xxhash64(whole_text()))))
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose ``_row`` is among ``key``."""
+    return docs.join(rows.select(F.col("key").alias("_row")), "_row", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the learned decision list."""
-    judged = quality_rules.judged(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, judged.filter("kept"))
+    """Documents that pass the base rules and the learned decision list; repeated rows alike."""
+    rows = _known(docs)
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    named = labels.join(rows.select("doc_id", "_row"), "doc_id").drop("doc_id")
+    judged = quality_rules.judged(rows, named, key="_row", held=lambda _: F.lit(False))
+    return _only(rows, judged.filter("kept")).drop("_row")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    """Of documents with equal texts the one with the smallest id; of rows that repeat id and text one."""
+    rows = _known(docs)
+    first = _only(rows, exact_dedup.exact_dedup(rows, key="_row").filter("kept"))
+    return first.dropDuplicates(["_row"]).drop("_row")  # dealt by it already
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
-    groups = near_dedup.near_groups(docs)
-    return _only(docs, groups.filter(F.col("key").eqNullSafe(F.col("component"))))
+    rows = _known(docs)
+    groups = near_dedup.near_groups(rows, key="_row")
+    return _only(rows, groups.filter(F.col("key") == F.col("component"))).drop("_row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, a row for each pass over it."""
+    """What the mix takes of each row, with a row for each pass over it."""
     return mixing.mixed_texts(docs)
 
 

@@ -11,7 +11,7 @@ expression.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -170,18 +170,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", held: Callable[[Column], Column] = held_out) -> DataFrame:
     """One row per row of ``docs``: ``key``, the counts, ``base_failed, rule, kept``.
 
     ``kept`` is false where a base rule fails or a rule of the list, learned
     from the labelled rows that pass the base rules and are not held out,
     names the text as poor.  A null text counts as empty and fails.  Without
     labels only the base rules decide.  Repeated rows get equal verdicts; a
-    label repeated for one key counts as often.
+    label repeated for one key counts as often; null keys have none.  An empty
+    table gives an empty result; texts of any length are one row.  Other columns
+    are not read.  ``held`` tells which keys are kept from learning.
     """
     counts = staged(counted(docs, key, text), "counts")
     scored = counts.withColumn("base_failed", base_failed()).withColumns(ratios() | {c: F.col(c) for c in counts.columns if c not in RATIOS})
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(~held_out(F.col("key")))
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(~held(F.col("key")))
     rules = learn(scored.filter(~F.col("base_failed")).join(known, "key"), RATIOS)
     number = F.when(~F.col("base_failed"), rule_number(rules))
     return (scored.withColumn("rule", number).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

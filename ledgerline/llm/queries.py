@@ -78,7 +78,8 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.without_repeats(documents(spark, sf_dir))
-    return left.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeats"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

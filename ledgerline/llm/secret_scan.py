@@ -71,7 +71,9 @@ def read_ledger(spark, folder: str) -> DataFrame:
     try:
         rows = spark.read.schema(LEDGER_SCHEMA).parquet(folder)
     except AnalysisException:
-        return spark.createDataFrame([], LEDGER_SCHEMA)
+        none = F.lit(None)
+        return spark.range(0).select(none.cast("string").alias("blob"), none.cast("string").alias("rule"), none.cast("int").alias("version"),
+                                     none.cast("array<struct<start: int, end: int>>").alias("spans"))
     return rows.dropDuplicates(["blob", "rule", "version"])
 
 
@@ -80,7 +82,10 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
 
     One row per row of ``versions``, repeated rows too; ``findings`` is an array
     of ``rule, start, end`` in order of start and rule, empty if there are
-    none.  A null text is an empty blob, a null path a path like others.
+    none.  A null text is an empty blob, a null path a path like others.  A blob
+    is scanned once for each rule, whatever paths, versions and repeated rows
+    carry it, and however long it is.  An empty table gives an empty result and
+    adds nothing; other columns are not read.
     ``ledger`` is a folder every executor reaches.  A run that dies while it
     scans adds nothing; two runs at once may add a pair twice, which readers
     count once.
@@ -94,7 +99,9 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
            .join(read_ledger(spark, ledger).select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
            .groupBy("blob", "path").agg(F.collect_set("rule").alias("due")))
     texts = versions.select(F.col(path).alias("_path"), whole_text(text).alias("_text")).withColumn("_blob", F.sha2("_text", 256))
-    unseen = texts.join(due, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob")))
+    # repeated rows of the least path are one text
+    unseen = (texts.join(due, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob")))
+              .groupBy("blob").agg(F.first("_text").alias("_text"), F.first("due").alias("due")))
     pairs = F.array(*(F.when(F.array_contains("due", r.name), F.struct(
         F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("_text"), r).alias("spans"))) for r in rules))
     (unseen.select("blob", F.explode(pairs).alias("p")).filter("p IS NOT NULL").select("blob", "p.*")
