@@ -22,38 +22,41 @@ from ledgerline.llm.queries import coded
 from ledgerline.session import table
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``: text that sorts as the ids do and tells rows of one id apart by their texts."""
+def _known(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: text that sorts as the ids do and tells rows of one id apart by their texts."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
     number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return docs.withColumn("_row", F.concat_ws(":", F.coalesce(number, F.lit("~")), F.hex(F.xxhash64(whole_text()))))
+    return docs.withColumn(row, F.concat_ws(":", F.coalesce(number, F.lit("~")), F.hex(F.xxhash64(whole_text())))), row
 
 
-def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose ``_row`` is among ``key``."""
-    return docs.join(rows.select(F.col("key").alias("_row")), "_row", "left_semi")
+def _only(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """The documents whose ``row`` is among ``key``."""
+    return docs.join(rows.select(F.col("key").alias(row)), row, "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the learned decision list; repeated rows alike."""
-    rows = _known(docs)
+    rows, row = _known(docs)
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
-    named = labels.join(rows.select("doc_id", "_row"), "doc_id").drop("doc_id")
-    judged = quality_rules.judged(rows, named, key="_row", held=lambda _: F.lit(False))
-    return _only(rows, judged.filter("kept")).drop("_row")
+    named = labels.join(rows.select("doc_id", row), "doc_id").select(row, "quality")
+    judged = quality_rules.judged(rows, named, key=row, held=lambda _: F.lit(False))
+    return _only(rows, row, judged.filter("kept")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest id; of rows that repeat id and text one."""
-    rows = _known(docs)
-    first = _only(rows, exact_dedup.exact_dedup(rows, key="_row").filter("kept"))
-    return first.dropDuplicates(["_row"]).drop("_row")  # dealt by it already
+    rows, row = _known(docs)
+    first = _only(rows, row, exact_dedup.exact_dedup(rows, key=row).filter("kept"))
+    return first.dropDuplicates([row]).select(*docs.columns)  # dealt by it already
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id."""
-    rows = _known(docs)
-    groups = near_dedup.near_groups(rows, key="_row")
-    return _only(rows, groups.filter(F.col("key") == F.col("component"))).drop("_row")
+    rows, row = _known(docs)
+    groups = near_dedup.near_groups(rows, key=row)
+    return _only(rows, row, groups.filter(F.col("key") == F.col("component"))).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
