@@ -9,6 +9,7 @@ from ledgerline.bindings.q_keys import URL_PATH, url_path
 from ledgerline.bindings.registry import DERIVED, query
 from ledgerline.functions import fixed, keys as K, predicates as P, similarity as S
 from ledgerline.functions.text import ascii_words, epoch_s
+from ledgerline.operators.common import numbered
 
 DERIVED["disc_names"] = """
 SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'CD' || page_id WHEN 1 THEN 'Green disc' WHEN 2 THEN 'Pearl (Columbia CD 64188)'
@@ -137,6 +138,24 @@ def flt_facets(t):
     return kept.groupBy("lang", "quality").agg(F.count("*").alias("n"))
 
 
+@query("flt_facet_counts", """
+WITH d AS (SELECT lang, quality, n_chars > 1000 AS long FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT 'lang' AS facet, lang AS value, COUNT(*) AS n FROM d WHERE lang IS NOT NULL GROUP BY 2 UNION ALL SELECT 'quality', CAST(quality AS VARCHAR), COUNT(*) FROM d WHERE quality IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'long', 'on', COUNT(*) FROM d WHERE long HAVING COUNT(*) > 0""")
+def flt_facet_counts(t):
+    docs = t.documents.join(t.labels, "doc_id", "left")
+    return P.facet_counts(docs, ["lang", "quality"], {"long": F.col("n_chars") > 1000})
+
+
+# conversations searched through their turns, sorted by the number that a text begins with
+@query("flt_facet_search", """
+WITH c AS (SELECT conv_id, (conv_id % 50) || ' turns' AS label, bool_or(contains(lower(text), 'the')) AS hit FROM conversations GROUP BY 1, 2)
+SELECT conv_id, row_number() OVER (ORDER BY conv_id % 50, conv_id) AS rank FROM c WHERE hit""")
+def flt_facet_search(t):
+    label = F.concat((F.col("conv_id") % 50).cast("string"), F.lit(" turns"))
+    talks = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("turns")).withColumn("label", label)
+    found = P.facet_filter(talks, text=" The", nested={"turns": "text"})
+    return numbered(found.select("conv_id", "label"), P.facet_order("label", numeric=True).asc(), F.col("conv_id").asc()).drop("label")
 
 
 def _answers(t):

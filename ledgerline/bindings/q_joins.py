@@ -319,17 +319,25 @@ def join_keep_semi(t):
     return J.join_keep_semi(f.select("file_id", "path"), needed).drop("path")
 
 
-@query("join_external_gap", """
-WITH auth AS (SELECT DISTINCT o_custkey AS artist_id, substr(CAST(o_orderdate AS STRING), 1, 7) AS title_key FROM orders WHERE o_orderpriority <> '5-LOW'),
- cat AS (SELECT DISTINCT o_custkey AS artist_id, substr(CAST(o_orderdate AS STRING), 1, 7) AS title_key FROM orders WHERE o_orderstatus = 'F')
-SELECT artist_id, title_key, 'missing' AS status FROM auth WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.artist_id = auth.artist_id AND c.title_key = auth.title_key)
-UNION ALL SELECT c_custkey, NULL, 'unchecked' FROM customer WHERE c_custkey NOT IN (SELECT artist_id FROM auth)""")
+# what an authority lists of an artist, with types; the catalogue holds the finished orders
+DERIVED["authority"] = """
+SELECT o_custkey AS artist_id, CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE 'Album ' || (o_orderkey % 90) || CASE o_orderkey % 4 WHEN 0 THEN ' (Remastered)' WHEN 1 THEN ': Part' ELSE '' END END AS title,
+ CASE o_orderkey % 6 WHEN 0 THEN 'EP' WHEN 1 THEN 'Single' WHEN 2 THEN '' ELSE 'Album' END AS primary_type, CASE o_orderkey % 7 WHEN 0 THEN 'Live' WHEN 1 THEN 'Other' ELSE '' END AS second,
+ CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_orderdate AS STRING) END AS date, o_orderstatus AS status FROM orders
+"""
+
+
+@query("join_external_gap", f"""
+WITH l AS (SELECT artist_id, {D.release_title('trim(title)')} AS title_key, trim(title) AS title, substr(date, 1, 10) AS date FROM authority WHERE trim(title) <> '' AND primary_type IN ('', 'Album') AND second <> 'Live'),
+g AS (SELECT artist_id, title_key, arg_min(title, (date, title)) AS title, min(date) AS date FROM l GROUP BY 1, 2),
+h AS (SELECT DISTINCT artist_id, {D.release_title('title')} AS title_key FROM authority WHERE status = 'F')
+SELECT artist_id, title_key, title, date, 'missing' AS status, row_number() OVER (PARTITION BY artist_id ORDER BY date, title_key) AS rank FROM g
+ WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.artist_id = g.artist_id AND h.title_key = g.title_key)
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, 'unchecked', NULL FROM customer WHERE c_custkey NOT IN (SELECT artist_id FROM g)""")
 def join_external_gap(t):
-    o = t.orders.select(F.col("o_custkey").alias("artist_id"), F.substring(F.col("o_orderdate").cast("string"), 1, 7).alias("title_key"), "o_orderpriority", "o_orderstatus")
-    auth = o.filter("o_orderpriority <> '5-LOW'").select("artist_id", "title_key").distinct() \
-        .withColumn("title", F.col("title_key")).withColumn("date", F.col("title_key"))
-    out = J.join_external_gap(t.customer.select(F.col("c_custkey").alias("artist_id")), auth, o.filter("o_orderstatus = 'F'"))
-    return out.select("artist_id", "title_key", "status")
+    authority = t.authority.withColumn("secondary_types", F.when(F.col("second") != "", F.array("second")))
+    artists = t.customer.select(F.col("c_custkey").alias("artist_id"))
+    return J.join_external_gap(artists, authority, t.authority.filter("status = 'F'"))
 
 
 _DIRS = "SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM files"

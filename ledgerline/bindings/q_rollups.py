@@ -210,8 +210,9 @@ SELECT event_id AS job_id, 'dir' || (user_id % 37) AS dir, event_id AS added,
 
 
 @query("agg_job_progress", """
-SELECT dir, CASE WHEN dir IS NULL THEN 1 ELSE 0 END AS overall, COUNT(*) AS total, COUNT(*) FILTER (WHERE state NOT IN ('running', 'queued')) AS done, COUNT(*) FILTER (WHERE state = 'running') AS running,
- COUNT(*) FILTER (WHERE state = 'queued') AS queued, round_even(100.0 * round(SUM(CASE state WHEN 'running' THEN pct / 100 WHEN 'queued' THEN 0.0 ELSE 1.0 END), 9) / COUNT(*), 1) AS pct FROM jobs GROUP BY ROLLUP (dir)""")
+WITH p AS (SELECT dir, CASE WHEN dir IS NULL THEN 1 ELSE 0 END AS overall, COUNT(*) AS total, COUNT(*) FILTER (WHERE state NOT IN ('running', 'queued')) AS done, COUNT(*) FILTER (WHERE state = 'running') AS running,
+ COUNT(*) FILTER (WHERE state = 'queued') AS queued, round_even(100.0 * round(SUM(CASE state WHEN 'running' THEN pct / 100 WHEN 'queued' THEN 0.0 ELSE 1.0 END), 9) / COUNT(*), 1) AS pct FROM jobs GROUP BY ROLLUP (dir))
+SELECT *, CASE WHEN overall = 0 THEN row_number() OVER (PARTITION BY overall ORDER BY running DESC, pct, dir) END AS rank FROM p""")
 def agg_job_progress(t):
     return R.agg_job_progress(t.jobs)
 

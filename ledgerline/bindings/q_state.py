@@ -68,12 +68,19 @@ def src_paged_dump(t):
     return rows.withColumn("received", check.select("received").scalar()).withColumn("complete", check.select("complete").scalar())
 
 
-@query("src_sheet_corpus", "SELECT doc_id, text, 'utf-8-sig' AS encoding FROM documents")
+_LATIN, _CYRILLIC = readers._high("cp1251")
+_NARROW = "regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g')"
+
+
+@query("src_sheet_corpus", f"""
+WITH d AS (SELECT doc_id, text, {_NARROW} AS narrow, regexp_matches(text, '[^\\x{{00}}-\\x{{7F}}]') AS high FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN text WHEN doc_id % 4 = 3 THEN narrow || '˜' WHEN high THEN translate(narrow, '{_LATIN}', '{_CYRILLIC}') ELSE narrow END AS text,
+ CASE WHEN doc_id % 4 < 2 THEN 'utf-8-sig' WHEN doc_id % 4 = 3 THEN 'cp1252' WHEN regexp_matches(narrow, '[^\\x{{00}}-\\x{{7F}}]') THEN 'cp1251' ELSE 'utf-8-sig' END AS encoding FROM d""")
 def src_sheet_corpus(t):
-    """Documents as bytes: with and without a byte order mark."""
-    raw = F.encode("text", "UTF-8")
-    bom = F.unhex(F.lit("EFBBBF"))
-    return readers.decode_sheets(t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(bom, raw)).otherwise(raw).alias("content")))
+    """Documents as bytes: with and without a byte order mark, and in one byte a character, with and without one that no Cyrillic encoding has."""
+    raw, narrow, i = F.encode("text", "UTF-8"), F.encode("text", "ISO-8859-1"), F.col("doc_id") % 4
+    content = F.when(i == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).when(i == 1, raw).when(i == 2, narrow).otherwise(F.concat(narrow, F.unhex(F.lit("98"))))
+    return readers.decode_sheets(t.documents.select("doc_id", content.alias("content")))
 
 
 @query("sink_report", "SELECT CAST(l_returnflag AS STRING) AS flag, COUNT(*) AS n FROM lineitem GROUP BY 1")
@@ -271,9 +278,3 @@ def _drain(t, stream, name):
     schema = stream.schema
     streams.run_to_table(stream, out, mark)
     return t.spark.read.schema(schema).parquet(out)
-
-
-@query("src_new_file_stream", "SELECT DISTINCT user_id FROM ev")
-def src_new_file_stream(t):
-    seen = streams.first_sightings(_stream_ev(t).withColumn("at", F.timestamp_seconds("s")), key="user_id", ts="at", delay="60 days")
-    return _drain(t, seen.select("user_id"), "sightings")

@@ -125,3 +125,14 @@ def st_upsert_stream(t):
     folder = _scratch(t, "held")
     streams.upsert_held(u, folder, _scratch(t, "held-checkpoint"), fields=("artist",), details="details")
     return S.st_held_rows(sinks.read_snapshot(t.spark, folder)).withColumn("details", F.to_json("details")).drop("id")
+
+
+@query("src_new_file_stream", "SELECT DISTINCT key AS user_id FROM ev_ms")
+def src_new_file_stream(t):
+    """Three producers report the same keys in several micro-batches; the query is started again after the last."""
+    ledger, mark, schema = _scratch(t, "sightings"), _scratch(t, "sightings-checkpoint"), "key long, producer string"
+    e = arriving(t)
+    kinds = {"clicks": F.col("event_type") == "click", "views": F.col("event_type") == "view", "others": ~F.col("event_type").isin("click", "view")}
+    for _ in range(2):
+        streams.first_sightings({name: e.filter(kind) for name, kind in kinds.items()}, ledger, mark, key="user_id")
+    return streams.read_sightings(t.spark, ledger, t.spark.createDataFrame([], schema).schema).select(F.col("key").alias("user_id"))

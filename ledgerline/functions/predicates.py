@@ -154,8 +154,12 @@ def exclude_under_table(df: DataFrame, path: str, excluded: DataFrame, folder: s
 
 def facet_filter(df: DataFrame, *, include: Mapping[str, Iterable] | None = None,
                  exclude: Mapping[str, Iterable] | None = None, text: str = "",
-                 text_columns: Iterable[str] = (), chips: Iterable[Column] = ()) -> DataFrame:
-    """Conjunction of chips, per-column value sets and a free-text search."""
+                 text_columns: Iterable[str] = (), nested: Mapping[str, str] | None = None, chips: Iterable[Column] = ()) -> DataFrame:
+    """Conjunction of chips, per-column value sets and a free-text search.
+
+    A value both included and excluded counts as excluded.  ``nested`` names
+    arrays of records and the field of theirs that is searched as well.
+    """
     cond = F.lit(True)
     for chip in chips:
         cond = cond & chip
@@ -163,15 +167,34 @@ def facet_filter(df: DataFrame, *, include: Mapping[str, Iterable] | None = None
         cond = cond & F.col(name).isin(*values)
     for name, values in (exclude or {}).items():
         cond = cond & ~F.coalesce(F.col(name).isin(*values), F.lit(False))
-    if text:
-        hay = [F.contains(F.lower(text_or_empty(c)), F.lit(text.lower())) for c in text_columns]
-        found = hay[0]
-        for h in hay[1:]:
+    asked = text.strip().lower()
+    if asked:
+        holds = lambda c: F.contains(F.lower(text_or_empty(c)), F.lit(asked))
+        within = lambda c, field: F.coalesce(F.exists(c, lambda x: holds(x[field])), F.lit(False))
+        inside = [within(c, field) for c, field in (nested or {}).items()]
+        found = F.lit(False)
+        for h in [*(holds(c) for c in text_columns), *inside]:
             found = found | h
         cond = cond & found
     return df.filter(cond)
 
 
+def facet_counts(df: DataFrame, columns: Iterable[str], chips: Mapping[str, Column] | None = None) -> DataFrame:
+    """``facet, value, n``: rows of every value of the columns and of every chip, in one scan; null values are left out."""
+    values = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]
+    switched = [F.struct(F.lit(name).alias("facet"), F.when(chip, "on").alias("value")) for name, chip in (chips or {}).items()]
+    each = df.select(F.explode(F.array(*values, *switched)).alias("x")).select("x.*").filter("value IS NOT NULL")
+    return each.groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def facet_order(column, *, numeric: bool = False) -> Column:
+    """What a column is sorted by: the number it begins with, else 0, or its text regardless of case."""
+    if not numeric:
+        return F.lower(text_or_empty(column))
+    number = F.regexp_extract(text_or_empty(column), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.coalesce(number.try_cast("double"), F.lit(0.0))
+
+
 def accepted_answer(answers: DataFrame, *, query: str, answer: str, candidates: str,
                     ordinal: str, require_overlap: bool = True) -> DataFrame:
     """Keep an answer only where it names a supplied candidate.

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import (
     file_name, key_album_title, key_alias_name, key_compact_artist, key_compact_title,
-    key_credit_sets, key_path_tail2, key_script_artist, key_stage_prefix, key_variant_markers,
+    key_credit_sets, key_path_tail2, key_release_title, key_script_artist, key_stage_prefix, key_variant_markers,
     key_year,
 )
-from ledgerline.functions.predicates import ancestors, is_wanted, only_edition_words
+from ledgerline.functions.predicates import ancestors, is_wanted, only_edition_words, release_type_admitted
 from ledgerline.functions.similarity import sim_substring_artist, udf_sequence_ratio
 from ledgerline.functions.text import ascii_words, let, text_or_empty
 from ledgerline.operators.common import (
@@ -560,18 +560,26 @@ def join_keep_semi(files: DataFrame, needed: DataFrame, *, path: str = "path") -
     return out.withColumn("needed", F.coalesce("_t", "_b", F.lit(False))).drop("_tail", "_base", "_t", "_b")
 
 
-def join_external_gap(artists: DataFrame, authority: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Authority albums the catalogue lacks; artists without a reply are "unchecked".
+def join_external_gap(artists: DataFrame, authority: DataFrame, catalogue: DataFrame, *, studio_only: bool = True, include_eps: bool = False) -> DataFrame:
+    """Albums of an authority that the catalogue lacks, numbered by artist, oldest first.
 
-    Authority needs ``artist_id, title_key, title, date`` already filtered by
-    type; catalogue needs ``artist_id, title_key``.
+    Authority needs ``artist_id, title, primary_type, secondary_types, date``:
+    only albums count, with ``studio_only`` none of other kinds (live,
+    compilations and the like).  Catalogue needs ``artist_id, title``.  An
+    artist of whom no album is left is "unchecked": no reply is not a proof that
+    nothing is missing.  Undated albums come first.
     """
-    missing = (authority.join(catalogue.select("artist_id", "title_key").distinct(), ["artist_id", "title_key"], "left_anti")
-               .select("artist_id", "title_key", "title", "date", F.lit("missing").alias("status")))
-    silent = artists.select("artist_id").join(authority.select("artist_id").distinct(), "artist_id", "left_anti").select(
-        "artist_id", F.lit(None).cast("string").alias("title_key"), F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("string").alias("date"), F.lit("unchecked").alias("status"))
-    return missing.unionByName(silent)
+    listed = authority.filter(release_type_admitted("primary_type", "secondary_types", studio_only=studio_only, include_eps=include_eps)) \
+        .withColumn("title", F.trim("title")).filter("title <> ''").withColumn("date", F.substring(text_or_empty("date"), 1, 10))
+    keyed = listed.withColumn("title_key", key_release_title("title"))
+    # one row for each title, its first date
+    groups = keyed.groupBy("artist_id", "title_key").agg(best_row(["title", "date"], [F.col("date"), F.col("title")]).alias("g")).select("artist_id", "title_key", "g.*")
+    held = catalogue.select("artist_id", key_release_title("title").alias("title_key")).distinct()
+    missing = groups.join(held, ["artist_id", "title_key"], "left_anti")
+    oldest = Window.partitionBy("artist_id").orderBy("date", "title_key")
+    missing = missing.select("artist_id", "title_key", "title", "date", F.lit("missing").alias("status"), F.row_number().over(oldest).alias("rank"))
+    silent = artists.select("artist_id").join(groups.select("artist_id").distinct(), "artist_id", "left_anti").withColumn("status", F.lit("unchecked"))
+    return missing.unionByName(silent, allowMissingColumns=True)
 
 
 def join_ancestor_drop(selected: DataFrame, *, path: str = "path") -> DataFrame:

@@ -305,13 +305,18 @@ def agg_dir_listing(dirs: DataFrame, files: DataFrame, parent: str | None = None
 
 # --- progress and reports ------------------------------------------------------------------------
 def agg_job_progress(jobs: DataFrame) -> DataFrame:
-    """Per folder and overall: totals per state and pct (running counts its share)."""
+    """Per folder and overall: totals per state and pct (running counts its share).
+
+    Folders have their ``rank``: those at work first, then the least finished.
+    """
     share = F.when(F.col("state") == "running", F.coalesce("pct", F.lit(0.0)) / 100).when(F.col("state") == "queued", 0.0).otherwise(1.0)
     rolled = jobs.withColumn("_s", share).rollup("dir").agg(
         F.grouping("dir").alias("overall"), F.count("*").alias("total"),
         F.count_if(~F.col("state").isin("running", "queued")).alias("done"), F.count_if(F.col("state") == "running").alias("running"),
         F.count_if(F.col("state") == "queued").alias("queued"), F.sum("_s").alias("_p"))
-    return rolled.withColumn("pct", F.bround(F.lit(100.0) * F.round("_p", 9) / F.col("total"), 1)).drop("_p")
+    out = rolled.withColumn("pct", F.bround(F.lit(100.0) * F.round("_p", 9) / F.col("total"), 1)).drop("_p")
+    ranked = numbered(out.filter("overall = 0"), F.col("running").desc(), F.col("pct").asc(), F.col("dir").asc())
+    return ranked.unionByName(out.filter("overall = 1"), allowMissingColumns=True)
 
 
 def job_window(jobs: DataFrame) -> DataFrame:

@@ -52,31 +52,58 @@ def src_paged_dump(pages: DataFrame, *, id_field: str) -> tuple[DataFrame, DataF
     return picked.select("rec.*"), check.withColumn("complete", F.col("received") >= F.coalesce("announced", F.lit(0)))
 
 
-def decode_sheets(files: DataFrame, *, content: str = "content") -> DataFrame:
-    """Decode bytes with the first encoding that accepts them.
+def _high(encoding: str) -> tuple[str, str]:
+    """The upper half of a single-byte encoding: the characters that ISO-8859-1 reads its bytes as, and those they stand for."""
+    pairs = [(chr(b), bytes([b]).decode(encoding, "ignore")) for b in range(128, 256)]
+    return "".join(x for x, y in pairs if y), "".join(y for _, y in pairs)
 
-    cp1251 accepts nearly everything, so the encodings after it are seldom
-    reached; the order is kept because it decides the result.
-    """
-    keep = [f for f in files.schema.fields if f.name != content]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", text string, encoding string"
 
-    def decode_one(raw: bytes) -> tuple[str, str]:
-        for name in fixed.SHEET_ENCODINGS:
+def _unknown(encoding: str) -> str:
+    """Bytes without a meaning in a single-byte encoding, as ISO-8859-1 characters."""
+    return "".join(chr(b) for b in range(128, 256) if not bytes([b]).decode(encoding, "ignore"))
+
+
+#: encodings that a table of characters decodes; the rest of the list goes through Python
+_TABLES = ("cp1251", "cp1252")
+_LATER = fixed.SHEET_ENCODINGS[fixed.SHEET_ENCODINGS.index(_TABLES[-1]) + 1:]
+
+
+@F.pandas_udf("text string, encoding string")
+def _decoded_later(content: pd.Series) -> pd.DataFrame:
+    """Bytes that no table decodes, by the encodings after those with one; null for null."""
+    def one(raw: bytes | None) -> tuple[str | None, str | None]:
+        for name in _LATER if raw is not None else ():
             try:
-                return raw.decode(name), name
+                return bytes(raw).decode(name), name
             except UnicodeDecodeError:
                 pass
-        return raw.decode("utf-8", errors="replace"), "replaced"
+        return (None, None) if raw is None else (bytes(raw).decode("utf-8", errors="replace"), "replaced")
+
+    return pd.DataFrame([one(x) for x in content], columns=["text", "encoding"])
+
 
-    def decode(batches):
-        for pdf in batches:
-            done = [decode_one(bytes(b)) for b in pdf[content]]
-            out = pdf.drop(columns=[content])
-            yield out.assign(text=pd.Series([d[0] for d in done], index=out.index, dtype=object),
-                             encoding=pd.Series([d[1] for d in done], index=out.index, dtype=object))
+def decode_sheets(files: DataFrame, *, content: str = "content") -> DataFrame:
+    """Decode bytes with the first encoding that accepts them.
 
-    return files.mapInPandas(decode, schema)
+    UTF-8, with or without a byte order mark, and single-byte encodings are
+    decoded natively: bytes read as ISO-8859-1, then translated by the
+    encoding's table.  Python sees only what has bytes that none of these
+    knows.  Null content has null text.
+    """
+    keep = [f.name for f in files.schema.fields if f.name != content]
+    raw = F.col(content)
+    plain = F.is_valid_utf8(raw.cast("string"))
+    latin = F.decode(raw, "ISO-8859-1")
+    known = {name: ~F.col("_latin").rlike("[" + "".join(f"\\x{ord(c):02x}" for c in _unknown(name)) + "]") for name in _TABLES}
+    rows = files.select(*keep, content, plain.alias("_plain"), F.when(~plain, latin).alias("_latin"))
+    which = F.when(F.col("_plain"), fixed.SHEET_ENCODINGS[0])
+    text = F.when(F.col("_plain"), F.regexp_replace(raw.cast("string"), "^\ufeff", ""))
+    for name in _TABLES:
+        which = which.when(known[name], name)
+        text = text.when(known[name], F.translate("_latin", *_high(name)))
+    named = rows.withColumn("_which", which).withColumn("_text", text)
+    later = _decoded_later(F.when(F.col("_which").isNull(), raw))
+    return named.withColumn("_later", later).select(*keep, F.coalesce("_text", "_later.text").alias("text"), F.coalesce("_which", "_later.encoding").alias("encoding"))
 
 
 def src_sheet_corpus(spark: SparkSession, root: str, extension: str = "cue") -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerline.operators import state as S
 from ledgerline.sources.sinks import commit_snapshot, read_snapshot
@@ -28,12 +30,37 @@ def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | N
     return reader.parquet(folder)
 
 
-def first_sightings(stream: DataFrame, *, key: str, ts: str, delay: str = "1 day") -> DataFrame:
-    """Emit every key once, whichever producer reports it first.
+def first_sightings(producers: dict[str, DataFrame], ledger: str, checkpoint: str, *, key: str) -> None:
+    """Note every key once, with the producer that reported it first.
 
-    State is dropped after ``delay`` of event time, so it does not grow for ever.
+    The producers' streams go into one query.  Sightings are kept in a ledger,
+    one folder for each micro-batch, not in state that would expire: a key that
+    comes again after any time, or after a restart, is known.  A replayed batch
+    writes its folder anew.  In one batch the first producer in order of name counts.
     """
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    named = [s.select(F.col(key).alias("key"), F.lit(name).alias("producer")) for name, s in producers.items()]
+    stream = named[0]
+    for other in named[1:]:
+        stream = stream.unionByName(other)
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        new = batch.filter("key IS NOT NULL").groupBy("key").agg(F.min("producer").alias("producer"))
+        seen = read_sightings(batch.sparkSession, ledger, new.schema).filter(F.col("batch") < batch_id)
+        new.join(seen, "key", "left_anti").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_sightings(spark: SparkSession, ledger: str, schema: StructType) -> DataFrame:
+    """The ledger of :func:`first_sightings`: ``key, producer, batch``; empty before its first batch."""
+    whole = StructType([*schema.fields, StructField("batch", LongType())])
+    try:
+        return spark.read.schema(whole).parquet(ledger)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

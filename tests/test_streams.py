@@ -174,3 +174,47 @@ def test_writers_at_once_lose_nothing(spark):
         t.join()
     assert sorted(r["who"] for r in sinks.read_snapshot(spark, folder).collect()) == sorted(f"{k}-{i}" for k in range(3) for i in range(3))
     assert sinks.snapshot_version(spark, folder) == 9 and len(tried) >= 9
+
+
+def test_first_sightings_of_three_producers(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rng = random.Random(7)
+    reports = [(f"sheet {i}", p) for i in range(19) for p in rng.sample(["scan", "watch", "manual"], 2)] + [(f"sheet {rng.randrange(19)}", "scan") for _ in range(10)]
+    rng.shuffle(reports)
+    assert len(reports) == 48
+
+    def run():
+        streams_of = {p: spark.readStream.schema("key string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/{p}") for p in ("scan", "watch", "manual")}
+        streams.first_sightings(streams_of, f"{folder}/ledger", f"{folder}/mark", key="key")
+        return streams.read_sightings(spark, f"{folder}/ledger", spark.createDataFrame([], "key string, producer string").schema).collect()
+
+    counts = []
+    for part in (reports[:20], reports[20:21], reports[21:]):  # started anew for each
+        for p in ("scan", "watch", "manual"):
+            mine = [(k,) for k, q in part if q == p]
+            spark.createDataFrame(mine, "key string").repartition(2).write.mode("append").parquet(f"{folder}/{p}")
+        counts.append(len(run()))
+        assert counts[-1] == len({k for k, _ in reports[:{1: 20, 2: 21, 3: 48}[len(counts)]]})
+    assert counts[-1] == 19 and len(run()) == 19
+
+
+def test_sheets_in_every_encoding(spark):
+    from ledgerline.functions import fixed
+    from ledgerline.sources import readers
+
+    rng = random.Random(8)
+    texts = [("utf-8-sig", "TITLE é"), ("utf-8", "TITLE Ж 夜"), ("cp1251", "TITLE Жизнь"), ("cp1252", "“quoted” ˜"), ("shift_jis", "表題 日本語テスト"), ("gb18030", "标题 中文"), ("iso-8859-1", "caf\xe9 \x98\x81")]
+    raws = [t.encode(e) for e, t in texts] + [b"", None, b"\xef\xbb\xbf\xef\xbb\xbfx", b"\xff\xfe\x98\x81\x30", b"\x98\xff\xff\x81"] + [bytes(rng.choice([65, 66, 0x98, 0x81, 0x8D, 0xE9, 0xC3, 0xA9, 0xFF, 0x30]) for _ in range(rng.randrange(9))) for _ in range(400)]
+
+    def plain(raw):
+        if raw is None:
+            return None, None
+        for name in fixed.SHEET_ENCODINGS:
+            try:
+                return raw.decode(name), name
+            except UnicodeDecodeError:
+                pass
+        return raw.decode("utf-8", errors="replace"), "replaced"
+
+    got = readers.decode_sheets(spark.createDataFrame([(i, None if r is None else bytearray(r)) for i, r in enumerate(raws)], "i int, content binary")).collect()
+    assert {r["i"]: (r["text"], r["encoding"]) for r in got} == {i: plain(r) for i, r in enumerate(raws)}
