@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_SECTIONS = ("q_keys", "q_filters", "q_joins", "q_rollups", "q_ranking", "q_state", "q_streams")
+_SECTIONS = ("q_keys", "q_filters", "q_joins", "q_rollups", "q_ranking", "q_state", "q_streams", "q_plans")
 
 
 def _load():

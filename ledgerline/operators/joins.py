@@ -118,9 +118,9 @@ def join_four_gates(sources: DataFrame, wanted: DataFrame, *, tolerance: int = f
         keep_all=True)
     rest = [c for c in src.columns if c != "ordinal"]
     judged = hits.groupBy("ordinal").agg(
-        F.any_value(F.struct(*rest)).alias("s"),
+        F.any_value(F.struct(*rest)).alias("_source"),
         F.min(F.when(F.col("want_ordinal").isNotNull(), F.struct("delta_ms", "want_ordinal", "confidence"))).alias("m")) \
-        .select("ordinal", "s.*", "m")
+        .select("ordinal", "_source.*", "m")
 
     if not reasons:
         return judged.filter("m IS NOT NULL").select(

@@ -9,12 +9,12 @@ from ledgerline.functions import keys, similarity
 from ledgerline.operators import joins, ranking, rollups, state
 
 
-def plan_albums(tracks: DataFrame, sources: DataFrame, stored: DataFrame | None = None, *, now: int) -> tuple[DataFrame, DataFrame]:
+def plan_albums(tracks: DataFrame, sources: DataFrame, stored: DataFrame | None = None, *, now: int, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(track rows, album plans) for albums whose artist the sources mention at all."""
     names = sources.select(F.explode(F.concat("strong", "weak")).alias("want_artist"))
     present = joins.join_presence_semi(tracks.filter("NOT various"), names, key="want_artist").unionByName(
         tracks.filter("various"), allowMissingColumns=True)
-    rows, totals = rollups.agg_plan_album(present, sources)
+    rows, totals = rollups.agg_plan_album(present, sources, fuzzy=fuzzy)
     plans = totals.withColumnRenamed("album_id", "id").withColumn("created", F.lit(now))
     return rows, plans if stored is None else state.st_upsert_plan(stored, plans)
 
