@@ -111,6 +111,24 @@ def contains_pairs(inner: DataFrame, outer: DataFrame, *, keys: Sequence[str] =
             .select(*keys, F.col("_in").alias("inner_text"), F.col("_out").alias("outer_text")))
 
 
+def contains_first(inner: DataFrame, outer: DataFrame, *, inner_text: str, outer_text: str, ordinal: str, value: str) -> DataFrame:
+    """``inner_text, value``: of the outer texts that contain an inner one, the value of the least ordinal.
+
+    An inner text of up to three letters is a piece of every outer text that
+    contains it: each piece keeps only its least ordinal, so such a text makes
+    one row however many contain it.  Longer ones go through
+    :func:`contains_pairs`.
+    """
+    ins = inner.select(F.col(inner_text).alias("inner_text")).filter("inner_text <> ''").distinct()
+    outs = outer.filter(F.col(outer_text) != "").groupBy(F.col(outer_text).alias("_out")).agg(F.min(F.struct(F.col(ordinal).alias("o"), F.col(value).alias("v"))).alias("_best"))
+    brief = F.length("inner_text") <= 3
+    pieces = outs.select("_best", F.explode(F.array_distinct(F.concat(*(_grams(F.col("_out"), q) for q in (1, 2, 3))))).alias("inner_text"))
+    short = pieces.join(ins.filter(brief), "inner_text", "left_semi").groupBy("inner_text").agg(F.min("_best").alias("_best"))
+    pairs = contains_pairs(ins.filter(~brief), outs, inner_text="inner_text", outer_text="_out")
+    long = pairs.join(outs, pairs["outer_text"] == outs["_out"]).groupBy("inner_text").agg(F.min("_best").alias("_best"))
+    return short.unionByName(long).select("inner_text", F.col("_best.v").alias(value))
+
+
 def _in_ranges(df: DataFrame, *order: Column) -> DataFrame:
     """Rows dealt by sampled borders of ``order`` into one part ``_p`` for each task: as many in each, in order from part to part."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ from ledgerline.functions.predicates import ancestors, is_wanted, only_edition_w
 from ledgerline.functions.similarity import sim_substring_artist, udf_sequence_ratio
 from ledgerline.functions.text import ascii_words, let, text_or_empty
 from ledgerline.operators.common import (
-    best_row, contains_pairs, cut, nearest_within, spread, top_per_group,
+    best_row, contains_first, contains_pairs, cut, nearest_within, spread, top_per_group,
 )
 
 ANY_ACT = "*"
@@ -357,9 +357,7 @@ def join_resolve_artist(names: DataFrame, artists: DataFrame, aliases: DataFrame
     done = eq.filter("stage IS NOT NULL").select("name", "artist_id", "stage")
     rest = eq.filter("stage IS NULL").select("name", "plain", "key")
 
-    inside = contains_pairs(rest, have, inner_text="plain", outer_text="plain")
-    first = (inside.join(have.select(F.col("plain").alias("outer_text"), "ordinal", "artist_id"), "outer_text")
-             .groupBy("inner_text").agg(F.min_by("artist_id", "ordinal").alias("artist_id")))
+    first = contains_first(rest, have, inner_text="plain", outer_text="plain", ordinal="ordinal", value="artist_id")
     rest = cut(rest.join(first, rest["plain"] == first["inner_text"], "left").drop("inner_text"))
     done = done.unionByName(rest.filter("artist_id IS NOT NULL").select("name", "artist_id", F.lit("substring").alias("stage")))
     rest = rest.filter("artist_id IS NULL").drop("artist_id")

@@ -97,17 +97,33 @@ def win_newest_first(items: DataFrame, *, arrived: str, ordinal: str) -> DataFra
     return numbered(items, F.col(arrived).desc_nulls_last(), F.col(ordinal).asc())
 
 
+#: distinct sizes of a group that one window sorts; larger groups are cut down to a bracket of the median first
+MANY = 10_000
+
+#: accuracy of the sketch that places the bracket, and its half width as a share of the group: ten times the sketch's error
+SKETCH, HALF = 10_000, 0.001
+
+
 def upper_median(df: DataFrame, *, group: str, size: str) -> DataFrame:
     """Per group: item count, largest size, and the size at index n/2 descending.
 
     Sizes are counted per distinct value first, and the running count finds the
-    middle; the group is never held as a list.
+    middle; the group is never held as a list.  For a group of more than
+    ``MANY`` distinct sizes a quantile sketch bounds the median from both sides
+    by more than its error; what lies above is only counted, and the running
+    count settles the rank inside the bracket, so no task sorts the group.
     """
     per = df.groupBy(group, size).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(group).orderBy(F.col(size).desc())
-    run = per.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    n = per.groupBy(group).agg(F.sum("_c").alias("n"), F.max(size).alias("largest"))
-    middle = run.join(n, group).filter(F.col("_upto") > F.floor(F.col("n") / 2))
+    n = per.groupBy(group).agg(F.sum("_c").alias("n"), F.max(size).alias("largest"), F.count("*").alias("_d"))
+    hot = n.filter(F.col("_d") > MANY).select(group)
+    ends = F.percentile_approx(size, [0.5 - HALF, 0.5 + HALF], SKETCH)
+    bracket = df.join(hot, group, "left_semi").groupBy(group).agg(ends.alias("_e")).select(group, F.get("_e", F.lit(0)).alias("_lo"), F.get("_e", F.lit(1)).alias("_hi"))
+    cut_down = per.join(bracket, group, "left").withColumn("_up", F.col("_lo").isNotNull() & (F.col(size) > F.col("_hi")))
+    above = cut_down.filter("_up").groupBy(group).agg(F.sum("_c").alias("_above"))
+    w = Window.partitionBy(group).orderBy(F.col(size).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = cut_down.filter(~F.col("_up") & (F.col("_lo").isNull() | (F.col(size) >= F.col("_lo")))).withColumn("_upto", F.sum("_c").over(w))
+    middle = (run.join(n, group).join(above, group, "left")
+              .filter(F.col("_upto") + F.coalesce("_above", F.lit(0)) > F.floor(F.col("n") / 2)))
     return middle.groupBy(group).agg(F.max(size).alias("median"), F.first("n").alias("n"), F.first("largest").alias("largest"))
 
 

@@ -139,6 +139,57 @@ def test_fuzzy_plan_brute_force(spark):
     assert t["a"] == t["b"] == 60
 
 
+def test_first_containing_text_is_one_row(spark):
+    from ledgerline.operators.common import contains_first
+
+    outs = [(i, f"singer {i} e", 1000 + i) for i in range(3000)]
+    outer = spark.createDataFrame(outs, "ordinal long, name string, artist long")
+    asked = ["e", "99", "r 7", "singer 12", "singer 299", "zz", "", "inger 2999 e"]
+    got = contains_first(spark.createDataFrame([(x,) for x in asked], "t string"), outer, inner_text="t", outer_text="name", ordinal="ordinal", value="artist")
+    want = {a: next(v for _, n, v in outs if a in n) for a in asked if a and any(a in n for _, n, _ in outs)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.items())
+
+
+def test_median_of_a_large_group_needs_no_sort(spark, monkeypatch):
+    from ledgerline.operators import ranking
+
+    monkeypatch.setattr(ranking, "MANY", 50)
+    for sizes in ([(i * 7919) % 100_003 for i in range(9_000)], [1] * 5_000 + list(range(4_001)), list(range(52)), [5] * 3):
+        got = ranking.upper_median(spark.createDataFrame([("g", x) for x in sizes] + [("h", 3), ("h", 9)], "g string, size long"), group="g", size="size").collect()
+        assert {r["g"]: (r["median"], r["n"], r["largest"]) for r in got} == {"g": (sorted(sizes, reverse=True)[len(sizes) // 2], len(sizes), max(sizes)), "h": (3, 2, 9)}
+
+
+def test_throttle_of_one_hot_key(spark):
+    rng = __import__("random").Random(4)
+    events = sorted((rng.randrange(40_000), i, str(rng.random() < 0.001), rng.random() < 0.0001) for i in range(6_000))
+    table = spark.createDataFrame([("k", *e) for e in events], "key string, ts long, ord long, signature string, done boolean")
+    from ledgerline.operators import state
+
+    got = sorted((r["ts"], r["ord"]) for r in state.st_recheck_throttle(table, key="key", ts="ts", signature="signature", done="done", recheck_s=100, ordinal="ord").collect())
+    want, planned, before = [], None, None
+    for ts, o, sig, done in events:
+        if done:
+            break
+        if planned is None or sig != before or ts - planned >= 100:
+            want.append((ts, o))
+            planned = ts
+        before = sig
+    assert got == want and len(want) > 20
+
+
+def test_numbers_over_sparse_ordinals(spark):
+    from ledgerline.operators.common import numbered
+
+    vals = [(i * 2**53 - 2**62, i % 5) for i in range(1000)]
+    table = spark.createDataFrame(vals, "o long, v long").repartition(7)
+    run, want = 0, []
+    for o, v in vals:
+        want.append((o, run))
+        run += v
+    assert rows(prefix_sum(table, order="o", value="v", out="s"), "o", "s") == want
+    assert rows(numbered(table, F.col("v").desc(), F.col("o").asc()), "o", "rank") == sorted((o, i + 1) for i, (o, _) in enumerate(sorted(vals, key=lambda x: (-x[1], x[0]))))
+
+
 def test_prefix_sum_levels(spark):
     vals = [(i, (i * 7) % 11) for i in range(0, 700, 3)]
     got = rows(prefix_sum(spark.createDataFrame(vals, "o long, v long"), order="o", value="v", out="s"), "o", "s")
@@ -240,9 +291,12 @@ def test_human_size(spark):
 def test_upsert_merge_equals_one_fold(spark):
     rows_ = [("p", 1, 1, "a", ""), ("p", 2, 2, "", "r"), ("p", 3, 3, "b", ""), ("q", 1, 4, "", "")]
     ddl = "source_path string, ts long, ordinal long, artist string, reason string"
-    fold = lambda data: T.st_upsert_held(spark.createDataFrame(data, ddl), fields=("artist", "reason")).drop("id")
-    merged = T.st_merge_held(fold(rows_[:2]), fold(rows_[2:]), fields=("artist", "reason"))
-    assert rows(merged, *merged.columns) == rows(fold(rows_), *merged.columns)
+    table = lambda data: spark.createDataFrame(data, ddl)
+    fold = lambda data: T.st_held_fold(table(data), fields=("artist", "reason"))
+    whole = T.st_upsert_held(table(rows_), fields=("artist", "reason"))
+    for a, b in ((rows_[:2], rows_[2:]), (rows_[2:], rows_[:2])):  # late updates too
+        merged = T.st_held_rows(T.st_held_merge(fold(a), fold(b)))
+        assert rows(merged, *whole.columns) == rows(whole, *whole.columns)
 
 
 def test_plan_finds_a_close_title_among_many_that_share_its_words(spark):
