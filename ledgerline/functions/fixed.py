@@ -28,18 +28,6 @@ VIDEO_EXT_BUNDLES = (
 LOSSLESS_EXT = ("flac", "wav", "ape", "wv", "aiff", "aif", "alac", "dsf", "dff")
 
 # --- fixed values: title noise ----------------------------------------------
-FEATURE_WORDS = (r"feat\.?", "featuring", r"ft\.?", "with")
-NOISE_TAILS = (
-    r"remaster(?:ed)?(?:\s*\d{4})?", r"\d{4}\s*remaster", r"radio\s*edit",
-    r"album\s*version", r"single\s*version", "mono", "stereo", "live",
-    "explicit", "clean", r"bonus\s*track", "remix", "edit", "version",
-)
-VARIANT_WORDS = (
-    r"take\s*\d+", r"alt(?:ernate|\.)?(?:\s+take)?", "live", "instrumental",
-    "remix", "rehearsal", "demo", "karaoke", "acappella", r"a\s*cappella",
-    "reprise", r"radio\s+edit", "edit", "mono", r"stereo\s+version",
-    "interview",
-)
 TITLE_ABBREVIATIONS = (
     ("pts", "parts"), ("pt", "part"), ("vols", "volumes"), ("vol", "volume"),
 )
@@ -71,8 +59,6 @@ CREDIT_NOISE = (
     "dj", "mc", "vj", "the", "a", "an", "of", "feat", "feats", "featuring",
     "ft", "with", "vs", "presents", "pres",
 )
-STAGE_PREFIXES = ("dj", "mc", "vj", "dr")
-HONORIFICS = ("ms", "mrs", "miss", "mr")
 
 # --- fixed values: Cyrillic to Latin ----------------------------------------
 CYRILLIC_LATIN = {
@@ -87,37 +73,6 @@ CYRILLIC_LATIN = {
 }
 
 # --- fixed values: folder names ----------------------------------------------
-DISC_FOLDER_WORDS = ("cd", "disc", "disk", "dvd", "side")
-ART_FOLDERS = (
-    "scans?", "artwork", "art", "covers?", "cover", "sleeves?", "booklet",
-    "images?", "thumbs?", "logs?", "info",
-)
-BONUS_FOLDERS = (
-    r"bonus(?:[\s._-]*(?:disc|cd|dvd|tracks?|material|cuts?))?", "extras?",
-    "bonuses",
-)
-NOISE_FOLDERS = (
-    "bootlegs?", "live", "lives", "other", "others", "singles?",
-    "compilations?", "comps?", "collaborations?", "collabs?", "remix(?:es)?",
-    "demos?", "unofficial", "misc", "rarit(?:y|ies)", "b-?sides?", "extras?",
-    "mixes", "promos?", "eps?", "antholog(?:y|ies)", "collections?",
-    r"box\s*sets?", r"greatest\s*hits", r"best\s*of", "essentials?",
-    "definitive",
-)
-UNOFFICIAL_TITLES = (
-    r"greatest\s+hits", r"best\s+of", r"the\s+very\s+best",
-    r"very\s+best\s+of", "antholog(?:y|ies)", "compilations?", "collections?",
-    r"box\s*sets?", "sampler", "essential", "definitive",
-    r"singles\s+collection", r"hits\s+collection", "remix(?:es|ed)?",
-    "megamix", r"dj[\s\-_.]*mix", "mixtape", "karaoke", "tribute", "bootleg",
-    "rarities", r"b[\s\-_.]*sides", "outtakes", "unreleased",
-    r"live\s+(?:at|in|from|on)\b", r"in\s+concert", "unplugged",
-    r"live\s+albums?", r"live\s+recordings?", r"live\s+bootleg",
-)
-FOLDER_ARTIST_NOISE = (
-    "discography", "complete", "collection", "studio albums?", "flac", "mp3",
-    "kbps", "vbr",
-)
 STRUCTURAL_FOLDERS = (
     "audio", "music", "_processed", "_unmatched", "torrents", "scans",
     "artwork",
@@ -165,3 +120,36 @@ SHELL_MAX_BYTES = 100 * 1024 * 1024
 DEAD_GRACE_S = 172_800
 STALLED_GRACE_S = 259_200
 REASON_MAX_CHARS = 500
+
+# --- fixed values: patterns ----------------------------------------------------
+ANY_BRACKETS = r"[\(\[\{][^\)\]\}]*[\)\]\}]"
+ROUND_SQUARE = r"[\(\[][^)\]]*[\)\]]"
+PAIRED_ROUND_SQUARE = r"\(.*?\)|\[.*?\]"
+PAIRED_ALL = r"\(.*?\)|\[.*?\]|\{.*?\}"
+FEATURE_CLAUSE = r"\s*(?:feat\.?|featuring|ft\.?|with)\s+.*$"
+NOISE_TAIL = r"\s*[-–—]?\s*(?:remaster(?:ed)?(?:\s*\d{4})?|\d{4}\s*remaster|radio\s*edit|album\s*version|single\s*version|mono|stereo|live|explicit|clean|bonus\s*track|remix|edit|version)\s*$"
+LEAD_TRACK = r"(?i)^\s*(?:cd\s*\d+\s*[-_. ]*)?(?:\d{1,2}\s*[-_.]\s*)?(?:[a-d]?\d{1,3})\s*[-_.)\]]+\s*"
+TRAIL_DISC = r"(?i)[\s\-_.]*(?:cd|disc|disk)\s*\d{1,2}\s*$"
+DASHES = r"[\x{2010}-\x{2015}]"
+SEARCH_PUNCT = r"[^\p{L}\p{N}_\s&'-]"
+TRAIL_YEARS = r"[\s,-]*\b(1[89]\d\d|20\d\d)\s*(?:-\s*(?:1[89]\d\d|20\d\d|\d\d))?\s*$"
+SUBTITLE = r"\s*[:;]\s*|\s+-\s+"
+LEAD_NUMBER = r"^\s*\d+\s*[.\-]\s*"
+LEAD_YEARS = r"^\s*(?:19|20)\d{2}(?:\s*,\s*(?:19|20)\d{2})*[\s.\-]+"
+ARTIST_YEAR_ALBUM = r"(?i)^.*?\s-\s*(?:19|20)\d{2}\s*[-.]\s*(.+)$"
+ANY_YEAR = r"\b(19|20)\d{2}\b"
+LONE_YEAR = r"(?:^|[^0-9])((?:19|20)\d{2})(?:[^0-9]|$)"
+STAGE_PREFIX = r"(?i)^\s*(?:dj|mc|vj|dr)[\s.\-_]+"
+BAD_FILE_CHARS = r'[<>:"/\\|?*\x00-\x1f]'
+MAGNET_HASH = r"(?i)\bxt=urn:btih:([0-9a-f]{40}|[2-7a-z]{32})\b"
+BARE_HASH = r"^(?:[0-9a-f]{40}|[2-7a-z]{32})$"
+LEAF_FOLDER = r"(?i)^(?:cd|disc|disk|dvd|side)\s*[.\-_]?\s*\d{1,3}\b|^\d{1,2}$|^-?(?:scans?|artwork|art|covers?|cover|sleeves?|booklet|images?|thumbs?|logs?|info)$|^-?(?:bonus(?:[\s._-]*(?:disc|cd|dvd|tracks?|material|cuts?))?|extras?|bonuses)$"
+HONORIFIC = r"^\s*(?:ms|mrs|miss|mr)\.?\s+(\S)"
+FOLDER_ARTIST_NOISE = r"(?i)\b(?:discography|complete|collection|studio albums?|flac|mp3|kbps|vbr)\b"
+VARIANT_MARK = r"(?U)\b(take\s*\d+|alt(?:ernate|\.)?(?:\s+take)?|live|instrumental|remix|rehearsal|demo|karaoke|acappella|a\s*cappella|reprise|radio\s+edit|edit|mono|stereo\s+version|interview)\b"
+DISC_WORD = r"^(?:cd|disc|disk)$"
+DISC_NUMBERED = r"^(?:cd|disc|disk)\d+$"
+NOISE_FOLDER = r"(?i)^-?(?:bootlegs?|live|lives|other|others|singles?|compilations?|comps?|collaborations?|collabs?|remix(?:es)?|demos?|unofficial|misc|rarit(?:y|ies)|b-?sides?|extras?|mixes|promos?|eps?|antholog(?:y|ies)|collections?|box\s*sets?|greatest\s*hits|best\s*of|essentials?|definitive)$"
+UNOFFICIAL = r"(?i)(?:^|[\s\-_.\(\[])(?:greatest\s+hits|best\s+of|the\s+very\s+best|very\s+best\s+of|antholog(?:y|ies)|compilations?|collections?|box\s*sets?|sampler|essential|definitive|singles\s+collection|hits\s+collection|remix(?:es|ed)?|megamix|dj[\s\-_.]*mix|mixtape|karaoke|tribute|bootleg|rarities|b[\s\-_.]*sides|outtakes|unreleased|live\s+(?:at|in|from|on)\b|in\s+concert|unplugged|live\s+albums?|live\s+recordings?|live\s+bootleg)(?:$|[\s\-_.\)\]0-9])"
+VIDEO_ZONE = r"(?:^|/)(?:video_ts|bdmv)(?:/|$)"
+AUDIO_ZONE = r"(?:^|/)audio_ts(?:/|$)"

@@ -19,49 +19,16 @@ from ledgerline.functions.text import (
 )
 
 
-def _any(words) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
-# --- fixed patterns ------------------------------------------------------------
-ANY_BRACKETS = r"[\(\[\{][^\)\]\}]*[\)\]\}]"
-ROUND_SQUARE = r"[\(\[][^)\]]*[\)\]]"
-PAIRED_ROUND_SQUARE = r"\(.*?\)|\[.*?\]"
-PAIRED_ALL = r"\(.*?\)|\[.*?\]|\{.*?\}"
-FEATURE_CLAUSE = r"\s*" + _any(fixed.FEATURE_WORDS) + r"\s+.*$"
-NOISE_TAIL = r"\s*[-–—]?\s*" + _any(fixed.NOISE_TAILS) + r"\s*$"
-LEAD_TRACK = (r"(?i)^\s*(?:cd\s*\d+\s*[-_. ]*)?(?:\d{1,2}\s*[-_.]\s*)?"
-              r"(?:[a-d]?\d{1,3})\s*[-_.)\]]+\s*")
-TRAIL_DISC = r"(?i)[\s\-_.]*(?:cd|disc|disk)\s*\d{1,2}\s*$"
-DASHES = r"[\x{2010}-\x{2015}]"
-SEARCH_PUNCT = r"[^\p{L}\p{N}_\s&'-]"
-TRAIL_YEARS = r"[\s,-]*\b(1[89]\d\d|20\d\d)\s*(?:-\s*(?:1[89]\d\d|20\d\d|\d\d))?\s*$"
-SUBTITLE = r"\s*[:;]\s*|\s+-\s+"
-LEAD_NUMBER = r"^\s*\d+\s*[.\-]\s*"
-LEAD_YEARS = r"^\s*(?:19|20)\d{2}(?:\s*,\s*(?:19|20)\d{2})*[\s.\-]+"
-ARTIST_YEAR_ALBUM = r"(?i)^.*?\s-\s*(?:19|20)\d{2}\s*[-.]\s*(.+)$"
-ANY_YEAR = r"\b(19|20)\d{2}\b"
-LONE_YEAR = r"(?:^|[^0-9])((?:19|20)\d{2})(?:[^0-9]|$)"
-STAGE_PREFIX = r"(?i)^\s*" + _any(fixed.STAGE_PREFIXES) + r"[\s.\-_]+"
-BAD_FILE_CHARS = r'[<>:"/\\|?*\x00-\x1f]'
-MAGNET_HASH = r"(?i)\bxt=urn:btih:([0-9a-f]{40}|[2-7a-z]{32})\b"
-BARE_HASH = r"^(?:[0-9a-f]{40}|[2-7a-z]{32})$"
-LEAF_FOLDER = (
-    r"(?i)^" + _any(fixed.DISC_FOLDER_WORDS) + r"\s*[.\-_]?\s*\d{1,3}\b"
-    r"|^\d{1,2}$|^-?" + _any(fixed.ART_FOLDERS) + r"$|^-?" + _any(fixed.BONUS_FOLDERS) + "$"
-)
-
-
 # --- title keys ------------------------------------------------------------------
 def key_fold(c) -> Column:
     return fold(c)
 
 
 def key_song_title(c) -> Column:
-    t = F.regexp_replace(fold(c), ANY_BRACKETS, " ")
-    t = rx(t, FEATURE_CLAUSE, " ")
-    t = rx(rx(t, NOISE_TAIL, ""), NOISE_TAIL, "")
-    t = rx(rx(t, LEAD_TRACK, ""), TRAIL_DISC, "")
+    t = F.regexp_replace(fold(c), fixed.ANY_BRACKETS, " ")
+    t = rx(t, fixed.FEATURE_CLAUSE, " ")
+    t = rx(rx(t, fixed.NOISE_TAIL, ""), fixed.NOISE_TAIL, "")
+    t = rx(rx(t, fixed.LEAD_TRACK, ""), fixed.TRAIL_DISC, "")
     return F.trim(words_only(t))
 
 
@@ -71,7 +38,7 @@ def key_credit_artist(c) -> Column:
 
 
 def key_compact_title(c) -> Column:
-    t = F.lower(F.regexp_replace(text_or_empty(c), PAIRED_ALL, " "))
+    t = F.lower(F.regexp_replace(text_or_empty(c), fixed.PAIRED_ALL, " "))
     t = rx(F.replace(t, F.lit("&"), F.lit(" and ")), r"^\s*the\s+", "")
     spelled = t
     for short, full in fixed.TITLE_ABBREVIATIONS:
@@ -86,7 +53,7 @@ def key_compact_artist(c) -> Column:
 
 def key_album_title(c) -> Column:
     t = F.replace(F.lower(text_or_empty(c)), F.lit("&"), F.lit(" and "))
-    return ascii_key(F.regexp_replace(t, ROUND_SQUARE, " "))
+    return ascii_key(F.regexp_replace(t, fixed.ROUND_SQUARE, " "))
 
 
 def key_script_artist(c) -> Column:
@@ -94,7 +61,7 @@ def key_script_artist(c) -> Column:
 
     def strip_titles(v: Column) -> Column:
         s = rx(decompose(v), r"^\s*the\s+", "")
-        return rx(s, r"^\s*" + _any(fixed.HONORIFICS) + r"\.?\s+(\S)", "$1")
+        return rx(s, fixed.HONORIFIC, "$1")
 
     def spell(s: Column) -> Column:
         points = F.array_join(
@@ -115,7 +82,7 @@ def key_demojibake(c) -> Column:
 
 
 def key_stage_prefix(c) -> Column:
-    return F.trim(F.regexp_replace(text_or_empty(c), "(?U)" + STAGE_PREFIX, ""))
+    return F.trim(F.regexp_replace(text_or_empty(c), "(?U)" + fixed.STAGE_PREFIX, ""))
 
 
 def key_alias_name(c) -> Column:
@@ -123,17 +90,17 @@ def key_alias_name(c) -> Column:
 
 
 def key_release_title(c) -> Column:
-    s = F.regexp_replace(F.lower(text_or_empty(c)), PAIRED_ROUND_SQUARE, " ")
+    s = F.regexp_replace(F.lower(text_or_empty(c)), fixed.PAIRED_ROUND_SQUARE, " ")
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
 def _dashes_and_brackets(c) -> Column:
-    s = F.regexp_replace(text_or_empty(c), PAIRED_ROUND_SQUARE, " ")
-    return F.regexp_replace(s, DASHES, "-")
+    s = F.regexp_replace(text_or_empty(c), fixed.PAIRED_ROUND_SQUARE, " ")
+    return F.regexp_replace(s, fixed.DASHES, "-")
 
 
 def key_search_term(c) -> Column:
-    return squeeze(rx(_dashes_and_brackets(c), SEARCH_PUNCT, " "))
+    return squeeze(rx(_dashes_and_brackets(c), fixed.SEARCH_PUNCT, " "))
 
 
 # --- folder and path keys ----------------------------------------------------------
@@ -142,9 +109,9 @@ def _edge_trim(c: Column) -> Column:
 
 
 def key_folder_album(name, artist) -> Column:
-    s = F.trim(rx(rx(text_or_empty(name), ANY_BRACKETS, " "), r"\s{2,}", " "))
-    s = rx(rx(s, LEAD_NUMBER, ""), LEAD_YEARS, "")
-    s = F.regexp_replace(s, "(?U)" + ARTIST_YEAR_ALBUM, "$1")
+    s = F.trim(rx(rx(text_or_empty(name), fixed.ANY_BRACKETS, " "), r"\s{2,}", " "))
+    s = rx(rx(s, fixed.LEAD_NUMBER, ""), fixed.LEAD_YEARS, "")
+    s = F.regexp_replace(s, "(?U)" + fixed.ARTIST_YEAR_ALBUM, "$1")
     who = F.trim(text_or_empty(artist))
     quoted = F.concat(F.lit(r"\Q"), F.replace(who, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     lead = F.concat(F.lit(r"(?iU)^\s*"), quoted, F.lit(r"\b[^-]*?-\s*"))
@@ -152,13 +119,13 @@ def key_folder_album(name, artist) -> Column:
 
 
 def key_folder_artist(c) -> Column:
-    s = rx(rx(text_or_empty(c), ANY_BRACKETS, " "), r"@\S+", " ")
-    s = rx(rx(s, r"(?i)\b" + _any(fixed.FOLDER_ARTIST_NOISE) + r"\b", " "), ANY_YEAR, " ")
+    s = rx(rx(text_or_empty(c), fixed.ANY_BRACKETS, " "), r"@\S+", " ")
+    s = rx(rx(s, fixed.FOLDER_ARTIST_NOISE, " "), fixed.ANY_YEAR, " ")
     return _edge_trim(F.substring_index(s, " - ", 1))
 
 
 def key_year(c) -> Column:
-    return F.regexp_extract(text_or_empty(c), LONE_YEAR, 1)
+    return F.regexp_extract(text_or_empty(c), fixed.LONE_YEAR, 1)
 
 
 def path_parts(c) -> Column:
@@ -181,7 +148,7 @@ def file_stem(c) -> Column:
 def album_folder_parts(folders: Column) -> Column:
     """Drop disc, art and bonus folders off the end, always keeping one."""
     last_real = F.array_max(F.transform(
-        folders, lambda p, i: F.when(~p.rlike("(?U)" + LEAF_FOLDER), i + 1)))
+        folders, lambda p, i: F.when(~p.rlike("(?U)" + fixed.LEAF_FOLDER), i + 1)))
     return F.when(F.size(folders) == 0, folders).otherwise(
         F.slice(folders, F.lit(1), F.greatest(F.coalesce(last_real, F.lit(1)), F.lit(1))))
 
@@ -226,9 +193,9 @@ def key_path_under_root(path, save_root, target_root: str) -> Column:
 
 def key_infohash(*candidates) -> Column:
     """First hash in a magnet link, else a bare 40-hex or 32-base32 value."""
-    found = [F.nullif(F.lower(F.regexp_extract(text_or_empty(c), MAGNET_HASH, 1)), F.lit("")) for c in candidates]
+    found = [F.nullif(F.lower(F.regexp_extract(text_or_empty(c), fixed.MAGNET_HASH, 1)), F.lit("")) for c in candidates]
     bare = F.lower(F.trim(text_or_empty(candidates[-1])))
-    return F.coalesce(*found, F.when(bare.rlike(BARE_HASH), bare), F.lit(""))
+    return F.coalesce(*found, F.when(bare.rlike(fixed.BARE_HASH), bare), F.lit(""))
 
 
 def key_entry_id(c) -> Column:
@@ -237,7 +204,7 @@ def key_entry_id(c) -> Column:
 
 # --- names built from parts ----------------------------------------------------------
 def safe_file_part(c, fallback: str = "track") -> Column:
-    s = F.regexp_replace(F.trim(F.regexp_replace(text_or_empty(c), BAD_FILE_CHARS, "_")), r"\.+$", "")
+    s = F.regexp_replace(F.trim(F.regexp_replace(text_or_empty(c), fixed.BAD_FILE_CHARS, "_")), r"\.+$", "")
     return F.when(s == "", F.lit(fallback)).otherwise(s)
 
 
@@ -247,7 +214,7 @@ def key_safe_name(album, date) -> Column:
     name = F.concat(text_or_empty(album), F.lit(" ("), year, F.lit(")"))
     name = rx(name, r"\s*[\(\[]\s*[-\s,]*\s*[\)\]]", "")
     name = F.regexp_replace(rx(name, r"\s{2,}", " "), r"^[ \-_.,]+|[ \-_.,]+$", "")
-    name = F.regexp_replace(F.trim(F.regexp_replace(name, BAD_FILE_CHARS, "_")), r"[. ]+$", "")
+    name = F.regexp_replace(F.trim(F.regexp_replace(name, fixed.BAD_FILE_CHARS, "_")), r"[. ]+$", "")
     return F.coalesce(F.nullif(name, F.lit("")), F.nullif(text_or_empty(album), F.lit("")), F.lit("Unknown Album"))
 
 
@@ -259,7 +226,7 @@ def track_file_name(number, title, ext: str = "flac") -> Column:
 
 def _clean_stem(c) -> Column:
     s = F.trim(F.translate(file_stem(c), "_", " "))
-    return rx(rx(s, LEAD_TRACK, ""), TRAIL_DISC, "")
+    return rx(rx(s, fixed.LEAD_TRACK, ""), fixed.TRAIL_DISC, "")
 
 
 def _stem_parts(stem: Column) -> Column:
@@ -324,13 +291,13 @@ def key_credit_sets(c) -> Column:
         return out
 
     noise = F.array(*[F.lit(w) for w in fixed.CREDIT_NOISE])
-    acts = F.transform(F.split(let(F.regexp_replace(text_or_empty(c), ROUND_SQUARE, " "), cut_guests), "[&/,;]| and "),
+    acts = F.transform(F.split(let(F.regexp_replace(text_or_empty(c), fixed.ROUND_SQUARE, " "), cut_guests), "[&/,;]| and "),
                        lambda part: _set_text(F.array_except(artist_words(part), noise)))
     return F.array_sort(F.array_distinct(non_empty(acts)))
 
 
 def key_variant_markers(c) -> Column:
-    found = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"(?U)\b" + _any(fixed.VARIANT_WORDS).replace("(?:", "(", 1) + r"\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(fixed.VARIANT_MARK), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.trim(m))))
 
 
@@ -349,9 +316,9 @@ def key_search_variants(title, artist) -> Column:
     """Up to three queries for a title, most specific first."""
     who = squeeze(text_or_empty(artist))
     base = key_search_term(title)
-    trimmed = F.trim(rx(base, TRAIL_YEARS, ""))
-    head_raw = F.element_at(F.split(_dashes_and_brackets(title), "(?U)" + SUBTITLE, 2), 1)
-    head = F.trim(rx(key_search_term(head_raw), TRAIL_YEARS, ""))
+    trimmed = F.trim(rx(base, fixed.TRAIL_YEARS, ""))
+    head_raw = F.element_at(F.split(_dashes_and_brackets(title), "(?U)" + fixed.SUBTITLE, 2), 1)
+    head = F.trim(rx(key_search_term(head_raw), fixed.TRAIL_YEARS, ""))
     shapes = F.filter(F.array_distinct(F.array(base, trimmed, head)), lambda s: s != "")
     terms = F.transform(shapes, lambda s: F.when(
         (who == "") | F.contains(F.lower(s), F.lower(who)), s).otherwise(F.concat_ws(" ", who, s)))

@@ -11,30 +11,22 @@ from ledgerline.functions import fixed
 from ledgerline.functions.keys import file_ext, key_album_title, path_parts
 from ledgerline.functions.text import ascii_words, col, let, non_empty, text_or_empty
 
-DISC_WORD = r"^(?:cd|disc|disk)$"
-DISC_NUMBERED = r"^(?:cd|disc|disk)\d+$"
-NOISE_FOLDER = r"(?i)^-?(?:" + "|".join(fixed.NOISE_FOLDERS) + r")$"
-UNOFFICIAL = (r"(?i)(?:^|[\s\-_.\(\[])(?:" + "|".join(fixed.UNOFFICIAL_TITLES)
-              + r")(?:$|[\s\-_.\)\]0-9])")
-VIDEO_ZONE = r"(?:^|/)(?:video_ts|bdmv)(?:/|$)"
-AUDIO_ZONE = r"(?:^|/)audio_ts(?:/|$)"
-
 
 def is_disc_folder(name) -> Column:
     words = non_empty(F.split(F.lower(text_or_empty(name)), "[^a-z0-9]+"))
-    return F.exists(words, lambda w: w.rlike(DISC_NUMBERED)) | (
-        (F.size(words) <= 3) & F.exists(words, lambda w: w.rlike(DISC_WORD)))
+    return F.exists(words, lambda w: w.rlike(fixed.DISC_NUMBERED)) | (
+        (F.size(words) <= 3) & F.exists(words, lambda w: w.rlike(fixed.DISC_WORD)))
 
 
 def is_noise_category(path_key) -> Column:
     """A containing folder (never the last one) is a noise category."""
     parts = path_parts(path_key)
     outer = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.exists(outer, lambda p: p.rlike("(?U)" + NOISE_FOLDER))
+    return F.exists(outer, lambda p: p.rlike("(?U)" + fixed.NOISE_FOLDER))
 
 
 def is_unofficial_title(title) -> Column:
-    return text_or_empty(title).rlike("(?U)" + UNOFFICIAL)
+    return text_or_empty(title).rlike("(?U)" + fixed.UNOFFICIAL)
 
 
 def is_audio_file(path, extensions: Iterable[str] = fixed.AUDIO_EXT_DOWNLOADS) -> Column:
@@ -43,8 +35,8 @@ def is_audio_file(path, extensions: Iterable[str] = fixed.AUDIO_EXT_DOWNLOADS) -
 
 def is_video_file(path) -> Column:
     low = F.lower(F.translate(text_or_empty(path), "\\", "/"))
-    video = low.rlike(VIDEO_ZONE) | file_ext(path).isin(*fixed.VIDEO_EXT_BUNDLES)
-    return ~low.rlike(AUDIO_ZONE) & video
+    video = low.rlike(fixed.VIDEO_ZONE) | file_ext(path).isin(*fixed.VIDEO_EXT_BUNDLES)
+    return ~low.rlike(fixed.AUDIO_ZONE) & video
 
 
 def only_edition_words(longer: Column, shorter: Column) -> Column:

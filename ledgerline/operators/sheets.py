@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed
-from ledgerline.functions.keys import ANY_BRACKETS
+from ledgerline.functions.fixed import ANY_BRACKETS
 from ledgerline.functions.text import rx, text_or_empty
 from ledgerline.operators.ranking import win_sheet_end_times
 from ledgerline.operators.rollups import agg_majority

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerline.functions import fixed
 from ledgerline.functions.keys import file_ext
@@ -68,7 +69,7 @@ _TABLES = ("cp1251", "cp1252")
 _LATER = fixed.SHEET_ENCODINGS[fixed.SHEET_ENCODINGS.index(_TABLES[-1]) + 1:]
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))  # no session is needed yet
 def _decoded_later(content: pd.Series) -> pd.DataFrame:
     """Bytes that no table decodes, by the encodings after those with one; null for null."""
     def one(raw: bytes | None) -> tuple[str | None, str | None]:
