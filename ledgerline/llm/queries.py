@@ -150,6 +150,30 @@ def _links_sql(words: int) -> str:
 
 ORACLES: dict[str, str] = {
     "op11_vector_codes": _codes_sql(),
+    # edits row by row: the least cost and audit of each state, with the lines they give
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::UBIGINT)),
+            lambda h, b: list_reduce([xor(h, b), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 20 AS k FROM conversations),
+        d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS n FROM c WHERE k <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS i FROM d),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+          lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+        ins AS (SELECT * FROM (VALUES (0, 0, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
+          (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])) AS v(a, b, c, e, l)),
+        own AS (SELECT * FROM (VALUES ('D', '', 0, 0, 3), ('D', '', 1, 1, 3), ('D', '', 2, 2, 3), ('D', '', 3, 3, 3), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+          ('R', 'user', 0, 2, 2), ('R', 'user', 1, 2, 2), ('R', 'user', 3, 2, 2), ('R', 'assistant', 2, 3, 2)) AS v(e, r, a, b, c)),
+        p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS st, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS s FROM o
+          UNION ALL SELECT conv_id, i, st, min(s) AS s FROM (SELECT p.conv_id, f.i, m.b AS st, {'cost': p.s.cost + n.c + m.c + CASE WHEN m.e <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': p.s.audit || n.e || m.e,
+              'lines': list_concat(list_concat(p.s.lines, n.l), CASE m.e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [m.r || ':' || f.text] END)} AS s
+            FROM p JOIN ins n ON n.a = p.st JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN own m ON m.a = n.b AND (m.e = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.e = 'R' OR role[1] = m.r))) GROUP BY conv_id, i, st),
+        z AS (SELECT conv_id, max(i) AS i FROM f GROUP BY 1),
+        best AS (SELECT p.conv_id, min({'cost': p.s.cost + n.c, 'audit': p.s.audit || n.e, 'lines': list_concat(p.s.lines, n.l)}) AS s FROM p JOIN z ON z.conv_id IS NOT DISTINCT FROM p.conv_id AND z.i = p.i JOIN ins n ON n.a = p.st AND n.b IN (0, 3) GROUP BY 1),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+          count(*) FILTER (i > 1 AND (before || role[1]) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(s.cost AS BIGINT), 0) AS cost,
+          coalesce(s.audit, '') AS audit, sha256(coalesce(array_to_string(s.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM k.conv_id""",
     "op6_near_dedup": f"{_links_sql(4)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM groups",
     "op12_ngram_join": f"{_links_sql(5)} SELECT doc_id, n_shingles, component_id FROM groups",
     "op7_secret_scan": r"""
