@@ -163,8 +163,9 @@ def join_token_block(wants: DataFrame, sources: DataFrame, *, title: str = "titl
     no pair is lost and none is cut off.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: F.length(t) >= 3))
-    w = wants.select(F.col(title).alias("want")).filter("want <> ''").distinct()
-    s = sources.select(F.col(title).alias("cand")).filter("cand <> ''").distinct()
+    # the keys are costly and read several times
+    w = cut(wants.select(F.col(title).alias("want")).filter("want <> ''").distinct())
+    s = cut(sources.select(F.col(title).alias("cand")).filter("cand <> ''").distinct())
     exact = w.join(s, w["want"] == s["cand"], "left_semi").select("want", F.col("want").alias("cand"), F.lit("exact").alias("kind"), F.size(words("want")).alias("n_shared"))
     rest = w.join(s, w["want"] == s["cand"], "left_anti").withColumn("_w", words("want"))
     cands = s.withColumn("_c", words("cand"))

@@ -20,6 +20,7 @@ NAMES = [
     "join_duration_tolerance", "join_four_gates", "join_token_block", "join_word_subset", "join_album_owned", "join_ancestor", "join_external_gap",
     "agg_plan_album", "agg_dir_rollup", "agg_coverage_rank", "win_one_per_track", "win_budget", "win_cheap_first", "set_drop_merge", "dec_lifecycle",
     "dec_download_class", "job_parse_sheets", "src_paged_dump", "st_recheck_throttle", "st_throttle_stream", "st_upsert_stream", "sink_snapshot_swap",
+    "sim_title", "flt_facet_counts", "src_sheet_corpus", "src_new_file_stream", "st_dead_timer_stream", "plan_harvest",
 ]
 
 
