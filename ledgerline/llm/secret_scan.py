@@ -98,10 +98,11 @@ def scan(versions: DataFrame, ledger: str, path: str = "path", text: str = "text
     due = (blobs.withColumn("r", F.explode(current)).select("blob", "path", "r.*")
            .join(read_ledger(spark, ledger).select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
            .groupBy("blob", "path").agg(F.collect_set("rule").alias("due")))
-    texts = versions.select(F.col(path).alias("_path"), whole_text(text).alias("_text")).withColumn("_blob", F.sha2("_text", 256))
-    # repeated rows of the least path are one text
-    unseen = (texts.join(due, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob")))
-              .groupBy("blob").agg(F.first("_text").alias("_text"), F.first("due").alias("due")))
+    texts = versions.select(F.col(path).alias("_path"), F.xxhash64(path).alias("_k"), whole_text(text).alias("_text")).withColumn("_blob", F.sha2("_text", 256))
+    named = due.withColumn("_due_k", F.xxhash64("path"))
+    # repeated rows of the least path are one text, grouped by what they are joined by
+    unseen = (texts.join(named, (F.col("_k") == F.col("_due_k")) & (F.col("_blob") == F.col("blob"))).filter(F.col("_path").eqNullSafe(F.col("path")))
+              .groupBy("_k", "_blob").agg(F.first("_text").alias("_text"), F.first("due").alias("due")).withColumnRenamed("_blob", "blob"))
     pairs = F.array(*(F.when(F.array_contains("due", r.name), F.struct(
         F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("_text"), r).alias("spans"))) for r in rules))
     (unseen.select("blob", F.explode(pairs).alias("p")).filter("p IS NOT NULL").select("blob", "p.*")
