@@ -321,3 +321,11 @@ def test_close_titles_lose_none(spark):
     got = {(r["want"], r["cand"]) for r in J.join_title_close(df(wants), df(sources), floor=0.82).collect()}
     must = {(a, b) for a in wants for b in sources if a == b or a not in sources and SequenceMatcher(None, a, b).ratio() >= 0.82}
     assert must <= got
+
+
+def test_pieces_are_not_broadcast(spark):
+    """Their estimated size comes from compressed columns and says nothing about the rows."""
+    texts = spark.createDataFrame([("abcde",), ("bcd",), ("xyz",)], "t string")
+    pairs = contains_pairs(texts, texts, inner_text="t", outer_text="t")
+    assert {tuple(r) for r in pairs.collect()} == {("abcde", "abcde"), ("bcd", "bcd"), ("bcd", "abcde"), ("xyz", "xyz")}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
