@@ -369,3 +369,12 @@ def test_asks_and_albums_of_one_title_form_no_pairs(spark):
             want.add((i, min(found, key=order)[1], "title" if same else "substring", len(found)))
     assert {tuple(r) for r in out.collect()} == want
     assert most_rows(out) < 5_000
+
+
+def test_folders_with_a_whole_album_meet_no_partial_ones(spark):
+    folder = [(f, s) for f in range(40) for s in range(20)]
+    album = [(j, s) for j in range(200) for s in (j % 17, j % 17 + 1, j % 17 + 2, 1000 + j)] + [(500, 7), (501, 7), (502, 7), (502, 8)]
+    frame = lambda rows, owner: spark.createDataFrame([(o, s, "") for o, s in rows], f"{owner} int, song int, variants string")
+    out = J.join_album_by_songs(frame(folder, "folder_id"), frame(album, "album_id"), margin=0.0)
+    assert {(r["folder_id"], r["album_id"], r["n_shared"]) for r in out.collect()} == {(f, 502, 2) for f in range(40)}
+    assert most_rows(out) < 4_000
