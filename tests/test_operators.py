@@ -378,3 +378,11 @@ def test_folders_with_a_whole_album_meet_no_partial_ones(spark):
     out = J.join_album_by_songs(frame(folder, "folder_id"), frame(album, "album_id"), margin=0.0)
     assert {(r["folder_id"], r["album_id"], r["n_shared"]) for r in out.collect()} == {(f, 502, 2) for f in range(40)}
     assert most_rows(out) < 4_000
+
+
+def test_lines_of_other_lengths_give_no_letter_pairs(spark):
+    wants = spark.createDataFrame([("gloomy sunday evenings",)], "title_key string")
+    lines = spark.createDataFrame([("gloomy sunday evening",), ("gloomy sunday",)] + [(f"line {i} " + "gloomy sunday evening " * 20,) for i in range(20)], "title_key string")
+    out = J.join_title_close(wants, lines, floor=0.87)
+    assert {tuple(r) for r in out.collect()} == {("gloomy sunday evenings", "gloomy sunday evening", "close")}
+    assert most_rows(out) < 100
