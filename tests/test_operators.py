@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import similarity as S
 from ledgerline.operators import decisions as X, joins as J, ranking as W, rollups as R, sets as Z, sheets as H, state as T
-from ledgerline.operators.common import contains_pairs, nearest_within, prefix_sum
+from ledgerline.operators.common import attach, contains_pairs, nearest_within, prefix_sum, with_keys
 
 SRC = "ordinal long, title string, artist string, duration_ms long"
 WANT = "ordinal long, title string, artist string, album string, duration_ms long"
@@ -386,3 +386,20 @@ def test_lines_of_other_lengths_give_no_letter_pairs(spark):
     out = J.join_title_close(wants, lines, floor=0.87)
     assert {tuple(r) for r in out.collect()} == {("gloomy sunday evenings", "gloomy sunday evening", "close")}
     assert most_rows(out) < 100
+
+
+def test_keys_are_worked_out_once_for_each_text(spark):
+    src = spark.createDataFrame([(i, "Sugar (Live)", "Billie & X", 100_000) for i in range(50)], SRC)
+    want = spark.createDataFrame([(1, "Sugar (Live)", "Billie", "A", 100_000)], WANT)
+    judged = J.join_four_gates(src, want)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # the rows carry keys that were looked up by title and artist
+    assert {r["want_ordinal"] for r in judged.collect()} == {1}
+
+
+def test_lookup_keeps_rows_without_an_entry(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("a", 4)], "t string, n int")
+    keyed = with_keys(df, "t", k=lambda c: F.upper(F.coalesce(c, F.lit("none"))))
+    assert sorted((r["n"], r["t"], r["k"]) for r in keyed.collect()) == [(1, "a", "A"), (2, None, "NONE"), (3, "b", "B"), (4, "a", "A")]
+    table = spark.createDataFrame([("a", "x")], "t string, v string")
+    assert {r["n"]: r["v"] for r in attach(df, table, "t").collect()} == {1: "x", 2: None, 3: None, 4: "x"}
