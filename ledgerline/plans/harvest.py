@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import fixed
 from ledgerline.operators import joins, ranking, state
+from ledgerline.operators.common import kept
 
 
 def harvest(sources: DataFrame, tracks: DataFrame, albums: DataFrame, *, ledger: DataFrame | None = None,
@@ -18,7 +19,8 @@ def harvest(sources: DataFrame, tracks: DataFrame, albums: DataFrame, *, ledger:
     """
     todo = sources if ledger is None else state.st_change_gate(sources, ledger)
     wanted = joins.flt_wanted(tracks, albums).select("ordinal", "title", "artist", "album", "duration_ms")
-    judged = joins.join_four_gates(todo, wanted, tolerance=tolerance)
+    # read for the matched and for the rejected
+    judged = kept(joins.join_four_gates(todo, wanted, tolerance=tolerance))
     paired = ranking.win_one_per_track(judged.filter("want_ordinal IS NOT NULL"))
     lost = judged.filter("want_ordinal IS NULL").withColumn("outcome", F.lit("rejected"))
     return paired.drop("kept").unionByName(lost)

@@ -42,3 +42,12 @@ def test_assembly(spark):
     found = spark.createDataFrame([("k", "Billie Best Blues FLAC", "Best Of Blues", "Billie", 1, 5, 0, True), ("k", "Other", "Best Of Blues", "Billie", 2, 9, 0, True)],
                                   "release_key string, found_title string, title string, artist string, ordinal long, seeders int, leechers int, lossless boolean")
     assert [r["ordinal"] for r in assembly.rank_found(found).collect()] == [1]
+
+
+def test_harvest_judges_once(spark):
+    albums = spark.createDataFrame([(1, True, 0, 2)], "album_id long, monitored boolean, have long, total long")
+    tracks = spark.createDataFrame([(1, 1, "Sugar", "Billie", "A", 100_000, False, True)],
+                                   "ordinal long, album_id long, title string, artist string, album string, duration_ms long, has_file boolean, track_monitored boolean")
+    src = spark.createDataFrame([(10, "f", "s1", "Sugar", "Billie", 101_000)], "ordinal long, key string, signature string, title string, artist string, duration_ms long")
+    plan = harvest.harvest(src, tracks, albums)._jdf.queryExecution().optimizedPlan().toString()
+    assert "signature" not in plan and "monitored" not in plan  # matched and rejected rows both come from rows that were written once
