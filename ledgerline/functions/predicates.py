@@ -121,6 +121,21 @@ def self_and_ancestors(path) -> Column:
     return F.array_append(ancestors(path), F.array_join(path_parts(path), "/"))
 
 
+def _plain_path(path) -> Column:
+    """The parts of a path joined by single slashes."""
+
+    def tidy(p: Column) -> Column:
+        untidy = F.startswith(p, F.lit("/")) | F.endswith(p, F.lit("/")) | F.contains(p, F.lit("//"))
+        return F.when(untidy, F.regexp_replace(F.regexp_replace(p, "/+", "/"), "^/|/$", "")).otherwise(p)
+
+    return let(F.translate(text_or_empty(path), "\\", "/"), tidy)
+
+
+def _parent(plain: Column) -> Column:
+    """The folder of a plain path, empty at the root."""
+    return F.substr(plain, F.lit(1), F.length(plain) - F.length(F.substring_index(plain, "/", -1)) - 1)
+
+
 def exclude_under(df: DataFrame, path: str, excluded: Iterable[str]) -> DataFrame:
     """Drop rows equal to or under an excluded folder.
 
@@ -131,17 +146,25 @@ def exclude_under(df: DataFrame, path: str, excluded: Iterable[str]) -> DataFram
                    for e in excluded if e} - {""})
     if not keep:
         return df
-    listed = F.array(*[F.lit(k) for k in keep])
-    return df.filter(~F.arrays_overlap(self_and_ancestors(path), listed))
+
+    def inside(at: Column) -> Column:
+        hit = F.lit(False)
+        for k in keep:
+            hit = hit | (at == k) | F.startswith(at, F.lit(k + "/"))
+        return hit
+
+    return df.filter(~let(_plain_path(path), inside))
 
 
 def exclude_under_table(df: DataFrame, path: str, excluded: DataFrame, folder: str) -> DataFrame:
     """As :func:`exclude_under` for an exclusion list that is itself a table."""
     roots = excluded.select(F.array_join(path_parts(folder), "/").alias("_root")).filter("_root <> ''").distinct()
-    hit = (df.select(path).distinct()
-           .select(path, F.explode(self_and_ancestors(path)).alias("_root"))
-           .join(roots, "_root", "left_semi").select(path).distinct())
-    return df.join(hit, path, "left_anti")
+    both = let(_plain_path(path), lambda p: F.struct(p.alias("at"), _parent(p).alias("up")))
+    rows = df.withColumn("_n", both).withColumns({"_at": F.col("_n.at"), "_in": F.col("_n.up")})
+    # folders are far fewer than what they hold: only they climb
+    inside = (rows.select("_in").distinct().select("_in", F.explode(self_and_ancestors("_in")).alias("_root"))
+              .join(roots, "_root", "left_semi").select("_in").distinct())
+    return rows.join(inside, "_in", "left_anti").join(roots, F.col("_at") == F.col("_root"), "left_anti").select(*df.columns)
 
 
 def facet_filter(df: DataFrame, *, include: Mapping[str, Iterable] | None = None,

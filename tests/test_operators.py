@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import similarity as S
+from ledgerline.functions import predicates as P, similarity as S
 from ledgerline.operators import decisions as X, joins as J, ranking as W, rollups as R, sets as Z, sheets as H, state as T
 from ledgerline.operators.common import attach, contains_pairs, nearest_within, prefix_sum, with_keys
 
@@ -403,3 +403,18 @@ def test_lookup_keeps_rows_without_an_entry(spark):
     assert sorted((r["n"], r["t"], r["k"]) for r in keyed.collect()) == [(1, "a", "A"), (2, None, "NONE"), (3, "b", "B"), (4, "a", "A")]
     table = spark.createDataFrame([("a", "x")], "t string, v string")
     assert {r["n"]: r["v"] for r in attach(df, table, "t").collect()} == {1: "x", 2: None, 3: None, 4: "x"}
+
+
+def test_excluded_folders_of_a_table(spark):
+    paths = ["a/b/c.flac", "/a//b/d.flac", "a/bc/e.flac", "x\\y\\z.flac", "x/yz", "lone", "a/b", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "n int, path string")
+    roots = spark.createDataFrame([("a/b/",), ("x/y",), ("lone",), ("",)], "folder string")
+    left = P.exclude_under_table(df, "path", roots, "folder")
+    assert left.columns == ["n", "path"] and {r["n"] for r in left.collect()} == {2, 4, 7}
+    assert {r["n"] for r in P.exclude_under(df, "path", ["/a/b", "x//y/", "./lone"]).collect()} == {2, 4, 7}
+
+
+def test_lines_lose_white_space_of_any_kind(spark):
+    text = " 　TITLE \"A\" \n\t\n  tracK 01 AUDIO\u0085\nREM DATE 1999"
+    got = [(r["line"], r["is_track"]) for r in H.sheet_lines(spark.createDataFrame([(1, text)], "sheet_id long, text string")).orderBy("no").collect()]
+    assert got == [('TITLE "A"', False), ("tracK 01 AUDIO", True), ("REM DATE 1999", False)]
