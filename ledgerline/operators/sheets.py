@@ -17,6 +17,8 @@ from ledgerline.operators.ranking import win_sheet_end_times
 from ledgerline.operators.rollups import agg_majority
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+#: what a pattern's white space is, for trimming without one
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 INDEX_LINE = r"(?i)INDEX\s+(\d+)\s+(\d+):(\d+):(\d+)"
 
 
@@ -31,11 +33,16 @@ def _rest(line: Column, pattern: str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(line, pattern, "")), '^"+|"+$', "")
 
 
+def _opens(word: str) -> Column:
+    return F.lower(F.substring("line", 1, len(word))) == word
+
+
 def sheet_lines(sheets: DataFrame, *, sheet: str = "sheet_id", text: str = "text") -> DataFrame:
     """One row per non-empty line, with the line number of its running track."""
     lines = sheets.select(sheet, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("no", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).filter("line <> ''").drop("raw")
-    is_track = F.col("line").rlike(r"(?iU)^TRACK\s+\d+(\s|$)")
+    lines = lines.withColumn("line", F.btrim("raw", F.lit(BLANKS))).filter("line <> ''").drop("raw")
+    # plain comparisons first: a pattern costs many times as much
+    is_track = _opens("track") & F.col("line").rlike(r"(?iU)^TRACK\s+\d+(\s|$)")
     running = F.last(F.when(is_track, F.col("no")), ignorenulls=True).over(
         Window.partitionBy(sheet).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return lines.withColumn("track_at", running).withColumn("is_track", is_track)
@@ -66,8 +73,9 @@ def job_parse_sheets(sheets: DataFrame, *, sheet: str = "sheet_id", text: str =
     tracks = tracks.withColumns({c: text_or_empty(c) for c in ("title", "performer", "isrc")})
 
     file_ref = F.when(starts("FILE ") & line.rlike('"[^"]*"'), F.regexp_extract(line, '"([^"]*)"', 1))
-    rem = lambda word: newest(line.rlike(rf"(?i)^REM\s+{word}\s"), _rest(line, rf"(?i)^REM\s+{word}\s+"))
-    heads = lines.groupBy(sheet).agg(
+    rem = lambda word: newest(_opens("rem") & line.rlike(rf"(?i)^REM\s+{word}\s"), _rest(line, rf"(?i)^REM\s+{word}\s+"))
+    of_head = starts("FILE ") | _opens("rem") | (~in_track & (starts("TITLE ") | starts("PERFORMER ")))
+    heads = lines.filter(of_head).groupBy(sheet).agg(
         newest(~in_track & starts("TITLE "), _value(line, 5)).alias("title"),
         newest(~in_track & starts("PERFORMER "), _value(line, 9)).alias("performer"),
         rem("DATE").alias("date"), rem("GENRE").alias("genre"), rem("COMMENT").alias("comment"),
