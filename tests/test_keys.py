@@ -166,3 +166,34 @@ def test_answers(spark):
     assert j("not json", 2) is None
     assert one(spark, P.grounded_answer("s", "a", "b"), s="Etta James - At Last", a="Etta James", b="At Last") is True
     assert one(spark, P.grounded_answer("s", "a", "b"), s="Etta James", a="Etta James", b="Rare") is False
+
+
+def test_quick_patterns_let_every_long_spelling_through():
+    """They skip plain letters and miss none of the characters that become several; no replacement holds such a character."""
+    import re
+
+    from ledgerline.functions import text as T
+
+    for pairs in (T._fold_tables()[2], T._casefold_tables()[2]):
+        quick = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", T._spelled_out(pairs)[0]))
+        assert all(quick.match(k) for k, _ in pairs)
+        assert not any(quick.match(ch) for ch in "az09 éñüàÉчЖ夜한–“")
+        assert not {k for k, _ in pairs} & set("".join(v for _, v in pairs))
+
+
+def test_song_title_guards_lose_nothing(spark):
+    """The patterns behind guards give what they give on every text, however much white space ends it."""
+    from ledgerline.functions import fixed, text as T
+    from ledgerline.functions.text import rx
+
+    def unguarded(c):
+        t = rx(F.regexp_replace(T.fold(c), fixed.ANY_BRACKETS, " "), fixed.FEATURE_CLAUSE, " ")
+        t = rx(rx(t, fixed.NOISE_TAIL, ""), fixed.NOISE_TAIL, "")
+        return F.trim(T.words_only(rx(rx(t, fixed.LEAD_TRACK, ""), fixed.TRAIL_DISC, "")))
+
+    assert K._ends(fixed.NOISE_TAIL_ENDS) and K._holds("with")
+    heads = ("Song", "Song (Live)", "03. Song ft. X", "Song… ½", "swift song", "Song [x")
+    tails = ("remastered 2011", "2011 remaster", "radio   edit", "bonus track", "version", "mono", "cd 12", "disk9", "live remix", "sung", "")
+    rows = [(f"{h}{gap}{t}{end}",) for h in heads for gap in (" ", " - ", "") for t in tails for end in ("", " ", " " * 19, "\t" * 28, "\u3000" * 41, "\r\n")]
+    got = spark.createDataFrame(rows, "l string").select("l", K.key_song_title("l").alias("a"), unguarded("l").alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == [] and len({r["a"] for r in got}) > 5
