@@ -197,3 +197,10 @@ def test_song_title_guards_lose_nothing(spark):
     rows = [(f"{h}{gap}{t}{end}",) for h in heads for gap in (" ", " - ", "") for t in tails for end in ("", " ", " " * 19, "\t" * 28, "\u3000" * 41, "\r\n")]
     got = spark.createDataFrame(rows, "l string").select("l", K.key_song_title("l").alias("a"), unguarded("l").alias("b")).collect()
     assert [r for r in got if r["a"] != r["b"]] == [] and len({r["a"] for r in got}) > 5
+
+
+def test_script_key_repairs_once(spark):
+    """Each step of the key reads the result of the one before, and works it out once."""
+    plan = spark.createDataFrame([("Òàíãî",)], "c string").select(K.key_script_artist("c").alias("k"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp_count(") == 2
+    assert plan.first()["k"] == "tango"
