@@ -418,3 +418,20 @@ def test_lines_lose_white_space_of_any_kind(spark):
     text = " 　TITLE \"A\" \n\t\n  tracK 01 AUDIO\u0085\nREM DATE 1999"
     got = [(r["line"], r["is_track"]) for r in H.sheet_lines(spark.createDataFrame([(1, text)], "sheet_id long, text string")).orderBy("no").collect()]
     assert got == [('TITLE "A"', False), ("tracK 01 AUDIO", True), ("REM DATE 1999", False)]
+
+
+def test_token_block_counts_numbers(spark):
+    """Every pair of brute force; titles are not carried through the counting."""
+    import math
+    rng = random.Random(10)
+    title = lambda n: " ".join(rng.choice([f"word{int(rng.paretovariate(0.7)) % 40}", "of"]) for _ in range(n))
+    wants, cands = {title(rng.randrange(1, 16)) for _ in range(40)}, {title(rng.randrange(1, 30)) for _ in range(300)}
+    cands |= set(list(wants)[:3])
+    words = lambda t: {x for x in t.split(" ") if len(x) >= 3}
+    for percent in (50, 80):
+        want = {(w, w, "exact", len(words(w))) for w in wants & cands}
+        want |= {(w, c, "token", len(words(w) & words(c))) for w in wants - cands for c in cands if words(w) and len(words(w) & words(c)) >= max(1, math.ceil(len(words(w)) * percent / 100))}
+        frame = lambda titles: spark.createDataFrame([(t,) for t in titles], "title_key string")
+        got = J.join_token_block(frame(wants), frame(cands), percent=percent)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[2] == "token" for r in want)
+    assert "Aggregate [want" not in got._jdf.queryExecution().optimizedPlan().toString()
