@@ -189,7 +189,12 @@ def columns(ddl: str) -> list[str]:
 
 
 class InEventTime(StatefulProcessor):
-    """Runs a machine: what waits for the watermark, the state, and one timer are all that a key keeps."""
+    """Runs a machine: what waits for the watermark, the state, and one timer are all that a key keeps.
+
+    They are one value, read once and written only where it changed, and the
+    timer is moved only where its time did: every call to the state store is a
+    message to another process, and those are what a key costs.
+    """
 
     def __init__(self, machine: Machine) -> None:
         self.machine = machine
@@ -197,12 +202,13 @@ class InEventTime(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, ord long, {self.machine.value}")
-        self.kept = handle.getValueState("kept", self.machine.state)
+        waiting = ",".join(f"{name}:{kind}" for name, kind in (c.split() for c in f"at long, ord long, {self.machine.value}".split(",")))
+        state = ",".join(f"{name}:{kind}" for name, kind in (c.split() for c in self.machine.state.split(",")))
+        self.kept = handle.getValueState("kept", f"state struct<{state}>, waiting array<struct<{waiting}>>, timer long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         # rows of the clock have no ordinal: they only carry time on
-        return self._advance(key, [tuple(r)[1:] for r in rows if r["ord"] is not None], timerValues.getCurrentWatermarkInMs())
+        return self._advance(key, [tuple(r)[1:-1] for r in rows if r["ord"] is not None], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         return self._advance(key, [], timerValues.getCurrentWatermarkInMs())
@@ -210,8 +216,10 @@ class InEventTime(StatefulProcessor):
     def _advance(self, key: Any, new: list[tuple], watermark: int) -> Iterator[Row]:
         m, out, i = self.machine, [], 0
         order = lambda r: (r[0], r[1], str(r[2:]))
-        events = sorted([*(map(tuple, self.waiting.get()) if self.waiting.exists() else ()), *new], key=order)
-        state = tuple(self.kept.get()) if self.kept.exists() else None
+        was = self.kept.get()
+        state, before, timer = was or (None, (), None)
+        state = None if state is None else tuple(state)
+        events = sorted([*map(tuple, before), *new], key=order)
         while True:
             due = m.due(state) if state is not None else None
             event = events[i] if i < len(events) and events[i][0] < watermark else None
@@ -224,22 +232,24 @@ class InEventTime(StatefulProcessor):
             else:
                 break
             out += rows
-        self._keep(events[i:], state)
+        self._keep(was, events[i:], state, timer)
         names = ("key", *columns(m.out))
         return iter([Row(**dict(zip(names, (key[0], *r)))) for r in out])
 
-    def _keep(self, events: list[tuple], state: tuple | None) -> None:
-        self.waiting.put(events) if events else self.waiting.clear()
-        self.kept.update(state) if state is not None else self.kept.clear()
+    def _keep(self, was: tuple | None, events: list[tuple], state: tuple | None, timer: int | None) -> None:
         nexts = [e[0] for e in events[:1]] + [d for d in [self.machine.due(state) if state is not None else None] if d is not None]
         wanted = min(nexts) + 1 if nexts else None
-        for timer in list(self.handle.listTimers()):
-            if timer != wanted:
+        now = (state, events, wanted)
+        if events or state is not None:
+            if now != was:
+                self.kept.update(now)
+        elif was is not None:
+            self.kept.clear()
+        if timer != wanted:
+            if timer is not None:
                 self.handle.deleteTimer(timer)
-            else:
-                wanted = None
-        if wanted is not None:
-            self.handle.registerTimer(wanted)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
 
     def close(self) -> None:
         pass

@@ -78,6 +78,43 @@ def test_machines(spark, machine, values):
     assert left == 0  # all state has ended by itself
 
 
+def test_a_key_costs_few_messages():
+    """One read for each call, a write and a move of the timer only where they changed."""
+    sent, box = [], [None]
+
+    class Value:
+        def get(self):
+            sent.append("get")
+            return box[0]
+
+        def update(self, value):
+            sent.append("update")
+            box[0] = value
+
+        def clear(self):
+            sent.append("clear")
+            box[0] = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            sent.append("register")
+
+        def deleteTimer(self, at):
+            sent.append("delete")
+
+    run = M.InEventTime(M.ChangeGate(forget_ms=1000))
+    run.init(Handle())
+    steps = []
+    for new, watermark in (([(50, 1, "a")], 10), ([], 20), ([(60, 2, "b")], 20), ([], 55), ([], 5000)):
+        steps.append(([tuple(r) for r in run._advance((7,), new, watermark)], sent[:]))
+        sent.clear()
+    assert steps == [([], ["get", "update", "register"]), ([], ["get"]), ([], ["get", "update"]),
+                     ([(7, 50, "a")], ["get", "update", "delete", "register"]), ([(7, 60, "b")], ["get", "clear", "delete"])]
+
+
 def test_batches_do_not_matter(spark):
     events, machine = _events(3), M.IdleTimer(grace_ms=8 * MIN, forget_ms=10**4 * MIN)
     assert _run(spark, events, machine, ("ord",), seed=4, batches=3) == _run(spark, events, machine, ("ord",), seed=5, batches=6)
