@@ -1,13 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index.
 
-Vectors have all words of a text.  Labelled examples are held in blocks of
-similar ones, as postings.  For every term a block
-keeps the largest weight of any of its examples, so the query's weights times
-these maxima bound the cosine of everything in the block.  Queries visit blocks
-in order of their bounds and stop when no block left can beat their k-th
-neighbour: the neighbours are exact.  Votes weighted by similarity, and a
-calibration from the examples themselves, each scored without itself, give the
-score; the neighbours are its evidence.
+Vectors have all words of a text.  Words that one class of the examples has far
+more often weigh more than the rest.  Labelled examples are held in blocks of
+similar ones.  Of rare words the postings are summed for every example; of
+common words a block keeps the largest weight of any of its examples, so a
+query's sums and its weights times these maxima bound the cosine of everything
+in the block.  Queries visit blocks in order of their bounds and leave out those
+that cannot beat their k-th neighbour: the neighbours are exact.  Votes weighted
+by similarity, and a calibration from the examples themselves, each scored
+without itself, give the score; the neighbours are its evidence.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import held_out, n_tasks, staged, whole_text
+from ledgerline.llm.common import held_out, staged, whole_text
 
 #: most labelled examples of each class in the index, taken in order of a hash of the key
 EXAMPLES = 2_000
@@ -31,8 +32,14 @@ EXAMPLES = 2_000
 #: neighbours that vote, examples in a block, queries at once
 NEIGHBOURS, BLOCK, QUERIES = 15, 64, 512
 
-#: examples that share a term by which blocks are put together
-SHARED = 8
+#: terms held as a table, the most common ones, and directions by which blocks are put together
+COMMON, DIRECTIONS = 512, 4
+
+#: blocks that a query visits before it leaves out any, and before it leaves out all that it can
+VISITS = (4, 12)
+
+#: chi-square of a term and the classes, and ratio of its shares in them, from which it weighs so many times as much
+CHI_SQUARE, RATIO, MARKED = 20.0, 2.0, 10.0
 
 #: parts of 1 in which squares are summed
 FINE = float(2 ** 30)
@@ -72,21 +79,22 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = number.value
         for batch in batches:
-            ids, counts, n_ids, rest, often, n_rest = [], [], [], [], [], []
-            for text in batch.column(2):
-                found = Counter(_tokens(text.as_py()))
-                by_id = sorted((known[w], n) for w, n in found.items() if w in known)
-                ids += [i for i, _ in by_id]
-                counts += [n for _, n in by_id]
-                n_ids.append(len(by_id))
-                if len(by_id) < len(found):
-                    others = [w for w in found if w not in known]
-                    rest += others
-                    often += [found[w] for w in others]
-                n_rest.append(len(found) - len(by_id))
-            words = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(often, pa.int32())], ["word", "n"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed(n_ids, pa.array(ids, pa.int32())),
-                                              listed(n_ids, pa.array(counts, pa.int32())), listed(n_rest, words)], names)
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                found: list[str] = []
+                often: list[int] = []
+                sizes = []
+                for text in part.column(2).to_pylist():
+                    counts = Counter(_tokens(text))
+                    found += counts
+                    often += counts.values()
+                    sizes.append(len(counts))
+                ids, n = np.fromiter(map(known.get, found, repeat(-1)), np.int32, len(found)), np.array(often, np.int32)
+                new = ids < 0
+                n_new = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[new], minlength=len(sizes))
+                rest = pa.StructArray.from_arrays([pa.array([found[i] for i in np.flatnonzero(new)], pa.string()), pa.array(n[new])], ["word", "n"])
+                n_ids = np.array(sizes) - n_new
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), listed(n_ids, pa.array(ids[~new])), listed(n_ids, pa.array(n[~new])), listed(n_new, rest)], names)
 
     return docs.select("row", "key", "text").mapInArrow(
         work, f"row long, key {docs.schema['key'].dataType.simpleString()}, ids array<int>, counts array<int>, rest array<struct<word: string, n: int>>")
@@ -145,121 +153,127 @@ def _stretches(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n), n
 
 
-def unit(ids: list, counts: list, idf: np.ndarray, rest: np.ndarray | None = None) -> Rows:
-    """Rows of (1 + log tf) * idf, of unit length together with words whose squares sum to ``rest``."""
+def weighted(ids: list, counts: list, idf: np.ndarray) -> tuple[Rows, np.ndarray]:
+    """Rows of (1 + log tf) * idf, made of unit length, and the squares of their lengths before."""
     ptr = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)]).astype(np.int64)
     flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
     rows = Rows(ptr, flat, (1 + np.log(np.concatenate([np.empty(0), *counts]).astype(float))) * idf[flat])
     of = rows.of_row()
-    square = np.bincount(of, rows.weights * rows.weights, len(rows)) + (0 if rest is None else rest)
+    square = np.bincount(of, rows.weights * rows.weights, len(rows)).astype(float)
     rows.weights = rows.weights / np.sqrt(square)[of]
-    return rows
+    return rows, square
 
 
 def dense(ids: list, counts: list, idf: np.ndarray) -> np.ndarray:
-    """``unit`` as a matrix, for small tables."""
-    rows = unit(ids, counts, idf)
+    """The rows of ``weighted`` as a matrix, for small tables."""
+    rows, _ = weighted(ids, counts, idf)
     out = np.zeros((len(rows), len(idf)), np.float32)
     out[rows.of_row(), rows.ids] = rows.weights
     return out
 
 
+def marks(ids: list, labels: np.ndarray, terms: int) -> np.ndarray:
+    """Factor of every term: ``MARKED`` for those that one class has significantly more often, else 1."""
+    of = np.repeat(labels, [len(i) for i in ids])
+    flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
+    got, size = [np.bincount(flat[of == c], minlength=terms) for c in (0, 1)], [int((labels == c).sum()) for c in (0, 1)]
+    if not all(size):
+        return np.ones(terms)
+    share, both = [g / n for g, n in zip(got, size)], (got[0] + got[1] + 1) / (len(labels) + 2)
+    chi = (share[1] - share[0]) ** 2 / (both * (1 - both) * (1 / size[0] + 1 / size[1]))
+    return np.where((chi > CHI_SQUARE) & (np.maximum(*share) > RATIO * np.minimum(*share)), MARKED, 1.0)
+
+
 @dataclass
 class Index:
-    """Examples in blocks: postings by term and block, and every term's maximum in each block.
+    """Examples in blocks: common terms as a table with maxima by block, the others as postings.
 
-    ``members`` names the examples, ``BLOCK`` to a block.  The postings of term
-    t in block b are ``ptr[t * blocks + b]`` to the next pointer.
+    Position p holds example ``members[p]`` (-1: none), ``BLOCK`` positions make a
+    block.  ``common`` is the row of a term in ``table`` and ``top``, or -1; the
+    postings of any other term t are ``ptr[t]`` to the next pointer.
     """
 
     keys: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     members: np.ndarray
+    common: np.ndarray
+    table: np.ndarray
+    top: np.ndarray
     ptr: np.ndarray
     place: np.ndarray
     weight: np.ndarray
-    top: np.ndarray
-
-    def __getstate__(self) -> dict:
-        """Without the terms that a block does not have: the broadcast lies on every machine's disk."""
-        n = np.diff(self.ptr)
-        cells = np.flatnonzero(n)
-        return self.__dict__ | {"ptr": n[cells].astype(np.uint8), "place": self.place.astype(np.uint8), "top": self.top.ravel()[cells],
-                                "cells": cells.astype(np.int32), "shape": self.top.shape}
-
-    def __setstate__(self, state: dict) -> None:
-        cells, shape = state.pop("cells"), state.pop("shape")
-        n, top = np.zeros(shape[0] * shape[1], np.int32), np.zeros(shape[0] * shape[1], np.float32)
-        n[cells], top[cells] = state["ptr"], state["top"]
-        ptr = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
-        self.__dict__.update(state | {"ptr": ptr, "top": top.reshape(shape), "place": state["place"].astype(np.int32)})
 
     @property
     def blocks(self) -> int:
-        return self.top.shape[1]
+        return len(self.members) // BLOCK
 
     @classmethod
-    def of(cls, keys: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: Rows | np.ndarray) -> Index:
-        terms = rows.shape[1] if isinstance(rows, np.ndarray) else int(rows.ids.max(initial=-1)) + 1
+    def of(cls, keys: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: Rows | np.ndarray, terms: int = 0) -> Index:
+        terms = rows.shape[1] if isinstance(rows, np.ndarray) else max(terms, int(rows.ids.max(initial=-1)) + 1)
         rows = Rows.of(rows) if isinstance(rows, np.ndarray) else rows
         of = rows.of_row()
-        # like beside like: by label and strongest term that some share, so that maxima stay close to what a block holds
-        shared = np.bincount(rows.ids, minlength=terms)[rows.ids] >= SHARED
-        strongest, value = np.full(len(rows), -1), np.zeros(len(rows))
-        by_weight = np.flatnonzero(shared)[np.argsort(rows.weights[shared], kind="stable")]
-        strongest[of[by_weight]], value[of[by_weight]] = rows.ids[by_weight], rows.weights[by_weight]
-        order = np.lexsort((keys, -value, strongest, labels))
-        blocks = -(-len(order) // BLOCK)
+        chosen = np.argsort(-np.bincount(rows.ids, minlength=terms), kind="stable")[:COMMON]
+        common = np.full(terms, -1, np.int32)
+        common[chosen] = np.arange(len(chosen))
+        rare = common[rows.ids] < 0
+        each = np.zeros((len(rows), len(chosen)))
+        each[of[~rare], common[rows.ids[~rare]]] = rows.weights[~rare]
+        # like beside like: by label and by the main directions of the common terms (languages, say), so that maxima stay close to what a block holds
+        centred = each - each.sum(0) / max(len(rows), 1)
+        side = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -DIRECTIONS:]
+        order = np.lexsort((side[:, -1], (side > 0) @ (1 << np.arange(side.shape[1])), labels)) if len(rows) else np.empty(0, np.int64)
+        members = np.full(-(-len(order) // BLOCK) * BLOCK, -1)
+        members[:len(order)] = order
         position = np.empty(len(order), np.int64)
         position[order] = np.arange(len(order))
-        cell = rows.ids * blocks + position[of] // BLOCK
-        by_cell = np.lexsort((position[of], cell))
-        top = np.zeros(terms * blocks, np.float32)
-        np.maximum.at(top, cell, rows.weights.astype(np.float32))
-        ptr = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=terms * blocks))]).astype(np.int32)
-        return cls(keys, labels, weights, order, ptr, (position[of] % BLOCK)[by_cell].astype(np.int32), rows.weights[by_cell], top.reshape(terms, blocks))
-
-    def cosines(self, queries: Rows, block: int) -> np.ndarray:
-        """Of each query with each example of a block."""
-        size = len(self.members[block * BLOCK:(block + 1) * BLOCK])
-        cell = queries.ids * self.blocks + block
-        at, n = _stretches(self.ptr[cell], self.ptr[cell + 1])
-        return np.bincount(np.repeat(queries.of_row(), n) * size + self.place[at], np.repeat(queries.weights, n) * self.weight[at],
-                           len(queries) * size).reshape(len(queries), size)
+        table = np.zeros((len(chosen), len(members)))
+        table[:, position] = each.T
+        top = table.reshape(len(chosen), -1, BLOCK).max(2) if len(rows) else np.zeros((len(chosen), 0))
+        place = position[of]
+        by_term = np.flatnonzero(rare)[np.lexsort((place[rare], rows.ids[rare]))]
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(rows.ids[rare], minlength=terms))]).astype(np.int32)
+        return cls(keys, labels, weights, members, common, table, top, ptr, place[by_term].astype(np.int32), rows.weights[by_term])
 
     def nearest(self, queries: Rows | np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``NEIGHBOURS`` nearest examples of each query row and their cosines, ties by position.
 
         Only examples with a positive cosine count; places left over have
         cosine 0.  ``own`` names an example that each query must not find.
+        Cosines are compared to twelve decimals.
         """
         queries = Rows.of(queries) if isinstance(queries, np.ndarray) else queries
-        n = len(queries)
-        best = np.zeros((n, NEIGHBOURS))
-        who = np.full((n, NEIGHBOURS), -1)
-        bounds = np.zeros((n, self.blocks))
-        for r in range(n):
-            at = slice(queries.ptr[r], queries.ptr[r + 1])
-            bounds[r] = queries.weights[at] @ self.top[queries.ids[at]]
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        for step in range(order.shape[1]):
-            at = order[:, step]
-            open_ = np.flatnonzero(bounds[np.arange(n), at] * 1.00001 > best[:, -1])
-            if not len(open_):
-                break
-            for b in np.unique(at[open_]):
-                rows = open_[at[open_] == b]
-                members = self.members[b * BLOCK:(b + 1) * BLOCK]
-                found = self.cosines(queries.part(rows), int(b))
-                if own is not None:
-                    found[members[None, :] == own[rows, None]] = 0
-                all_s = np.concatenate([best[rows], found], axis=1)
-                all_w = np.concatenate([who[rows], np.broadcast_to(members, found.shape)], axis=1)
-                pick = np.lexsort((all_w, -all_s), axis=1)[:, :NEIGHBOURS]
-                best[rows] = np.take_along_axis(all_s, pick, 1)
-                who[rows] = np.take_along_axis(all_w, pick, 1)
-        return np.where(best > 0, who, -1), best
+        n, width, of = len(queries), len(self.members), queries.of_row()
+        at = self.common[queries.ids]
+        rare = at < 0
+        common = np.zeros((n, len(self.table)))
+        common[of[~rare], at[~rare]] = queries.weights[~rare]
+        posting, many = _stretches(self.ptr[queries.ids[rare]], self.ptr[queries.ids[rare] + 1])
+        # at least this much: rare terms everywhere, common ones where a block was visited
+        least = np.bincount(np.repeat(of[rare] * width, many) + self.place[posting], np.repeat(queries.weights[rare], many) * self.weight[posting], n * width).astype(float).reshape(n, width)
+        bounds = common @ self.top + least.reshape(n, -1, BLOCK).max(2)
+        if own is not None:
+            mine = np.argsort(self.members, kind="stable")[(self.members < 0).sum():][own]
+        rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        seen, kth = np.zeros(bounds.shape, bool), np.zeros(n)
+        for visits in (*VISITS, self.blocks):
+            visit = (rank < visits) & ~seen & (bounds > 0) & (bounds * 1.00001 >= kth[:, None])
+            for b in np.flatnonzero(visit.any(0)):
+                rows = np.flatnonzero(visit[:, b])
+                least[rows, b * BLOCK:(b + 1) * BLOCK] += common[rows] @ self.table[:, b * BLOCK:(b + 1) * BLOCK]
+            seen |= visit
+            if own is not None:
+                least[np.arange(n), mine] = 0
+            kth = np.partition(least, width - NEIGHBOURS, axis=1)[:, width - NEIGHBOURS]
+        row, at = np.nonzero((least > 0) & (least >= kth[:, None] - 1e-9))
+        cosine, member = np.round(least[row, at], 12), self.members[at]
+        order = np.lexsort((member, -cosine, row))
+        row = row[order]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)
+        first = turn < NEIGHBOURS
+        who, best = np.full((n, NEIGHBOURS), -1), np.zeros((n, NEIGHBOURS))
+        who[row[first], turn[first]], best[row[first], turn[first]] = member[order][first], cosine[order][first]
+        return who, best
 
     def votes(self, who: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 among the neighbours, each by cosine and by the rows it stands for; -1 without any."""
@@ -298,7 +312,9 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     The index is fitted on a bounded sample of labelled rows (``examples`` of
     each class) with all their words; document frequencies are of all documents,
     also of words that no example has: these count in a document's length.
-    Every document is a query.
+    Words that one class of the examples has significantly more often weigh
+    ``MARKED`` times as much in all vectors; no word is left out.  Every
+    document is a query.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -313,27 +329,35 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     known = (found.select("key", "ids", "counts").join(F.broadcast(picked), "key").orderBy("h", "key", "label").dropDuplicates(["key", "label"])
              .limit(2 * examples).toPandas().sort_values(["h", "key", "label"]))
-    matrix = unit(known["ids"].tolist(), known["counts"].tolist(), idf)
-    index = Index.of(known["key"].to_numpy(), known["label"].to_numpy(int), known["weight"].to_numpy(float), matrix)
+    idf *= marks(known["ids"].tolist(), known["label"].to_numpy(int), len(terms))
+    matrix, _ = weighted(known["ids"].tolist(), known["counts"].tolist(), idf)
+    index = Index.of(known["key"].to_numpy(), known["label"].to_numpy(int), known["weight"].to_numpy(float), matrix, len(terms))
     steps = [np.arange(at, min(at + QUERIES, len(matrix))) for at in range(0, len(matrix), QUERIES)]
-    parts = [index.nearest(matrix.part(at), at) for at in steps]
-    own = np.concatenate([index.votes(*p) for p in parts]) if parts else np.empty(0)
+    own = np.concatenate([index.votes(*index.nearest(matrix.part(at), at)) for at in steps]) if steps else np.empty(0)
     xs, ys = calibration(own, index.labels, index.weights) if len(own) else (np.array([-1.0]), np.array([0.0]))
     shared = spark.sparkContext.broadcast((index, idf, xs, ys))  # bounded by the sample and the terms
     kind = docs.schema[key].dataType.simpleString()
+    evidence = f"array<struct<key: {kind}, label: int, cosine: double>>"
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, idf, xs, ys = shared.value
-        for frame in frames:
-            for at in range(0, len(frame), QUERIES):
-                f = frame.iloc[at:at + QUERIES]
-                who, cosine = index.nearest(unit(f["ids"].tolist(), f["counts"].tolist(), idf, f["rest"].to_numpy(float))) if index.blocks else (np.full((len(f), 1), -1), np.zeros((len(f), 1)))
-                votes = index.votes(who, cosine) if index.blocks else np.full(len(f), -1.0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                cuts = np.cumsum(part.column(2).value_lengths().to_numpy(zero_copy_only=False))[:-1]
+                ids, counts = (np.split(part.column(i).flatten().to_numpy(zero_copy_only=False), cuts) for i in (2, 3))
+                queries, square = weighted(ids, counts, idf)
+                who, cosine = index.nearest(queries) if index.blocks else (np.full((len(ids), 1), -1), np.zeros((len(ids), 1)))
+                votes = index.votes(who, cosine) if index.blocks else np.full(len(ids), -1.0)
                 # the vote itself tells apart what the calibration pools
                 score = np.clip(0.99 * np.interp(votes, xs, ys) + 0.01 * np.maximum(votes, 0), 0, 1)
-                seen = [[{"key": index.keys[i], "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(w, s) if i >= 0] for w, s in zip(who, cosine)]
-                yield pd.DataFrame({"key": f["key"], "score": score, "neighbours": seen})
-
-    queries = (found.select("row", "key", "ids", "counts").repartition(n_tasks(spark), "row").join(rest_squares(found, n), "row", "left")
-               .select("key", "ids", "counts", F.coalesce("rest", F.lit(0.0)).alias("rest")))
-    return queries.mapInPandas(work, f"key {kind}, score double, neighbours array<struct<key: {kind}, label: int, cosine: double>>")
+                some = who >= 0
+                found = [pa.array(index.keys[who[some]], part.schema.field(1).type), pa.array(index.labels[who[some]], pa.int32()), pa.array(cosine[some], pa.float64())]
+                seen = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]), pa.int32()), pa.StructArray.from_arrays(found, ["key", "label", "cosine"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array(square, pa.float64()), seen], ["row", "key", "score", "square", "seen"])
+
+    # words that no example has shorten all cosines of a row alike, so they are looked up after the search
+    answers = found.select("row", "key", "ids", "counts").mapInArrow(work, f"row long, key {kind}, score double, square double, seen {evidence}")
+    share = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("rest", F.lit(0.0))))
+    return answers.join(rest_squares(found, n), "row", "left").select(
+        "key", "score", F.transform("seen", lambda x: F.struct(x["key"].alias("key"), x["label"].alias("label"), (x["cosine"] * share).alias("cosine"))).alias("neighbours"))

@@ -227,6 +227,35 @@ def test_nearest_is_exact():
     assert not (own == np.arange(300)[:, None]).any()
 
 
+def test_nearest_is_exact_with_rare_terms():
+    """Common terms in the table, rare ones as postings, several blocks, equal rows and a row without terms."""
+    rng = np.random.default_rng(3)
+    ids = [np.unique(np.minimum(rng.zipf(1.2, 60), 3000) - 1) for _ in range(700)]
+    ids[5], ids[600] = np.empty(0, int), ids[7]
+    rows, square = toxicity.weighted(ids, [rng.integers(1, 4, len(i)) if k not in (7, 600) else np.ones(len(i)) for k, i in enumerate(ids)], 1 + rng.random(3000))
+    full = np.zeros((700, 3000))
+    full[rows.of_row(), rows.ids] = rows.weights
+    index = toxicity.Index.of(np.arange(500), np.arange(500) % 2, np.ones(500), rows.part(np.arange(500)), 3000)
+    assert (index.common < 0).sum() == 3000 - toxicity.COMMON and index.blocks == 8
+    for at, own in ((np.arange(500, 700), None), (np.arange(500), np.arange(500))):
+        who, cosine = index.nearest(rows.part(at), own)
+        want = np.round(full[at] @ full[:500].T, 12)
+        if own is not None:
+            np.fill_diagonal(want, 0)
+        order = np.lexsort((np.broadcast_to(np.arange(500), want.shape), -want), axis=1)[:, :toxicity.NEIGHBOURS]
+        near = np.take_along_axis(want, order, 1)
+        assert np.allclose(cosine, near, atol=1e-11) and (who == np.where(near > 0, order, -1)).mean() > 0.999
+
+
+def test_toxicity_hears_one_word_in_a_long_text(spark):
+    rng = random.Random(15)
+    rows = [(i, data.prose(rng, 250) + (f" {rng.choice(('vileword', 'badword'))} " if i % 4 == 0 else " ") + data.prose(rng, 250), "s") for i in range(400)]
+    labels = data.labels(spark, [(i, 1, int(i % 4 == 0)) for i in range(400)])
+    got = {r["key"]: r["score"] for r in toxicity.scored(data.table(spark, rows), labels).collect()}
+    unseen = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert _auc([got[i] for i in unseen], [int(i % 4 == 0) for i in unseen]) > 0.97
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(13)
     rows = [(i, data.prose(rng, 60) + (" vileword badword" if i % 4 == 0 else ""), "s") for i in range(300)]
