@@ -30,7 +30,7 @@ from ledgerline.llm.common import held_out, staged, whole_text
 EXAMPLES = 2_000
 
 #: neighbours that vote, examples in a block, queries at once
-NEIGHBOURS, BLOCK, QUERIES = 15, 64, 512
+NEIGHBOURS, BLOCK, QUERIES = 15, 64, 256
 
 #: terms held as a table, the most common ones, and directions by which blocks are put together
 COMMON, DIRECTIONS = 512, 4
@@ -184,6 +184,11 @@ def marks(ids: list, labels: np.ndarray, terms: int) -> np.ndarray:
     return np.where((chi > CHI_SQUARE) & (np.maximum(*share) > RATIO * np.minimum(*share)), MARKED, 1.0)
 
 
+def _maxima(table: np.ndarray) -> np.ndarray:
+    """The largest weight of each term in each block."""
+    return table.reshape(len(table), table.shape[1] // BLOCK, BLOCK).max(2)
+
+
 @dataclass
 class Index:
     """Examples in blocks: common terms as a table with maxima by block, the others as postings.
@@ -204,6 +209,18 @@ class Index:
     place: np.ndarray
     weight: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """The table without its zeros: the broadcast lies on every machine's disk."""
+        at = np.flatnonzero(self.table)
+        small = np.uint16 if len(self.members) < 1 << 16 else np.int32
+        return self.__dict__ | {"table": (self.table.shape, at.astype(np.int32), self.table.ravel()[at]), "top": None, "place": self.place.astype(small)}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state["table"]
+        table = np.zeros(shape)
+        table.ravel()[at] = values
+        self.__dict__.update(state | {"table": table, "top": _maxima(table), "place": state["place"].astype(np.int32)})
+
     @property
     def blocks(self) -> int:
         return len(self.members) // BLOCK
@@ -229,11 +246,10 @@ class Index:
         position[order] = np.arange(len(order))
         table = np.zeros((len(chosen), len(members)))
         table[:, position] = each.T
-        top = table.reshape(len(chosen), -1, BLOCK).max(2) if len(rows) else np.zeros((len(chosen), 0))
         place = position[of]
         by_term = np.flatnonzero(rare)[np.lexsort((place[rare], rows.ids[rare]))]
         ptr = np.concatenate([[0], np.cumsum(np.bincount(rows.ids[rare], minlength=terms))]).astype(np.int32)
-        return cls(keys, labels, weights, members, common, table, top, ptr, place[by_term].astype(np.int32), rows.weights[by_term])
+        return cls(keys, labels, weights, members, common, table, _maxima(table), ptr, place[by_term].astype(np.int32), rows.weights[by_term])
 
     def nearest(self, queries: Rows | np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``NEIGHBOURS`` nearest examples of each query row and their cosines, ties by position.
@@ -320,7 +336,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     picked = staged(chosen_examples(labels, key, label, examples), "examples")
     terms = terms_of(rows.join(F.broadcast(picked), "key"))
-    found = staged(vectors(rows, terms), "vectors")
+    found = staged(vectors(rows, terms), "vectors", "zstd")
     n = found.count()
     df = np.zeros(len(terms))
     for r in _frequencies(found, len(terms)).groupBy("i").agg(F.sum("n").alias("n")).collect():

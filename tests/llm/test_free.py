@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -236,6 +237,7 @@ def test_nearest_is_exact_with_rare_terms():
     full = np.zeros((700, 3000))
     full[rows.of_row(), rows.ids] = rows.weights
     index = toxicity.Index.of(np.arange(500), np.arange(500) % 2, np.ones(500), rows.part(np.arange(500)), 3000)
+    index = pickle.loads(pickle.dumps(index))
     assert (index.common < 0).sum() == 3000 - toxicity.COMMON and index.blocks == 8
     for at, own in ((np.arange(500, 700), None), (np.arange(500), np.arange(500))):
         who, cosine = index.nearest(rows.part(at), own)
