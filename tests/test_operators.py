@@ -388,6 +388,25 @@ def test_lines_of_other_lengths_give_no_letter_pairs(spark):
     assert most_rows(out) < 100
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_titles_meet_once(spark, monkeypatch, broadcast):
+    """Titles that share most letter pairs: every pair of brute force, and no pair is formed for each piece."""
+    from collections import Counter
+    if not broadcast:
+        monkeypatch.setattr(J, "LOOKUP_BYTES", 0)
+    rng = random.Random(12)
+    word = lambda: rng.choice(["on", "the", "thing", "near", "42", "7", "ну", "да", "ион"])
+    wants, cands = ({" ".join(word() for _ in range(rng.randrange(12, 30))) for _ in range(n)} for n in (20, 120))
+    cands |= set(sorted(wants)[:2])
+    common = lambda a, b: sum((Counter(a) & Counter(b)).values())
+    want = {(w, w, "exact") for w in wants & cands} | {
+        (w, c, "close") for w in wants - cands for c in cands if 2 * common(w, c) >= 0.87 * (len(w) + len(c)) - 1e-9}
+    frame = lambda titles: spark.createDataFrame([(t,) for t in titles], "title_key string")
+    out = J.join_title_close(frame(wants), frame(cands), floor=0.87)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 20
+    assert most_rows(out) < 1_000
+
+
 def test_keys_are_worked_out_once_for_each_text(spark):
     src = spark.createDataFrame([(i, "Sugar (Live)", "Billie & X", 100_000) for i in range(50)], SRC)
     want = spark.createDataFrame([(1, "Sugar (Live)", "Billie", "A", 100_000)], WANT)
