@@ -74,6 +74,12 @@ def test_later_lines_are_sources(spark, tmp_path):
     assert {k for _, _, k in got} == {"exact", "close"}, got
 
 
+def test_the_cascade_takes_every_step(spark, con):
+    got = entry.queries()["join_resolve_artist"](spark, FOLDER).collect()
+    assert {r["stage"] for r in got} == {"exact", "script key", "stage prefix", "substring", "fuzzy", "alias", "none"}
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(f"SELECT name, artist_id, stage FROM ({entry.oracle_sql()['join_resolve_artist']})").fetchall(), key=str)
+
+
 def test_a_live_song_is_not_the_studio_one(spark, con):
     """Folders lose songs whose variant differs: the query's own tables hold both kinds."""
     lost = con.execute("SELECT count(*) FROM (" + entry.oracle_sql()["join_album_by_songs"].split("nf AS (")[0].rstrip().rstrip(",") + """
