@@ -380,6 +380,36 @@ def test_folders_with_a_whole_album_meet_no_partial_ones(spark):
     assert most_rows(out) < 4_000
 
 
+@pytest.mark.parametrize("margin", [0.0, 0.1])
+def test_albums_by_songs_brute_force(spark, margin):
+    rng = random.Random(13)
+    kinds = ["", "", "live"]
+    folder = {(i, rng.randrange(30), rng.choice(kinds)) for i in range(40) for _ in range(rng.randrange(1, 30))}
+    album = {(i, rng.randrange(40), rng.choice(kinds)) for i in range(120) for _ in range(rng.randrange(1, 7))}
+    sets = lambda rows: {o: {r[1:] for r in rows if r[0] == o} for o in {r[0] for r in rows}}
+    want, held, whole = set(), sets(folder), sets(album)
+    for f, songs in held.items():
+        ranked = sorted((-max(len(songs & b) / len(b), len(songs & b) / len(songs)), -len(songs & b), i) for i, b in whole.items() if songs & b)
+        if ranked:
+            score, shared, i = ranked[0]
+            fits = -shared / len(whole[i]) >= 0.6 or -shared / len(songs) >= 0.9
+            if fits and -score - (-ranked[1][0] if ranked[1:] else 0) >= margin:
+                want.add((f, i, -shared))
+    frame = lambda rows, owner: spark.createDataFrame(sorted(rows), f"{owner} int, song int, variants string")
+    out = J.join_album_by_songs(frame(folder, "folder_id"), frame(album, "album_id"), margin=margin)
+    assert {(r["folder_id"], r["album_id"], r["n_shared"]) for r in out.collect()} == want and want
+
+
+def test_folders_without_a_song_of_an_album_are_not_paired(spark):
+    rng = random.Random(14)
+    folder = [(f, s) for s in range(40) for f in rng.sample(range(40), 16)] + [(f, 100) for f in range(40)]
+    album = [(i, s) for i in range(200) for s in rng.sample(range(40), 5)] + [(500, 100)]
+    frame = lambda rows, owner: spark.createDataFrame([(o, s, "") for o, s in rows], f"{owner} int, song int, variants string")
+    out = J.join_album_by_songs(frame(folder, "folder_id"), frame(album, "album_id"), margin=0.0)
+    assert {r["folder_id"] for r in out.collect()} == set(range(40))
+    assert most_rows(out) < 3_000
+
+
 def test_lines_of_other_lengths_give_no_letter_pairs(spark):
     wants = spark.createDataFrame([("gloomy sunday evenings",)], "title_key string")
     lines = spark.createDataFrame([("gloomy sunday evening",), ("gloomy sunday",)] + [(f"line {i} " + "gloomy sunday evening " * 20,) for i in range(20)], "title_key string")
