@@ -446,6 +446,15 @@ def test_keys_are_worked_out_once_for_each_text(spark):
     assert {r["want_ordinal"] for r in judged.collect()} == {1}
 
 
+def test_judged_sources_leave_their_titles(spark):
+    """What is joined to the best matches carries keys, not the titles they come from."""
+    src = spark.createDataFrame([(1, "Sugar", "Billie", 100_000), (2, "", "Billie", 1), (3, None, "Billie", 1)], SRC)
+    want = spark.createDataFrame([(1, "Sugar", "Billie", "A", 100_000)], WANT)
+    judged = J.join_four_gates(src, want)
+    assert "title#" not in judged._jdf.queryExecution().optimizedPlan().toString().replace("untitled#", "").replace("want_title#", "")
+    assert {r["ordinal"]: r["reason"] for r in judged.collect()} == {1: None, 2: "no title tag", 3: "no title tag"}
+
+
 def test_lookup_keeps_rows_without_an_entry(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("a", 4)], "t string, n int")
     keyed = with_keys(df, "t", k=lambda c: F.upper(F.coalesce(c, F.lit("none"))))
